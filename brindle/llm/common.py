@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     """Slices of the batches with at most about limit bytes of text each (one row at least), with their texts."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
         ends = np.cumsum(sizes)
         start, n = 0, batch.num_rows
         while start < n:
