@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontaminate, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, shard, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -21,6 +21,11 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.dedup_chunks(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
     return out.select(
@@ -45,12 +50,44 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard.interleave(_docs(spark, sf_dir), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op3_line_chunks": op3_line_chunks,
     "op6_decontaminate": op6_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_tokenfile": op9_tokenfile,
+    "op10_interleave": op10_interleave,
 }
 
+_OP3 = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l),
+h AS (SELECT *, CAST('0x' || left(md5(line), 8) AS BIGINT) AS h FROM e),
+c AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS ends FROM h),
+g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
+k AS (SELECT doc_id, g, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, g),
+r AS (SELECT *, n > 1 AND length(t) >= 20 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, s) > 1 AS gone FROM k)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(t, chr(10) ORDER BY g) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+#: The crc32 is computed byte by byte over the table of its 256 remainders.
+_OP10 = """
+WITH tbl AS (SELECT list_transform(range(0, 256), lambda v: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS t),
+d AS (SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_source, hex(encode(coalesce(text, ''))) AS x, md5('brindle:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+b AS (SELECT doc_id, s, no_source, k, len(x) // 2 + 8 AS size,
+             xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, tbl),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, no_source ORDER BY k, size, crc, doc_id) AS rk, count(*) OVER (PARTITION BY s, no_source) AS n FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY (rk - 0.5::DOUBLE) / n::DOUBLE, CASE WHEN no_source THEN '' ELSE '=' || s END, rk) - 1 AS p, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * 24 // total AS INT) AS shard,
+       CAST(p - ((p * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -66,7 +103,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op6_decontaminate": _OP6}
+ORACLES = {"op3_line_chunks": _OP3, "op6_decontaminate": _OP6, "op10_interleave": _OP10}
 
 
 def queries() -> dict:
