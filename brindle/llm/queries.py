@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, shard, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, outliers, shard, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -21,6 +21,10 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedup_chunks(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -56,6 +60,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_outliers": op2_outliers,
     "op3_line_chunks": op3_line_chunks,
     "op6_decontaminate": op6_decontaminate,
     "op8_bpe": op8_bpe,
