@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, outliers, shard, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, ngram_join, outliers, shard, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -42,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(_docs(spark, sf_dir), 4, 85, 100)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_50k.json")
     out = bpe.decode_ids(bpe.encode_texts(_docs(spark, sf_dir), path), path)
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_outliers": op2_outliers,
     "op3_line_chunks": op3_line_chunks,
     "op6_decontaminate": op6_decontaminate,
+    "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_tokenfile": op9_tokenfile,
     "op10_interleave": op10_interleave,
@@ -81,6 +86,19 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (W
 FROM r GROUP BY doc_id
 """
 
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v WHERE r.m < e.b),
+c AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
+"""
+
 #: The crc32 is computed byte by byte over the table of its 256 remainders.
 _OP10 = """
 WITH tbl AS (SELECT list_transform(range(0, 256), lambda v: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS t),
@@ -108,7 +126,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_line_chunks": _OP3, "op6_decontaminate": _OP6, "op10_interleave": _OP10}
+ORACLES = {"op3_line_chunks": _OP3, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op10_interleave": _OP10}
 
 
 def queries() -> dict:
