@@ -67,8 +67,9 @@ _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(which: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(which)
+def power(which: str, n: int) -> np.ndarray:
+    """The first n powers of the hash's base ("up") or of its inverse ("down")."""
+    base, have = _MULT if which == "up" else _INVERSE, _powers.get(which)
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
         out = np.full(size, base, np.uint64)
@@ -100,8 +101,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(starts) > len(ends):
         starts = starts[:-1]
     n = len(data)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _power("up", _MULT, n), dtype=np.uint64)])
-    hashes = mixed((sums[ends] - sums[starts]) * _power("down", _INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power("up", n), dtype=np.uint64)])
+    hashes = mixed((sums[ends] - sums[starts]) * power("down", n)[starts] + (ends - starts).astype(np.uint64))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     return hashes, np.searchsorted(starts, begins)
 

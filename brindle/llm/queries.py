@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, ngram_join, outliers, shard, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, ngram_join, outliers, shard, substring_dedup, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -30,6 +30,11 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(_docs(spark, sf_dir), 20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
     return out.select(
@@ -66,6 +71,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_outliers": op2_outliers,
     "op3_line_chunks": op3_line_chunks,
+    "op5_substrings": op5_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_bpe": op8_bpe,
@@ -111,6 +117,16 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
        CAST(p - ((p * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
 """
 
+_OP5 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS later FROM i),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT p.doc_id, p.i, p.word, coalesce(max(CAST(later AS INT)) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND k.i = p.i),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""
+
 _OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -126,7 +142,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_line_chunks": _OP3, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op10_interleave": _OP10}
+ORACLES = {"op3_line_chunks": _OP3, "op5_substrings": _OP5, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op10_interleave": _OP10}
 
 
 def queries() -> dict:
