@@ -11,8 +11,10 @@ Three steps, none of which lists the pairs of a group:
    are compared exactly, unless their documents are already linked.
 
 Why no link is lost: sets with sizes n and m that are linked differ in at most D = floor((1 - t) (n + m) / (1 + t))
-n-grams, thus in D buckets at most. A set with more than D buckets that are not empty, for its largest partner, shares
-one of those; a set with fewer adds its prefix of smallest hashes, and two such sets share one of these.
+n-grams, thus in D buckets at most. A set shows the fingerprints of its D + 1 largest buckets or more, D being that of
+its largest partner, so one of them is also a bucket of the partner; of two partners, the one whose smallest shown
+bucket is larger finds that bucket shown by the other too. A set with fewer buckets that aren't empty shows its prefix
+of smallest hashes instead, and two such sets share one of these.
 
 Defined results: a text with fewer words than n is one n-gram, and without words it is empty and linked with nothing;
 a null text is empty; a null id is never linked and has no component; rows that share an id are one document; other
@@ -51,20 +53,27 @@ def most_different(n: int, m: int, num: int, den: int) -> int:
 
 
 def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Fingerprints of a set: linked sets have one in common."""
+    """Fingerprints of a set: linked sets have one in common.
+
+    Of its buckets a set shows the largest, one more than a linked partner may differ in, and those of equal size.
+    """
     n = len(s)
     if not n:
         return np.empty(0, np.uint64)
     largest = n * den // num
-    out = []
+    out, need = [], most_different(n, largest, num, den)
     for c in {n.bit_length() - 1, largest.bit_length() - 1}:
         top = (2 << c) - 1
         d = most_different(top, top, num, den)
-        m = d + 1 + -(-d // 12)
+        m = d + 1 + d // 3
         bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out.append(mixed(np.add.reduceat(mixed(s + np.uint64(1)), starts) + bucket[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
-        if len(starts) <= most_different(n, largest, num, den):  # too many empty buckets
+        if len(starts) > need:
+            sizes = np.diff(np.append(starts, n))
+            shown = sizes >= np.partition(sizes, len(sizes) - 1 - need)[len(sizes) - 1 - need]
+            keys = mixed(np.add.reduceat(mixed(s + np.uint64(1)), starts) + bucket[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
+            out.append(keys[shown])
+        else:  # too many empty buckets
             out.append(mixed(s[: n - -(-num * n // den) + 1] ^ np.uint64(0xA5A5A5A55A5A5A5A)))
     return np.concatenate(out)
 

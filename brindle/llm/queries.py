@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, ngram_join, outliers, shard, substring_dedup, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, neighbours, ngram_join, outliers, shard, substring_dedup, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -21,6 +21,10 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.classify_quality(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
 def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
@@ -69,6 +73,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_outliers": op2_outliers,
     "op3_line_chunks": op3_line_chunks,
     "op5_substrings": op5_substrings,
