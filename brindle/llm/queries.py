@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, neighbours, ngram_join, outliers, shard, substring_dedup, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, neighbours, ngram_join, outliers, pii, shard, substring_dedup, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -34,6 +34,14 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(_docs(spark, sf_dir))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    base = "filter(spans, s -> s.pattern)"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.pattern and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(_docs(spark, sf_dir), 20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -76,6 +84,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_outliers": op2_outliers,
     "op3_line_chunks": op3_line_chunks,
+    "op4_personal_data": op4_personal_data,
     "op5_substrings": op5_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
