@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import spans_of, text_groups, text_table
+from brindle.llm.common import spans_of, text_groups
 
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _NORMAL = bytes(b if b in _WORD_BYTES else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _ORIGINAL_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_SCHEMA = "doc_id long, text string, n_words long, hits array<struct<first:int,last:int,item:string>>"
+_SCANNED = T.StructType().add("n_words", T.LongType()).add("hits", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()).add("item", T.StringType())))
+_SUMMED = T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 _ARROW_HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 
 
@@ -59,7 +61,9 @@ def _automata(benchmark: DataFrame, item_col: str, text_col: str, k: int, max_ch
     return parts
 
 
-def _scanner(shared, carried: bool):
+def _scanner(shared, width: int, carried: bool):
+    """width: how many columns come first and are passed on; the second is the text."""
+
     def scan(batches):
         automaton = ahocorasick.Automaton()
         for key, (n, items) in shared.value.items():
@@ -67,7 +71,7 @@ def _scanner(shared, carried: bool):
         if len(automaton):
             automaton.make_automaton()
         for batch, texts in text_groups(batches):
-            before = batch.column(3).to_pylist() if carried else [None] * len(texts)
+            before = batch.column(width + 1).to_pylist() if carried else [None] * len(texts)
             counts, hits = [], []
             for text, old in zip(texts, before):
                 words = normal_words(text)
@@ -82,39 +86,44 @@ def _scanner(shared, carried: bool):
                         last = int(np.searchsorted(ends, end))
                         found += [(last - n + 1, last, item) for item in items]
                 hits.append([{"first": a, "last": b, "item": c} for a, b, c in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, _ARROW_HITS)], ["doc_id", "text", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(hits, _ARROW_HITS)], [*batch.schema.names[:width], "n_words", "hits"])
 
     return scan
 
 
-def _summary(batches):
-    for batch, texts in text_groups(batches):
-        all_hits = batch.column(3).to_pylist()
-        n_hit, items, spans = [], [], []
-        for text, n, hits in zip(texts, batch.column(2).to_pylist(), all_hits):
-            mask = np.zeros(n, bool)
-            for h in hits:
-                mask[h["first"] : h["last"] + 1] = True
-            n_hit.append(int(mask.sum()))
-            items.append(sorted({h["item"] for h in hits}))
-            at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if hits else []
-            spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if hits else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-            ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
-        )
+def _summary(width: int):
+    def run(batches):
+        for batch, texts in text_groups(batches):
+            n_hit, items, spans = [], [], []
+            for text, n, hits in zip(texts, batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
+                mask = np.zeros(n, bool)
+                for h in hits:
+                    mask[h["first"] : h["last"] + 1] = True
+                n_hit.append(int(mask.sum()))
+                items.append(sorted({h["item"] for h in hits}))
+                at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if hits else []
+                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if hits else [])
+            kept = [i for i in range(width) if i != 1]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in kept], batch.column(width), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [*[batch.schema.names[i] for i in kept], "n_words", "n_hit", "item_ids", "spans"],
+            )
+
+    return run
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_chars: int = 5_000_000, max_total: int = 1_000_000_000
+    docs: DataFrame, benchmark: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_chars: int = 5_000_000, max_total: int = 1_000_000_000, carry: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside any benchmark window of k words), item_ids (sorted strings), spans (code points of the original, end exclusive).
+    """doc_id, n_words, n_hit (words inside any benchmark window of k words), item_ids (sorted strings), spans (code points of the original, end exclusive), and the columns named in carry.
 
     Only the benchmark's windows are sent to the tasks, at most about max_chars characters in one broadcast;
     documents are neither shuffled nor joined.
     """
     sc = docs.sparkSession.sparkContext
-    out = text_table(docs, id_col, text_col)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    fields, width = out.schema.fields, len(out.columns)
     for i, part in enumerate(_automata(benchmark, item_col, item_text_col, k, max_chars, max_total)):
-        out = out.mapInArrow(_scanner(sc.broadcast(part), bool(i)), _SCHEMA)
-    return out.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>")
+        out = out.mapInArrow(_scanner(sc.broadcast(part), width, bool(i)), T.StructType(fields + _SCANNED.fields))
+    out = out.mapInArrow(_summary(width), T.StructType([f for f in fields if f.name != "text"] + _SUMMED.fields))
+    return out.select("doc_id", *_SUMMED.names, *[F.col(f"_carry_{c}").alias(c) for c in carry])
