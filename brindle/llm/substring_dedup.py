@@ -75,8 +75,9 @@ def _describe(k: int):
             group = np.cumsum(new) - 1
             later = (doc != doc[new][group]) | (start != start[new][group])
             yield _rows(_SEGMENT, anchor[new], content[new], doc[new], start[new], n[new])
-            if later.any():
-                yield _rows(_REPEAT, anchor[later], content[later], doc[later], start[later], n[later])
+            if later.any():  # these need no comparison and are spread by their place
+                place = mixed(doc[later].view(np.uint64) * np.uint64(1 << 20) + start[later].view(np.uint64))
+                yield _rows(_REPEAT, place, content[later], doc[later], start[later], n[later])
 
     return run
 
