@@ -257,7 +257,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *,
     members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc_id"), "root")
     sizes = members.join(nodes.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id").groupBy("root").agg((F.floor(F.sum("n") / tile_words) + 1).cast("int").alias("_parts"))
     members = written(members.join(sizes, "root"), "members")
-    gathered = texts.join(members, "doc_id")
+    gathered = texts.join(members.hint("merge"), "doc_id")  # members grow with the corpus and are never broadcast
     own = F.pmod(F.xxhash64("doc_id"), F.col("_parts").cast("long")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.concat_ws(":", F.col("root"), F.least(own, j), F.greatest(own, j)))
     gathered = gathered.select(F.explode(pairs).alias("tile"), "doc_id", "text")
