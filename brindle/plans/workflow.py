@@ -1,0 +1,102 @@
+"""A small driver-side workflow: tasks with dependencies, run level by level. Tasks build DataFrames; Spark does the work."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from typing import Any
+
+
+@dataclass
+class Task:
+    """A named step: run(inputs) gets the results of what it needs and the workflow's parameters."""
+
+    name: str
+    run: Callable[[dict], Any]
+    needs: list[str] = field(default_factory=list)
+    retries: int = 0
+    backoff: float = 0.1
+
+
+class Workflow:
+    """Tasks in dependency order. add() returns the workflow, so calls chain."""
+
+    def __init__(self, name: str):
+        self.name, self.tasks = name, {}
+
+    def add(self, name: str, run: Callable[[dict], Any], needs: list[str] | None = None, retries: int = 0) -> Workflow:
+        self.tasks[name] = Task(name, run, needs or [], retries)
+        return self
+
+    def levels(self) -> list[list[str]]:
+        """Groups of tasks whose needs stand in earlier groups; ValueError for a cycle or an unknown need."""
+        left, done, out = {n: set(t.needs) for n, t in self.tasks.items()}, set(), []
+        while left:
+            ready = sorted(n for n, needs in left.items() if needs <= done)
+            if not ready:
+                raise ValueError(f"tasks that can't start: {sorted(left)}")
+            out.append(ready)
+            done |= set(ready)
+            for n in ready:
+                del left[n]
+        return out
+
+    def run(self, parameters: dict | None = None, threads: int = 4) -> dict:
+        """status, results and errors by task; tasks that need a failed one fail too."""
+        results, errors = {}, {}
+
+        def one(name: str) -> None:
+            task = self.tasks[name]
+            if bad := [n for n in task.needs if n in errors]:
+                errors[name] = f"needs {', '.join(bad)}"
+                return
+            for attempt in range(task.retries + 1):
+                try:
+                    results[name] = task.run({**(parameters or {}), **{n: results[n] for n in task.needs}})
+                    return
+                except Exception as e:
+                    errors[name] = str(e)
+                    if attempt < task.retries:
+                        errors.pop(name)
+                        time.sleep(task.backoff * 2**attempt)
+
+        with ThreadPoolExecutor(threads) as pool:
+            for level in self.levels():
+                list(pool.map(one, level))
+        return {"workflow": self.name, "status": "failed" if errors else "completed", "results": results, "errors": errors}
+
+
+class Breaker:
+    """Opens after some failures in a row and lets a call through again after a pause."""
+
+    def __init__(self, failures: int = 3, pause: float = 300.0, clock: Callable[[], float] = time.time):
+        self.failures, self.pause, self.clock, self.count, self.since = failures, pause, clock, 0, 0.0
+
+    def allows(self) -> bool:
+        return self.count < self.failures or self.clock() - self.since >= self.pause
+
+    def record(self, ok: bool) -> None:
+        self.count = 0 if ok else self.count + 1
+        self.since = self.since if ok else self.clock()
+
+
+class TtlCache:
+    """Values that expire; keys can be dropped by prefix."""
+
+    def __init__(self, clock: Callable[[], float] = time.time):
+        self.clock, self.kept = clock, {}
+
+    def get(self, key: str) -> Any:
+        value, until = self.kept.get(key, (None, 0.0))
+        return value if self.clock() < until else None
+
+    def put(self, key: str, value: Any, ttl: float) -> None:
+        self.kept[key] = (value, self.clock() + ttl)
+
+    def drop(self, prefix: str) -> int:
+        gone = [k for k in self.kept if k.startswith(prefix)]
+        for k in gone:
+            del self.kept[k]
+        return len(gone)

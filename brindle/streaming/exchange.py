@@ -1,0 +1,77 @@
+"""A paper exchange: balances and open orders by user, filled by ticks.
+
+Events of a user come in order: orders (side, quantity, kind, limit) and ticks (price). Market orders fill at the next
+tick; limit purchases fill when the price is at or under the limit, sales when at or over it, both at the limit. A
+purchase that the cash can't pay stays open; a sale of more than is held is rejected.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+EVENT = "user_id long, seq long, type string, side string, quantity double, kind string, price double"
+FILL = "user_id long, seq long, side string, quantity double, price double, cash double, coins double"
+
+
+def _empty(cash: float) -> dict:
+    return {"cash": cash, "coins": 0.0, "open": []}
+
+
+def apply_event(state: dict, e: Any) -> list[tuple]:
+    """Changes a user's state by one event; the fills it causes as (side, quantity, price, cash, coins)."""
+    if e.type == "order":
+        if not (e.side == "SELL" and e.quantity > state["coins"]):
+            state["open"].append((e.side, float(e.quantity), e.kind, float(e.price) if e.price == e.price and e.price is not None else 0.0))
+        return []
+    fills, still = [], []
+    for side, quantity, kind, limit in state["open"]:
+        price = float(e.price) if kind == "MARKET" else limit
+        due = kind == "MARKET" or (e.price <= limit if side == "BUY" else e.price >= limit)
+        if due and side == "BUY" and quantity * price <= state["cash"]:
+            state["cash"] -= quantity * price
+            state["coins"] += quantity
+        elif due and side == "SELL" and quantity <= state["coins"]:
+            state["cash"] += quantity * price
+            state["coins"] -= quantity
+        else:
+            still.append((side, quantity, kind, limit))
+            continue
+        fills.append((side, quantity, price, state["cash"], state["coins"]))
+    state["open"] = still
+    return fills
+
+
+def replay(events: DataFrame, cash: float = 10000.0) -> DataFrame:
+    """Fills of a bounded table of events: one ordered fold for each user."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = _empty(cash), []
+        for e in pdf.sort_values("seq").itertuples(index=False):
+            out += [(e.user_id, e.seq, *f) for f in apply_event(state, e)]
+        return pd.DataFrame(out, columns=["user_id", "seq", "side", "quantity", "price", "cash", "coins"])
+
+    return events.groupBy("user_id").applyInPandas(run, FILL)
+
+
+def stream_fills(events: DataFrame, cash: float = 10000.0) -> DataFrame:
+    """Fills of a stream of events; a user's balances and open orders are keyed state."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = {"cash": cash, "coins": 0.0, "open": []}
+        if state.exists:
+            c, k, orders = state.get
+            now = {"cash": c, "coins": k, "open": [(s, q, kind, lim) for s, q, kind, lim in orders]}
+        out = []
+        for pdf in batches:
+            for e in pdf.sort_values("seq").itertuples(index=False):
+                out += [(e.user_id, e.seq, *f) for f in apply_event(now, e)]
+        state.update((now["cash"], now["coins"], now["open"]))
+        yield pd.DataFrame(out, columns=["user_id", "seq", "side", "quantity", "price", "cash", "coins"])
+
+    kept = "cash double, coins double, open array<struct<side:string,quantity:double,kind:string,price:double>>"
+    return events.groupBy("user_id").applyInPandasWithState(run, FILL, kept, "append", GroupStateTimeout.NoTimeout)
