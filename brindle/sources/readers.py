@@ -59,7 +59,7 @@ def html_rows(pages: DataFrame, key: str = "path", html: str = "html") -> DataFr
 def _headed(pages: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows of the first table of each page whose header holds all the wanted words, with that header."""
     rows = html_rows(pages)
-    has = [F.exists("cells", lambda c, w=w: F.lower(c).contains(w)) for w in wanted]
+    has = [F.contains(F.lower(F.array_join("cells", "\n")), F.lit(w)) for w in wanted]
     test = has[0]
     for h in has[1:]:
         test = test & h
