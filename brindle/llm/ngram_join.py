@@ -13,8 +13,8 @@ Three steps, none of which lists the pairs of a group:
 Why no link is lost: sets with sizes n and m that are linked differ in at most D = floor((1 - t) (n + m) / (1 + t))
 n-grams, thus in D buckets at most. A set shows the fingerprints of its D + 1 largest buckets or more, D being that of
 its largest partner, so one of them is also a bucket of the partner; of two partners, the one whose smallest shown
-bucket is larger finds that bucket shown by the other too. A set with fewer buckets that aren't empty shows its prefix
-of smallest hashes instead, and two such sets share one of these.
+bucket is larger finds that bucket shown by the other too. A set with fewer buckets that aren't empty shows all of them
+and its prefix of smallest hashes, of which two such sets share one.
 
 Defined results: a text with fewer words than n is one n-gram, and without words it is empty and linked with nothing;
 a null text is empty; a null id is never linked and has no component; rows that share an id are one document; other
@@ -68,13 +68,12 @@ def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         m = d + 1 + d // 3
         bucket = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        keys = mixed(np.add.reduceat(mixed(s + np.uint64(1)), starts) + bucket[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
         if len(starts) > need:
             sizes = np.diff(np.append(starts, n))
-            shown = sizes >= np.partition(sizes, len(sizes) - 1 - need)[len(sizes) - 1 - need]
-            keys = mixed(np.add.reduceat(mixed(s + np.uint64(1)), starts) + bucket[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
-            out.append(keys[shown])
+            out.append(keys[sizes >= np.partition(sizes, len(sizes) - 1 - need)[len(sizes) - 1 - need]])
         else:  # too many empty buckets
-            out.append(mixed(s[: n - -(-num * n // den) + 1] ^ np.uint64(0xA5A5A5A55A5A5A5A)))
+            out += [keys, mixed(s[: n - -(-num * n // den) + 1] ^ np.uint64(0xA5A5A5A55A5A5A5A))]
     return np.concatenate(out)
 
 
@@ -86,7 +85,7 @@ def _fingerprints(n: int, num: int, den: int):
     """Rows of a map task: keys with the smallest id that has them here, links of the other ids to it, and set sizes."""
 
     def run(batches):
-        for batch, texts in text_groups(batches):
+        for batch, texts in text_groups(batches, limit=4_000_000):
             sets = ngram_sets(texts, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), _NODE, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64())], ["kind", "a", "b"])
             known = [(i, s) for i, s in zip(batch.column(0).to_pylist(), sets) if i is not None and len(s)]
