@@ -87,10 +87,13 @@ def swing_points(bars: DataFrame, half: int = 10) -> DataFrame:
     return make("high", "resistance").unionByName(make("low", "support"))
 
 
-def volume_profile(bars: DataFrame) -> DataFrame:
-    """symbol, bin, price (middle), volume: each bar's volume counted in every bin it overlaps."""
+def volume_profile(bars: DataFrame, max_edges: int = 1000) -> DataFrame:
+    """symbol, bin, price (middle), volume: each bar's volume counted in every bin it overlaps.
+
+    Bins are half a percent of the lowest price wide; max_edges bounds their number where that price is near zero.
+    """
     b = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
-    b = b.withColumn("_edges", F.greatest(F.lit(10), F.floor(ratio(F.col("_hi") - F.col("_lo"), F.col("_lo") * 0.005)).cast("int")))
+    b = b.withColumn("_edges", F.least(F.lit(max_edges), F.greatest(F.lit(10), F.floor(ratio(F.col("_hi") - F.col("_lo"), F.col("_lo") * 0.005)).cast("int"))))
     b = b.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (F.col("_edges") - 1))
     place = lambda x: F.least(F.greatest(F.floor((F.col(x) - F.col("_lo")) / F.col("_step")) + 1, F.lit(1)), F.col("_edges"))
     df = bars.join(b, "symbol").withColumns({"_from": place("low"), "_to": place("high")})

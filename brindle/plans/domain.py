@@ -129,7 +129,7 @@ register(
         f"SELECT symbol, bin, {R('lo + (bin + 0.5::DOUBLE) * step')} AS price, {R('sum(volume)')} AS volume FROM e GROUP BY symbol, bin, lo, step",
         "bars",
         ctes="""b AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY 1),
-c AS (SELECT *, greatest(10, CAST(floor((hi - lo) / (lo * 0.005::DOUBLE)) AS INT)) AS edges FROM b),
+c AS (SELECT *, least(1000, greatest(10, CAST(floor((hi - lo) / (lo * 0.005::DOUBLE)) AS INT))) AS edges FROM b),
 d AS (SELECT *, (hi - lo) / (edges - 1) AS step FROM c),
 p AS (SELECT symbol, volume, lo, step, edges, CAST(least(greatest(floor((low - lo) / step) + 1, 1), edges) AS BIGINT) AS f, CAST(least(greatest(floor((high - lo) / step) + 1, 1), edges) AS BIGINT) AS t FROM bars JOIN d USING (symbol)),
 e AS (SELECT symbol, volume, lo, step, unnest(range(f - 1, least(greatest(t - 1, f - 1), edges - 2) + 1)) AS bin FROM p WHERE f - 1 <= edges - 2)""",
