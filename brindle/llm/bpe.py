@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class RankBPE:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
-    def __init__(self, path: str, remember: int = 300_000, long_word: int = 400):
+    def __init__(self, path: str, remember: int = 120_000, long_word: int = 400):
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, letters = spec["model"]["vocab"], byte_letters()
         of_letter = {c: b for b, c in enumerate(letters)}
@@ -181,3 +181,15 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "text"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, text string")
+
+
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, text: encode_texts() and decode_ids() in one pass, so a task needs one Python worker and one vocabulary."""
+
+    def run(batches):
+        bpe = coder(path)
+        for batch, texts in text_groups(batches):
+            ids = [bpe.encode(t) if t else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "text"])
+
+    return text_table(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_tokens long, text string")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what bytes.split() splits at.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Texts are handled in groups of about this many bytes, so memory doesn't follow the Arrow batch.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +56,8 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             part = batch.slice(start, stop - start)
             yield part, part.column(at).to_pylist()
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- 64-bit hashes of words, many texts at once

@@ -61,8 +61,8 @@ def _automata(benchmark: DataFrame, item_col: str, text_col: str, k: int, max_ch
     return parts
 
 
-def _scanner(shared, width: int, carried: bool):
-    """width: how many columns come first and are passed on; the second is the text."""
+def _scanner(shared, width: int, carried: bool, last: bool):
+    """width: how many columns come first and are passed on; the second is the text. carried: hits of earlier automata follow. last: gives the summary instead of hits."""
 
     def scan(batches):
         automaton = ahocorasick.Automaton()
@@ -83,33 +83,33 @@ def _scanner(shared, width: int, carried: bool):
                     for end, (n, items) in automaton.iter(hay.decode("latin-1")):
                         if ends is None:
                             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                        last = int(np.searchsorted(ends, end))
-                        found += [(last - n + 1, last, item) for item in items]
-                hits.append([{"first": a, "last": b, "item": c} for a, b, c in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(hits, _ARROW_HITS)], [*batch.schema.names[:width], "n_words", "hits"])
+                        at = int(np.searchsorted(ends, end))
+                        found += [(at - n + 1, at, item) for item in items]
+                hits.append(found)
+            if last:
+                yield _summary(batch, width, texts, counts, hits)
+            else:
+                listed = [[{"first": a, "last": b, "item": c} for a, b, c in found] for found in hits]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(listed, _ARROW_HITS)], [*batch.schema.names[:width], "n_words", "hits"])
 
     return scan
 
 
-def _summary(width: int):
-    def run(batches):
-        for batch, texts in text_groups(batches):
-            n_hit, items, spans = [], [], []
-            for text, n, hits in zip(texts, batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
-                mask = np.zeros(n, bool)
-                for h in hits:
-                    mask[h["first"] : h["last"] + 1] = True
-                n_hit.append(int(mask.sum()))
-                items.append(sorted({h["item"] for h in hits}))
-                at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if hits else []
-                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if hits else [])
-            kept = [i for i in range(width) if i != 1]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in kept], batch.column(width), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                [*[batch.schema.names[i] for i in kept], "n_words", "n_hit", "item_ids", "spans"],
-            )
-
-    return run
+def _summary(batch: pa.RecordBatch, width: int, texts: list, counts: list[int], hits: list) -> pa.RecordBatch:
+    n_hit, items, spans = [], [], []
+    for text, n, found in zip(texts, counts, hits):
+        mask = np.zeros(n, bool)
+        for a, b, _ in found:
+            mask[a : b + 1] = True
+        n_hit.append(int(mask.sum()))
+        items.append(sorted({item for _, _, item in found}))
+        at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if found else []
+        spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if found else [])
+    kept = [i for i in range(width) if i != 1]
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(i) for i in kept], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+        [*[batch.schema.names[i] for i in kept], "n_words", "n_hit", "item_ids", "spans"],
+    )
 
 
 def decontaminate(
@@ -123,7 +123,9 @@ def decontaminate(
     sc = docs.sparkSession.sparkContext
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     fields, width = out.schema.fields, len(out.columns)
-    for i, part in enumerate(_automata(benchmark, item_col, item_text_col, k, max_chars, max_total)):
-        out = out.mapInArrow(_scanner(sc.broadcast(part), width, bool(i)), T.StructType(fields + _SCANNED.fields))
-    out = out.mapInArrow(_summary(width), T.StructType([f for f in fields if f.name != "text"] + _SUMMED.fields))
+    parts = _automata(benchmark, item_col, item_text_col, k, max_chars, max_total)
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        schema = T.StructType([f for f in fields if f.name != "text"] + _SUMMED.fields) if last else T.StructType(fields + _SCANNED.fields)
+        out = out.mapInArrow(_scanner(sc.broadcast(part), width, bool(i), last), schema)
     return out.select("doc_id", *_SUMMED.names, *[F.col(f"_carry_{c}").alias(c) for c in carry])

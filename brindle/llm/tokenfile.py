@@ -91,13 +91,13 @@ class CachedEncoder:
 
     No token reaches over a space or line feed, so what lies between is encoded once and remembered. Most of it is one
     run of letters, perhaps with punctuation behind it: new runs are encoded in one call, lower-cased as the vocabulary
-    does, and its ids are cut at the word ends. Either memory is emptied when it is full.
+    does, and its ids are cut at the word ends. Both memories are bounded.
     """
 
     #: Letters that normalisation leaves single letters, then punctuation but the apostrophe.
     RUN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, remember: int = 500_000, remember_runs: int = 900_000):
+    def __init__(self, path: str, remember: int = 650_000, remember_runs: int = 1_100_000):
         self.tokenizer, self.remember, self.remember_runs, self.known, self.runs = _tokenizer(path), remember, remember_runs, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -117,28 +117,34 @@ class CachedEncoder:
             self.runs.update((x, self._ids(x)) for x in new)
 
     def _learn(self, new: list[str]) -> None:
-        found = [(p, self.RUN.fullmatch(p)) for p in new]
-        simple = [(p, m[1].lower(), m[2]) for p, m in found if m]
+        simple, other, match = [], [], self.RUN.fullmatch
+        for p in new:
+            if m := match(p):
+                s, mark = m.groups()
+                simple.append((p, s.lower(), mark))
+            else:
+                other.append(p)
         if len(self.runs) > self.remember_runs:
             self.runs.clear()
         if len(self.marks) > 10_000:
             self.marks = {"": b""}
-        if missing := list({s for _, s, _ in simple if s not in self.runs}):
+        if missing := list({s for _, s, _ in simple}.difference(self.runs)):
             self._learn_runs(missing)
-        runs, marks = self.runs, self.marks
-        marks.update((m, self._ids(m)) for m in {m for _, _, m in simple} - marks.keys())
-        self.known.update((p, runs[s] + marks[m]) for p, s, m in simple)
-        self.known.update((p, self._ids(p)) for p, m in found if not m)
+        runs, marks, known = self.runs, self.marks, self.known
+        marks.update((m, self._ids(m)) for m in {m for _, _, m in simple}.difference(marks))
+        for p, s, m in simple:
+            known[p] = runs[s] + marks[m] if m else runs[s]
+        known.update((p, self._ids(p)) for p in other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        if new := list(set(chain.from_iterable(parts)).difference(known)):
+        distinct = set(chain.from_iterable(parts))
+        if len(self.known) > self.remember:  # what is in use now stays
+            self.known = {p: self.known[p] for p in distinct.intersection(self.known)}
+        if new := list(distinct.difference(self.known)):
             self._learn(new)
-        return [b"".join(map(known.__getitem__, text)) for text in parts]
+        return [b"".join(map(self.known.__getitem__, text)) for text in parts]
 
 
 @lru_cache(maxsize=2)
@@ -166,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
         encoder = _encoder(vocabulary)
         part = TaskContext.get().partitionId()
         block, before, size, ids, doc_ids = 0, 0, 0, [], []
-        for batch, texts in text_groups(batches):
+        for batch, texts in text_groups(batches, limit=2_000_000):
             for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
                 ids.append(got + end)
                 doc_ids.append(doc_id)
@@ -178,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
             yield _block(part, block, before, ids, doc_ids)
 
     rows = text_table(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, _BLOCK).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, _BLOCK).write.option("compression", "lz4_raw").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
