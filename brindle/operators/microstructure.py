@@ -35,7 +35,7 @@ def depth_weighted_price(book: DataFrame, target: float = 5.0) -> DataFrame:
 
 def gradient(book: DataFrame) -> DataFrame:
     """snapshot, side, gradient: slope of cumulated quantity over percent distance on the best 10 levels; 0 for under 5."""
-    df = levels(book).withColumn("_d", F.abs((F.col("price") - F.col("best")) / F.col("best")) * 100).filter("level <= 10")
+    df = levels(book).withColumn("_d", F.abs(ratio(F.col("price") - F.col("best"), F.col("best"))) * 100).filter("level <= 10")
     slope = F.when((F.count(F.lit(1)) < 5) | (F.sum("_d") == 0), 0.0).otherwise(F.regr_slope("cum", "_d"))
     return df.groupBy("snapshot", "side").agg(slope.alias("gradient"))
 

@@ -340,13 +340,13 @@ register(
 register(
     "price_consensus",
     sql(
-        f"SELECT item, {R('price', 2)} AS price, {R('spread', 4)} AS spread_pct, {R('conf', 4)} AS confidence, CASE WHEN conf >= 0.9 THEN 'High Confidence' WHEN conf >= 0.7 THEN 'Moderate Confidence' WHEN conf >= 0.5 THEN 'Low Confidence' ELSE 'Unreliable' END AS label, n_sources, n_sources - used AS n_outliers FROM (SELECT *, greatest(0.0::DOUBLE, 1 - spread / 10) * CASE WHEN used = 1 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM (SELECT *, (hi - lo) / price * 100 AS spread FROM u))",
+        f"SELECT item, {R('price')} AS price, {R('spread', 4)} AS spread_pct, {R('conf', 4)} AS confidence, CASE WHEN conf >= 0.9 THEN 'High Confidence' WHEN conf >= 0.7 THEN 'Moderate Confidence' WHEN conf >= 0.5 THEN 'Low Confidence' ELSE 'Unreliable' END AS label, n_sources, n_sources - used AS n_outliers FROM (SELECT *, greatest(0.0::DOUBLE, 1 - spread / 10) * CASE WHEN used = 1 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM (SELECT *, (hi - lo) / price * 100 AS spread FROM u))",
         "quotes",
         ctes="""m AS (SELECT item, median(value) AS md FROM quotes WHERE value > 0 GROUP BY 1),
 o AS (SELECT q.item, value, abs(value - md) / md <= 0.02 AS ok FROM quotes q JOIN m USING (item) WHERE value > 0),
 u AS (SELECT item, count(*) AS n_sources, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN count(*) ELSE count(*) FILTER (WHERE ok) END AS used, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN avg(value) ELSE avg(value) FILTER (WHERE ok) END AS price, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN max(value) ELSE max(value) FILTER (WHERE ok) END AS hi, CASE WHEN count(*) FILTER (WHERE ok) = 0 THEN min(value) ELSE min(value) FILTER (WHERE ok) END AS lo FROM o GROUP BY item)""",
     ),
-)(lambda m: _rr(consensus.price_consensus(m.quotes()), price=2, spread_pct=4, confidence=4))
+)(lambda m: _rr(consensus.price_consensus(m.quotes()), price=6, spread_pct=4, confidence=4))
 register(
     "metric_uncertainty",
     f"""WITH d AS (SELECT p_partkey, p_retailprice AS v, 0.6::DOUBLE AS c, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice * (1 + (p_size - 25) / 100.0::DOUBLE) END AS k FROM part), e AS (SELECT *, abs(v - k) / abs(k) AS dev FROM d)

@@ -21,7 +21,7 @@ VIEWS = {
     "macro": """SELECT CAST(o_orderdate AS DATE) AS date, c_mktsegment AS asset_id, avg(o_totalprice) AS price FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
     "oi": """SELECT p_retailprice AS price, CAST(sum(p_size) AS DOUBLE) AS open_interest FROM part GROUP BY 1""",
     "quotes": """SELECT item, s_name AS source, value FROM (SELECT l_partkey AS item, l_suppkey, avg(l_extendedprice / l_quantity) AS value FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = l_suppkey""",
-    "book": """SELECT CAST(l_shipdate AS DATE) AS snapshot, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side, round_even(l_extendedprice / l_quantity / 100, 0) AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3""",
+    "book": """SELECT CAST(l_shipdate AS DATE) AS snapshot, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side, round_even(l_extendedprice / l_quantity / 100, 0) + 1 AS price, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2, 3""",
     "outputs": """SELECT l_orderkey AS tx, l_suppkey AS address, l_extendedprice AS value FROM lineitem""",
     "utxo": """SELECT CAST(l_shipdate AS DATE) AS time, l_quantity AS coins FROM lineitem""",
     "predictions": """SELECT ts, CASE WHEN value > 35 THEN 'BULLISH' WHEN value > 20 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, value * 1.02::DOUBLE AS price_target FROM events WHERE event_type = 'signup'""",

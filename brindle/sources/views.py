@@ -68,7 +68,7 @@ class Market:
         """snapshot, side, price, qty: levels of an order book a day."""
         return (
             self.table("lineitem")
-            .select(F.to_date("l_shipdate").alias("snapshot"), F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"), F.bround(F.col("l_extendedprice") / F.col("l_quantity") / 100, 0).alias("price"), F.col("l_quantity").alias("qty"))
+            .select(F.to_date("l_shipdate").alias("snapshot"), F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"), (F.bround(F.col("l_extendedprice") / F.col("l_quantity") / 100, 0) + 1).alias("price"), F.col("l_quantity").alias("qty"))
             .groupBy("snapshot", "side", "price")
             .agg(F.sum("qty").alias("qty"))
         )
