@@ -91,7 +91,8 @@ class CachedEncoder:
 
     No token reaches over a space or line feed, so what lies between is encoded once and remembered. Most of it is one
     run of letters, perhaps with punctuation behind it: new runs are encoded in one call, lower-cased as the vocabulary
-    does, and its ids are cut at the word ends. Both memories are bounded.
+    does, and its ids are cut at the word ends. Both memories are bounded: remember pieces and remember_runs letter runs,
+    about 200 bytes each.
     """
 
     #: Letters that normalisation leaves single letters, then punctuation but the apostrophe.
