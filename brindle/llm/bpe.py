@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class RankBPE:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
-    def __init__(self, path: str, remember: int = 120_000, long_word: int = 400):
+    def __init__(self, path: str, remember: int = 250_000, long_word: int = 400):
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, letters = spec["model"]["vocab"], byte_letters()
         of_letter = {c: b for b, c in enumerate(letters)}
