@@ -4,6 +4,11 @@ A rolling hash over the hashes of two neighbouring lines decides where a chunk e
 lines when something is put in front of them. Chunks of several lines that stood earlier in the corpus (smaller
 doc_id, or the same document and an earlier line) are removed, after their bytes were compared; single lines stay.
 
+That rule looks at the line before a chunk and runs on past the end of a shared passage, so short passages can slip
+through. A second, finest level takes every two neighbouring lines as a chunk too: its ends depend on nothing outside
+it, so any passage of two or more lines goes wherever its neighbouring lines stood together before, whatever is around
+it. Of every line removed there is an earlier place, so its text stays at the first of them.
+
 Only hashes are counted for all chunks. Texts of the chunks whose hash repeats are fetched by document and grouped by
 their bytes, with partial aggregation, so a passage that a third of all documents share is one row for each task.
 
@@ -19,20 +24,24 @@ from pyspark.sql import functions as F
 _LAST = (1 << 63) - 1
 
 
-def _bounded(df: DataFrame, every: int) -> DataFrame:
-    """df with _lines and _bounds: array of (start, length) of its chunks."""
+def _bounded(df: DataFrame, every: int, pairs: bool) -> DataFrame:
+    """df with _lines and _bounds: array of (start, length) of its chunks, and of every two neighbouring lines with pairs."""
     one_hash = "cast(conv(substring(md5(cast(l as binary)), 1, 8), 16, 10) as long)"
     df = df.withColumn("_lines", F.split("text", "\n", -1))
     df = df.withColumn("_h", F.expr(f"transform(_lines, l -> {one_hash})"))
     df = df.withColumn("_ends", F.expr(f"zip_with(_h, slice(concat(array(0L), _h), 1, size(_h)), (a, b) -> (a + 31 * b) % {every} = 0)"))
     df = df.withColumn("_starts", F.expr("filter(transform(slice(concat(array(true), _ends), 1, size(_ends)), (f, i) -> if(f, i, -1)), i -> i >= 0)"))
-    return df.withColumn("_bounds", F.expr("zip_with(_starts, slice(concat(_starts, array(size(_lines))), 2, size(_starts)), (a, b) -> struct(a as start, b - a as length))")).drop("_h", "_ends", "_starts")
+    df = df.withColumn("_bounds", F.expr("zip_with(_starts, slice(concat(_starts, array(size(_lines))), 2, size(_starts)), (a, b) -> struct(a as start, b - a as length))")).drop("_h", "_ends", "_starts")
+    if pairs:
+        two = "transform(slice(_lines, 2, size(_lines)), (l, i) -> struct(i as start, 2 as length))"
+        df = df.withColumn("_bounds", F.expr(f"concat(filter(_bounds, b -> b.length <> 2), {two})"))
+    return df
 
 
-def _chunks(df: DataFrame, every: int, keys: list[str], min_chars: int) -> DataFrame:
-    """keys, start, chunk: the chunks of several lines."""
-    rows = _bounded(df, every).select(*keys, "_lines", F.explode(F.expr("filter(_bounds, b -> b.length > 1)")).alias("_b"))
-    rows = rows.select(*keys, F.col("_b.start").alias("start"), F.expr("array_join(slice(_lines, _b.start + 1, _b.length), '\n')").alias("chunk"))
+def _chunks(df: DataFrame, every: int, keys: list[str], min_chars: int, pairs: bool) -> DataFrame:
+    """keys, _b (start, length), chunk: the chunks of several lines."""
+    rows = _bounded(df, every, pairs).select(*keys, "_lines", F.explode(F.expr("filter(_bounds, b -> b.length > 1)")).alias("_b"))
+    rows = rows.select(*keys, "_b", F.expr("array_join(slice(_lines, _b.start + 1, _b.length), '\n')").alias("chunk"))
     return rows.filter(F.length("chunk") >= min_chars)
 
 
@@ -43,10 +52,10 @@ def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return joined.drop("_right_id", "_right_text")
 
 
-def dedup_chunks(docs: DataFrame, every: int = 3, min_chars: int = 20, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def dedup_chunks(docs: DataFrame, every: int = 3, min_chars: int = 20, *, pairs: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (without the repeated chunks), n_lines, n_removed (lines), and the columns named in carry.
 
-    every: a chunk ends at one line in so many. min_chars: shorter chunks stay.
+    every: a chunk ends at one line in so many. min_chars: shorter chunks stay. pairs: every two neighbouring lines are a chunk too.
     """
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -56,10 +65,10 @@ def dedup_chunks(docs: DataFrame, every: int = 3, min_chars: int = 20, *, id_col
     )
     keys = ["doc_id", "_text"]
     base = docs.select(*keys, "text")
-    hashed = _chunks(base, every, keys, min_chars).select(*keys, "start", F.xxhash64("chunk").alias("_hash"))
+    hashed = _chunks(base, every, keys, min_chars, pairs).select(*keys, "_b", F.xxhash64("chunk").alias("_hash"))
     repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    wanted = hashed.join(repeated, "_hash", "left_semi").groupBy(*keys).agg(F.collect_set("start").alias("_wanted"))
-    fetched = _bounded(_matched(base, wanted, "inner"), every).select(*keys, "_lines", F.explode(F.expr("filter(_bounds, b -> array_contains(_wanted, b.start))")).alias("_b"))
+    wanted = hashed.join(repeated, "_hash", "left_semi").groupBy(*keys).agg(F.collect_set("_b").alias("_wanted"))
+    fetched = _matched(base, wanted, "inner").select(*keys, F.split("text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_b"))
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_b.start").alias("start"))
     same = fetched.select(*keys, order.alias("_order"), F.col("_b.length").alias("length"), F.expr("array_join(slice(_lines, _b.start + 1, _b.length), '\n')").alias("chunk"))
     first = same.groupBy("chunk").agg(F.min("_order").alias("_first"))

@@ -30,7 +30,7 @@ def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunks.dedup_chunks(_docs(spark, sf_dir))
+    out = chunks.dedup_chunks(_docs(spark, sf_dir), pairs=False)  # the SQL defines this query by the first level alone
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -165,6 +165,32 @@ def test_chunks(spark):
     assert got[2]["text"] == texts[2] and got[3]["text"] is None and got[3]["n_lines"] == 0 and got[4]["text"] == ""
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
+def test_short_shared_passages_go_whatever_is_around_them(spark, n):
+    rng = random.Random(n)
+    passage = [words(rng, 12, 10_000) for _ in range(n)]
+    around = [([words(rng, 8, 10_000) for _ in range(rng.randrange(4))], [words(rng, 8, 10_000) for _ in range(rng.randrange(4))]) for _ in range(40)]
+    texts = ["\n".join(before + passage + after) for before, after in around]
+    got = {r["doc_id"]: r for r in chunks.dedup_chunks(table(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0]
+    assert all(got[i]["n_removed"] == n and got[i]["text"] == "\n".join(before + after) for i, (before, after) in enumerate(around) if i)
+
+
+def test_pairs_leave_each_line_at_its_first_place(spark):
+    rng = random.Random(5)
+    lines = [words(rng, 8) for _ in range(12)]
+    texts = ["\n".join(rng.choices(lines, k=rng.randrange(1, 9))) for _ in range(60)]
+    rows = [t.split("\n") for t in texts]
+    first = {}
+    for i, r in enumerate(rows):
+        for s in range(len(r) - 1):
+            first.setdefault((r[s], r[s + 1]), (i, s))
+    gone = [{s + j for s in range(len(r) - 1) if first[r[s], r[s + 1]] < (i, s) for j in (0, 1)} for i, r in enumerate(rows)]
+    got = {r["doc_id"]: r["text"] for r in chunks.dedup_chunks(table(spark, texts), every=1).collect()}
+    assert got == {i: "\n".join(x for s, x in enumerate(r) if s not in gone[i]) for i, r in enumerate(rows)}
+    assert {x for t in got.values() for x in t.split("\n")} >= {x for r in rows for x in r}
+
+
 def test_chunks_edge_cases(docs):
     assert chunks.dedup_chunks(docs).count() == docs.count()
 
