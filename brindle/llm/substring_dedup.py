@@ -7,8 +7,9 @@ anchor is a segment of at most 2 k - 4 words.
 1. A map task describes segments by two hashes and keeps the first of equal ones; the others are repeats as a whole.
 2. Segments meet by anchor. Again only the first of equal ones goes on, and only where an anchor has several.
 3. The words of those segments are fetched and dealt to shards. Each shard builds an FM-index over its segments and
-   streams every window through it by backward search; intervals that hold an earlier place are reported. An anchor
-   with very many different segments is split by the hashes of its windows.
+   streams every window through it by backward search; intervals that hold an earlier place are reported. Of an anchor
+   with very many different segments no words are gathered: the first place of each window's hash is found by a
+   partially aggregated minimum, and the other places are repeats.
 4. The reported intervals are removed from their documents.
 
 Windows are judged on the input. Defined results: a null text has no words; a text with fewer words than k keeps all;
@@ -120,7 +121,7 @@ def _compare(batches):
 
 
 def _fetch(k: int):
-    """The words of a document's segments, by shard; windows one by one where the anchor is split."""
+    """The words of a document's segments, by shard."""
 
     def run(batches):
         for batch, texts in text_groups(batches):
@@ -128,27 +129,45 @@ def _fetch(k: int):
             for i, text, parts in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
                 for p in parts:
-                    start, n, anchor, split = p["start"], p["n"], p["anchor"], p["split"]
+                    start, n, anchor = p["start"], p["n"], p["anchor"]
                     if start + n + k - 1 > len(words):
                         continue
-                    if split <= 1:
-                        key.append(anchor)
-                        doc.append(i)
-                        first.append(start)
-                        out.append(b" ".join(words[start : start + n + k - 1]))
-                        continue
-                    for s in range(start, start + n):
-                        window = b" ".join(words[s : s + k])
-                        hashes, _ = word_hashes([window])
-                        key.append(int((window_hashes(hashes, k) % np.uint64(split)).view(np.int64)[0]) * 1_000_003 ^ anchor)
-                        doc.append(i)
-                        first.append(s)
-                        out.append(window)
+                    key.append(anchor)
+                    doc.append(i)
+                    first.append(start)
+                    out.append(b" ".join(words[start : start + n + k - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(out, pa.binary())], ["shard", "doc_id", "start", "words"])
 
     return run
 
 
+def _windows(k: int):
+    """Anchor, hash and place of the windows of a document's segments."""
+
+    def run(batches):
+        for batch, texts in text_groups(batches):
+            anchor, hashed, doc, first = ([np.empty(0, np.int64)] for _ in range(4))
+            for i, text, parts in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                hashes, _ = word_hashes([(text or "").encode()])
+                for p in parts:
+                    if p["start"] + p["n"] + k - 1 > len(hashes):
+                        continue
+                    hashed.append(window_hashes(hashes[p["start"] : p["start"] + p["n"] + k - 1], k).view(np.int64))
+                    anchor.append(np.full(p["n"], p["anchor"], np.int64))
+                    doc.append(np.full(p["n"], i, np.int64))
+                    first.append(np.arange(p["start"], p["start"] + p["n"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((anchor, np.int64), (hashed, np.int64), (doc, np.int64), (first, np.int32))], ["anchor", "hash", "doc_id", "start"])
+
+    return run
+
+
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """doc_id, start, n (1): the windows whose hash has an earlier place."""
+    place = F.struct("doc_id", "start")
+    first = windows.groupBy("anchor", "hash").agg(F.min(place).alias("_first"))
+    return windows.join(first, ["anchor", "hash"]).filter(place != F.col("_first")).select("doc_id", "start", F.lit(1).alias("n"))
+
+
 def earlier_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[list[bytes]], k: int) -> list[tuple[int, int, int]]:
     """(doc_id, first window, number of windows) of the runs of windows that also stand earlier in the pieces."""
     names: dict[bytes, int] = {}
@@ -236,8 +255,12 @@ def dedup_substrings(docs: DataFrame, k: int = 20, *, id_col: str = "doc_id", te
     repeats = rows.filter(F.col("kind") == _REPEAT).select("doc_id", "start", "n")
     several = rows.filter(F.col("kind") == _SEGMENT).select("anchor", "doc_id", "start", "n")
     large = written(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("_of")).filter(F.col("_of") > split_at), "large-anchors")
-    several = several.join(large, "anchor", "left").withColumn("split", F.coalesce(F.ceil(F.col("_of") / split_at), F.lit(1)).cast("int"))
-    wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "split")).alias("parts"))
+    parts = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("parts"))
+    if not large.isEmpty():
+        split = texts.join(parts(several.join(large, "anchor", "left_semi")), "doc_id").select("doc_id", "text", "parts")
+        repeats = repeats.unionByName(_repeated_windows(written(split.mapInArrow(_windows(k), "anchor long, hash long, doc_id long, start int"), "windows")))
+        several = several.join(large, "anchor", "left_anti")
+    wanted = parts(several)
     pieces = texts.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(_fetch(k), "shard long, doc_id long, start int, words binary")
     found = pieces.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_search(k, shard_words), "doc_id long, start int, n int")
     gone = repeats.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))

@@ -93,6 +93,24 @@ def test_split_anchors_give_the_same(spark):
     assert a == {i: v[2] for i, v in brute_substrings(rows_of(df), 20).items()}
 
 
+def test_split_anchors_gather_no_words(spark, monkeypatch):
+    def search(k, shard_words):
+        def refuse(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    raise AssertionError("words of a split anchor were fetched")
+            yield from ()
+
+        return refuse
+
+    rng = random.Random(9)
+    passage = words(rng, 60, 10_000)
+    df = table(spark, [f"{words(rng, 25, 10_000)} {passage} {words(rng, 25, 10_000)}" for _ in range(60)])
+    monkeypatch.setattr(substring_dedup, "_search", search)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(df, 20, split_at=1).collect()}
+    assert got == brute_substrings(rows_of(df), 20)
+
+
 def test_substrings_edge_cases(docs):
     got = substring_dedup.dedup_substrings(docs, 20).collect()
     assert len(got) == docs.count()
