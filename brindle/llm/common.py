@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +21,48 @@ WHITE = b" \t\n\x0b\x0c\r"
 GROUP_BYTES = 1_000_000
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="brindle-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
-            own = spark.sparkContext.getCheckpointDir()
-        where = own
-    return where.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, only a local session gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+    return (where or _own_dir()).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: lineage ends here and a lost executor costs nothing that was written."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of df, written once to the shared folder and read back, and their path: lineage ends here and a lost executor costs nothing that was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """written_at() without the path."""
+    return written_at(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of written_at() that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the machine; called when a partition ends, since workers are used again by other steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
 
 
 def text_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
