@@ -3,10 +3,12 @@
 A word is cut at every byte. One array holds the boundaries of its parts, a second the merge ranks of neighbouring
 parts; the smallest rank is found by a scan, its boundary is deleted and the two ranks beside it are refreshed. Words
 above long_word bytes, where scans would cost the square of the length, use a heap of the same ranks. What lies
-between single spaces is encoded once for each task and remembered.
+between single spaces is encoded once for each task and remembered, up to a number of pieces of at most 64 characters;
+a full memory loses its older half, and all of it goes when the partition ends.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; special tokens that stand in a text
-become their own id; repeated rows give repeated results; other columns are ignored.
+become their own id; null ids stay null; repeated rows give repeated results, each its own; an empty table gives an
+empty result; a text of any length is encoded whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import text_groups, text_table
+from brindle.llm.common import give_back, text_groups, text_table
 
 #: The published pre-tokenisation pattern of this vocabulary, and Unicode's white space.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +46,7 @@ def byte_letters() -> list[str]:
 class RankBPE:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
-    def __init__(self, path: str, remember: int = 250_000, long_word: int = 400):
+    def __init__(self, path: str, remember: int = 150_000, long_word: int = 400):
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, letters = spec["model"]["vocab"], byte_letters()
         of_letter = {c: b for b, c in enumerate(letters)}
@@ -111,20 +114,27 @@ class RankBPE:
             if got is None:
                 got = np.array(self.word(word.encode()), "<u4").tobytes()
                 if len(word) <= 64:
-                    if len(self.words) >= self.remember:
-                        self.words.clear()
-                    self.words[word] = got
+                    self._remember(self.words, word, got)
             out.append(got)
         return b"".join(out)
 
     def _missing(self, known: dict[str, bytes], space: str, part: str) -> bytes:
         out = self._chunk(space + part)
         if len(part) <= 64:
-            if len(known) >= self.remember:
-                known.clear()
-            known[part] = out
+            self._remember(known, part, out)
         return out
 
+    def _remember(self, known: dict[str, bytes], part: str, ids: bytes) -> None:
+        if len(known) >= self.remember:
+            for old in list(islice(known, self.remember // 2)):
+                del known[old]
+        known[part] = ids
+
+    def forget(self) -> None:
+        """Empties what was remembered of texts."""
+        self.first, self.later, self.words = {}, {}, {}
+        give_back()
+
     def _later(self, part: str) -> bytes:
         got = self.later.get(part)
         return self._missing(self.later, " ", part) if got is None else got
@@ -165,6 +175,7 @@ def encode_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         for batch, texts in text_groups(batches):
             ids = [bpe.encode(t) if t else b"" for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        bpe.forget()
 
     return text_table(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
@@ -191,5 +202,6 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         for batch, texts in text_groups(batches):
             ids = [bpe.encode(t) if t else b"" for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "text"])
+        bpe.forget()
 
     return text_table(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n_tokens long, text string")
