@@ -9,11 +9,14 @@ through. A second, finest level takes every two neighbouring lines as a chunk to
 it, so any passage of two or more lines goes wherever its neighbouring lines stood together before, whatever is around
 it. Of every line removed there is an earlier place, so its text stays at the first of them.
 
-Only hashes are counted for all chunks. Texts of the chunks whose hash repeats are fetched by document and grouped by
-their bytes, with partial aggregation, so a passage that a third of all documents share is one row for each task.
-
-Defined results: a null text stays null with no lines; an empty text is one line; null ids count as the largest;
-rows that share id and text are one document and get the same result; other columns can be carried along.
+Chunks are cut once and their hashes written. Texts of the chunks whose hash repeats are fetched by document and grouped
+by their bytes, with partial aggregation, so a passage that a third of all documents share is one row for each task.
+What that gives is the first place of every such chunk; a document loses its repeated chunks but the first places among
+them. So no join has a chunk as its key, but the one of hashes, whose sides are tables that can be split.
+
+Defined results: a null text stays null with no lines; an empty text is one line; null ids count as the largest, and
+equal ids go by a hash of their texts; rows that share id and text are one document and get the same result; an empty
+table gives an empty result; other columns can be carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import written
+
 _LAST = (1 << 63) - 1
 
 
@@ -38,11 +43,13 @@ def _bounded(df: DataFrame, every: int, pairs: bool) -> DataFrame:
     return df
 
 
-def _chunks(df: DataFrame, every: int, keys: list[str], min_chars: int, pairs: bool) -> DataFrame:
-    """keys, _b (start, length), chunk: the chunks of several lines."""
+_CHUNK = "array_join(slice(_lines, _b.start + 1, _b.length), '\n')"
+
+
+def _chunk_hashes(df: DataFrame, every: int, keys: list[str], pairs: bool) -> DataFrame:
+    """keys, _b (start, length), _hash: the chunks of several lines."""
     rows = _bounded(df, every, pairs).select(*keys, "_lines", F.explode(F.expr("filter(_bounds, b -> b.length > 1)")).alias("_b"))
-    rows = rows.select(*keys, "_b", F.expr("array_join(slice(_lines, _b.start + 1, _b.length), '\n')").alias("chunk"))
-    return rows.filter(F.length("chunk") >= min_chars)
+    return rows.select(*keys, "_b", F.xxhash64(F.expr(_CHUNK)).alias("_hash"))
 
 
 def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -52,10 +59,10 @@ def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return joined.drop("_right_id", "_right_text")
 
 
-def dedup_chunks(docs: DataFrame, every: int = 3, min_chars: int = 20, *, pairs: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def dedup_chunks(docs: DataFrame, every: int = 3, *, pairs: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (without the repeated chunks), n_lines, n_removed (lines), and the columns named in carry.
 
-    every: a chunk ends at one line in so many. min_chars: shorter chunks stay. pairs: every two neighbouring lines are a chunk too.
+    every: a chunk ends at one line in so many. pairs: every two neighbouring lines are a chunk too.
     """
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -65,15 +72,17 @@ def dedup_chunks(docs: DataFrame, every: int = 3, min_chars: int = 20, *, pairs:
     )
     keys = ["doc_id", "_text"]
     base = docs.select(*keys, "text")
-    hashed = _chunks(base, every, keys, min_chars, pairs).select(*keys, "_b", F.xxhash64("chunk").alias("_hash"))
-    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    wanted = hashed.join(repeated, "_hash", "left_semi").groupBy(*keys).agg(F.collect_set("_b").alias("_wanted"))
+    hashed = written(_chunk_hashes(base, every, keys, pairs), "chunks")
+    repeated = written(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"), "repeated")
+    # both sides are tables, so adaptive execution can split a hash that very many documents hold
+    wanted = written(hashed.join(repeated.hint("merge"), "_hash", "left_semi").groupBy(*keys).agg(F.collect_set("_b").alias("_wanted")), "wanted")
     fetched = _matched(base, wanted, "inner").select(*keys, F.split("text", "\n", -1).alias("_lines"), F.explode("_wanted").alias("_b"))
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_b.start").alias("start"))
-    same = fetched.select(*keys, order.alias("_order"), F.col("_b.length").alias("length"), F.expr("array_join(slice(_lines, _b.start + 1, _b.length), '\n')").alias("chunk"))
-    first = same.groupBy("chunk").agg(F.min("_order").alias("_first"))
-    later = same.join(first, "chunk").filter("_first <> _order")
-    gone = later.groupBy(*keys).agg(F.flatten(F.collect_set(F.expr("sequence(_order.start, _order.start + length - 1)"))).alias("_gone"))
+    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("_text"), F.col("_b.start").alias("start"), F.col("_b.length").alias("length"), F.col("doc_id").alias("own"))
+    first = fetched.select(place.alias("_place"), F.expr(_CHUNK).alias("chunk")).groupBy("chunk").agg(F.min("_place").alias("_first"))
+    stays = first.select(F.col("_first.own").alias("doc_id"), F.col("_first._text").alias("_text"), F.struct("_first.start", "_first.length").alias("_b"))
+    stays = stays.groupBy(*keys).agg(F.collect_set("_b").alias("_firsts"))
+    later = _matched(wanted, stays, "left").select(*keys, F.expr("array_except(_wanted, coalesce(_firsts, filter(_wanted, b -> false)))").alias("_later")).filter("size(_later) > 0")
+    gone = later.select(*keys, F.expr("array_distinct(flatten(transform(_later, b -> sequence(b.start, b.start + b.length - 1))))").alias("_gone"))
     out = _matched(docs, gone, "left").withColumn("_lines", F.split("text", "\n", -1))
     out = out.withColumn("_stay", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
     kept = F.expr("array_join(transform(_stay, i -> get(_lines, i)), '\n')")
