@@ -2,13 +2,16 @@
 
 Each text gives counts; their transforms are a vector. For every (language, source) the subset of h rows whose
 covariance has the smallest determinant is sought: many starts on a bounded sample of the group, then concentration
-steps over all rows of the group as Spark aggregations, until the steps are used up. Rows whose Mahalanobis distance
-under the estimate exceeds a chi-square quantile are rejected. A concentration step is one aggregation by group and
-distance bin, so no group is gathered: the bins that hold the h nearest rows give the next mean and covariance.
+steps over all rows of the group as Spark aggregations, until no group's determinant falls any more. Rows whose
+Mahalanobis distance under the estimate exceeds a chi-square quantile are rejected. A concentration step is one
+aggregation by group and distance bin, so no group is gathered: the bins that hold the h nearest rows give the next
+mean and covariance.
 
 Defined results: a null text has no words; null languages and sources are values of their own; groups under min_rows
-share one estimate, and if they are fewer than min_rows together, only the base rules decide; rows without words get
-no distance; repeated rows get equal results; other columns are ignored.
+share one estimate with the small groups of their language, and where those are fewer than min_rows together, with the
+small groups of all languages; if even they are fewer, only the base rules decide; rows without words get no distance;
+null ids stay null; repeated rows get equal results; an empty table gives an empty result; texts of any length are
+counted whole; other columns can be carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import text_groups, window_hashes, word_hashes, written
+from brindle.llm.common import discard, give_back, text_groups, window_hashes, word_hashes, written, written_at
 
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -31,6 +35,8 @@ _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = {"log_words": 0.3, "word_length": 0.3, "symbol_share": 0.05, "dup_line_share": 0.08, "repeat_share": 0.05}
 P = len(FEATURES)
 _BINS = 24
+#: Concentration of a group ends when its log determinant falls by no more than this.
+_SETTLED = 1e-3
 
 
 def repeated_words(hashes: np.ndarray, words: list[bytes], k: int = 5) -> int:
@@ -72,16 +78,20 @@ def text_counts(texts: list[str | None]) -> dict[str, list[int]]:
     return out
 
 
-def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source and the counts of every text: a map over the rows."""
+def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the counts of every text, and the columns named in carry as _carry_<name>: a map over the rows."""
+    carried = [F.col(c).alias(f"_carry_{c}") for c in carry]
 
     def run(batches):
         for batch, texts in text_groups(batches):
             counts = text_counts(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(counts[c], pa.int64()) for c in _STATS]], ["doc_id", "lang", "source", *_STATS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *[pa.array(counts[c], pa.int64()) for c in _STATS], *batch.columns[4:]], ["doc_id", "lang", "source", *_STATS, *batch.schema.names[4:]])
+        give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), *carried)
+    fields = rows.schema.fields
+    schema = T.StructType([fields[0], *fields[2:4], *[T.StructField(c, T.LongType()) for c in _STATS], *fields[4:]])
+    return rows.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- the estimate
@@ -149,11 +159,13 @@ def sample_mcd(x: np.ndarray, share: float, starts: int, seed: int) -> tuple[np.
     return best[1], best[2]
 
 
-_ESTIMATE = "_group string, mean array<double>, inverse array<double>, n long"
+_ESTIMATE = "_group string, mean array<double>, inverse array<double>, logdet double, fell double"
 
 
-def _row(group: str, mean: np.ndarray, cov: np.ndarray, n: int) -> pd.DataFrame:
-    return pd.DataFrame({"_group": [group], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "n": [n]})
+def _row(group: str, mean: np.ndarray, cov: np.ndarray, before: float) -> pd.DataFrame:
+    """before: the last log determinant; fell tells by how much it fell."""
+    logdet = float(np.linalg.slogdet(cov)[1])
+    return pd.DataFrame({"_group": [group], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "logdet": [logdet], "fell": [before - logdet]})
 
 
 def _distance() -> Column:
@@ -172,21 +184,23 @@ def _concentrated(vectors: DataFrame, estimates: DataFrame, share: float) -> Dat
         *[F.sum(F.expr(moved[i])).alias(f"s{i}") for i in range(P)],
         *[F.sum(F.expr(f"{moved[i]} * {moved[j]}")).alias(f"q{i}_{j}") for i, j in pairs],
     )
-    sums = sums.join(estimates.select("_group", "mean"), "_group")
+    sums = sums.join(estimates.select("_group", "mean", "inverse", "logdet"), "_group")
 
     def update(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_bin")
-        n = int(pdf["c"].sum())
-        stop = int(np.searchsorted(pdf["c"].cumsum().to_numpy(), max(P + 1, int(share * n)))) + 1
+        stop = int(np.searchsorted(pdf["c"].cumsum().to_numpy(), max(P + 1, int(share * pdf["c"].sum())))) + 1
         near = pdf.iloc[:stop]
         c = near["c"].sum()
         shift = np.array([near[f"s{i}"].sum() / c for i in range(P)])
         cov = np.zeros((P, P))
         for i, j in pairs:
             cov[i, j] = cov[j, i] = near[f"q{i}_{j}"].sum() / c - shift[i] * shift[j]
-        return _row(pdf["_group"].iloc[0], np.array(pdf["mean"].iloc[0]) + shift, cov + _floor(), n)
+        out = _row(pdf["_group"].iloc[0], np.array(pdf["mean"].iloc[0]) + shift, cov + _floor(), float(pdf["logdet"].iloc[0]))
+        if out["fell"].iloc[0] < 0:  # a step by bins may overshoot where a group is small: then the estimate before it stays
+            out = pdf[["_group", "mean", "inverse", "logdet"]].head(1).assign(fell=0.0)
+        return out
 
-    return sums.groupBy("_group").applyInPandas(update, _ESTIMATE)
+    return sums.groupBy("_group").applyInPandas(update, _ESTIMATE).coalesce(vectors.sparkSession.sparkContext.defaultParallelism)  # a row a group
 
 
 def quality_rules(
@@ -201,35 +215,53 @@ def quality_rules(
     min_rows: int = 60,
     sample_rows: int = 500,
     starts: int = 120,
-    steps: int = 3,
+    steps: int = 60,
+    carry: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (squared, null where there is no estimate) and kept of every row.
+    """doc_id, the counts, base_failed, distance (squared, null where there is no estimate), kept, and the columns named in carry, of every row.
 
     share: of a group's rows that the estimate rests on. quantile: of the chi-square law that a kept row may reach.
-    sample_rows: bound of the sample on which the starts are tried; the steps after them use all rows.
+    sample_rows: bound of the sample on which the starts are tried; the steps after them use all rows. steps: a stop for
+    concentration that doesn't settle, far above what is needed; reaching it is an error.
     """
-    counts = written(document_counts(docs, id_col, text_col, lang_col, source_col), "counts")
+    counts = written(document_counts(docs, id_col, text_col, lang_col, source_col, carry), "counts")
     name = F.concat(*[F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.length(c).cast("string"), F.lit(":"), F.col(c))) for c in ("lang", "source")])
     words = F.col("n_words").cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
     x = F.array(F.log1p(words), (F.col("word_chars") + 100) / (words + 20), F.col("n_symbols") / words, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words)
     rows = counts.withColumn("_name", name)
     with_words = rows.filter("n_words > 0")
-    sizes = written(with_words.groupBy("_name").agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
-    pool = sizes.filter(F.col("_size") < min_rows).agg(F.sum("_size")).first()[0] or 0
+    sizes = with_words.groupBy("_name").agg(F.first(F.coalesce("lang", F.lit(""))).alias("_lang"), F.count(F.lit(1)).alias("_size"))
     small = F.col("_size") < min_rows
-    of = sizes.select("_name", F.when(~small, F.col("_name")).when(F.lit(pool >= min_rows), F.lit("")).alias("_group"), F.when(small, pool).otherwise(F.col("_size")).alias("_of"))
+    of_lang, of_all = Window.partitionBy("_lang", small), Window.partitionBy(F.col("_group").isNull())
+    sizes = sizes.withColumn("_pool", F.sum("_size").over(of_lang)).select(
+        "_name",
+        "_size",
+        F.when(~small, F.concat(F.lit("="), "_name")).when(F.col("_pool") >= min_rows, F.concat(F.lit("~"), "_lang")).alias("_group"),
+        F.when(~small, F.col("_size")).otherwise(F.col("_pool")).alias("_of"),
+    )  # one row a language and source: windows over them are small
+    rest = F.when(F.col("_group").isNull(), F.sum("_size").over(of_all))
+    of = sizes.withColumn("_rest", rest).select("_name", F.coalesce("_group", F.when(F.col("_rest") >= min_rows, F.lit(""))).alias("_group"), F.coalesce("_rest", "_of").alias("_of"))
+    of = written(of, "group-sizes")
     vectors = with_words.join(of, "_name").filter(F.col("_group").isNotNull()).select("_group", "_of", x.alias("x"), F.xxhash64("doc_id", F.lit(7)).alias("_key"))
     vectors = written(vectors, "vectors")
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_key")
-        return _row(pdf["_group"].iloc[0], *sample_mcd(np.stack(pdf["x"].to_numpy()), share, starts, 11), len(pdf))
+        return _row(pdf["_group"].iloc[0], *sample_mcd(np.stack(pdf["x"].to_numpy()), share, starts, 11), float("inf"))
 
     drawn = F.pmod("_key", F.lit(1 << 40)).cast("double") / float(1 << 40) < sample_rows / F.col("_of")
-    estimates = written(vectors.filter(drawn).select("_group", "x", "_key").groupBy("_group").applyInPandas(first, _ESTIMATE), "estimates")
+    estimates, path = written_at(vectors.filter(drawn).select("_group", "x", "_key").groupBy("_group").applyInPandas(first, _ESTIMATE), "estimates")
     for _ in range(steps):
-        estimates = written(_concentrated(vectors, estimates, share), "estimates")
+        moving = estimates.filter(f"fell > {_SETTLED}")
+        if moving.isEmpty():
+            break
+        stepped = _concentrated(vectors, moving, share).unionByName(estimates.filter(f"not fell > {_SETTLED}"))
+        (estimates, new), old = written_at(stepped, "estimates"), path
+        discard(docs.sparkSession, old)
+        path = new
+    else:
+        raise RuntimeError(f"determinants still fall after {steps} concentration steps")
 
     inner = chi_square_quantile(share, P)
     factor = share / chi_square_below(inner, P + 2)  # makes the covariance of the nearest rows that of all rows, for normal vectors
@@ -237,4 +269,4 @@ def quality_rules(
     judged = rows.join(of.select("_name", "_group"), "_name", "left").join(estimates.select("_group", "mean", "inverse"), "_group", "left").withColumn("x", F.when(F.col("n_words") > 0, x))
     judged = judged.withColumn("distance", _distance() / factor)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return judged.select("doc_id", *_STATS, failed.alias("base_failed"), "distance", (~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    return judged.select("doc_id", *_STATS, failed.alias("base_failed"), "distance", (~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
