@@ -1,11 +1,9 @@
-"""A compressed full-text index over words: Burrows-Wheeler transform in a wavelet matrix of packed bits."""
+"""A compressed full-text index over words: Burrows-Wheeler transform in a wavelet matrix of packed bits, and a sampled suffix array."""
 
 from __future__ import annotations
 
 import numpy as np
 
-_DIRECT = 4  # intervals up to this length are compared word by word instead of being narrowed further
-
 
 class PackedBits:
     """Bits with rank: 64-bit words and one count before each."""
@@ -22,9 +20,13 @@ class PackedBits:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The bit at each place."""
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
 
 class WaveletMatrix:
-    """Rank of symbols in a sequence, one row of packed bits for each bit of a symbol."""
+    """Symbols of a sequence and their ranks, one row of packed bits for each bit of a symbol."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         self.levels = []
@@ -49,9 +51,18 @@ class WaveletMatrix:
             i = self._step(row, zeros, (symbol >> bit) & 1, i)
         return i - self.first[symbol]
 
+    def get(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before."""
+        symbol = np.zeros(len(i), np.int64)
+        for bit, row, zeros in self.levels:
+            one = row.get(i)
+            symbol |= one << bit
+            i = self._step(row, zeros, one, i)
+        return symbol, i - self.first[symbol]
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the text in the order of what follows, compared over depth symbols at least, by prefix doubling."""
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of the text in the order of what follows, by prefix doubling."""
     n = len(text)
     rank, done = text.astype(np.int64), 1
     while True:
@@ -63,48 +74,50 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
         done *= 2
-        if done >= depth or rank.max() == n - 1:
+        if rank.max() == n - 1:
             return order
 
 
 class FMIndex:
-    """Backward search for many patterns at once. text: symbols from 1, 0 between its pieces."""
+    """Backward search for many patterns at once. text: symbols from 1, and 0 between its pieces.
+
+    Kept are the transform in a wavelet matrix, one count a symbol, and every sample-th place of the suffix array.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.text = text
-        self.places = suffix_order(text, depth)
+    def __init__(self, text: np.ndarray, sample: int = 8):
+        places = suffix_order(text)
         size = int(text.max()) + 1
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.bwt = WaveletMatrix(text[self.places - 1], size)
+        self.bwt = WaveletMatrix(text[places - 1], size)
+        marked = places % sample == 0
+        self.marks, self.sampled = PackedBits(marked), places[marked].astype(np.int32)
 
-    def smallest(self, at: np.ndarray, k: int, order: np.ndarray) -> np.ndarray:
-        """For the k symbols from each place: the smallest order among the places where the same k symbols stand.
+    def matches(self, text: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text at the places where matches end: length, and the interval of where the match stands.
 
-        order has an entry for every place of the text.
+        The match at a place is the longest that ends there and stands in the index more than once, up to most symbols.
         """
-        out = order[at].copy()
+        length = np.zeros(len(at), np.int64)
+        low, high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         which, q = np.arange(len(at)), at
-        last = self.text[q + k - 1]
-        lo, hi = self.counts[last], self.counts[last + 1]
-        for j in range(k - 1, -1, -1):
-            if j < k - 1:
-                c = self.text[q + j]
-                lo, hi = self.counts[c] + self.bwt.rank(c, lo), self.counts[c] + self.bwt.rank(c, hi)
-            few = hi - lo <= _DIRECT
-            if few.any():  # a single place is the pattern itself
-                for x in range(_DIRECT):
-                    mine = np.flatnonzero(few & (hi - lo > max(x, 1)))
-                    start = self.places[lo[mine] + x] - j
-                    mine, start = mine[start >= 0], start[start >= 0]
-                    same = np.ones(len(mine), bool)
-                    for y in range(j):
-                        same &= self.text[start + y] == self.text[q[mine] + y]
-                    mine, start = mine[same], start[same]
-                    out[which[mine]] = np.minimum(out[which[mine]], order[start])
-                which, q, lo, hi = which[~few], q[~few], lo[~few], hi[~few]
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.counts[-1])
+        for done in range(1, most + 1):
+            c = text[q]
+            lo, hi = self.counts[c] + self.bwt.rank(c, lo), self.counts[c] + self.bwt.rank(c, hi)
+            more = (hi - lo > 1) & (c > 0)
+            which, q, lo, hi = which[more], q[more] - 1, lo[more], hi[more]
             if not len(which):
-                return out
-        bounds, inverse = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
-        low = np.minimum.reduceat(np.append(order[self.places], np.iinfo(np.int64).max), bounds.ravel())[::2]
-        out[which] = np.minimum(out[which], low[inverse.ravel()])
+                break
+            length[which], low[which], high[which] = done, lo, hi
+        return length, low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the text of rows of the suffix array: steps to the symbol before, until a sampled one."""
+        out, which, steps = np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        while len(which):
+            hit = self.marks.get(rows) == 1
+            out[which[hit]] = self.sampled[self.marks.rank(rows[hit])] + steps
+            which, rows = which[~hit], rows[~hit]
+            symbol, before = self.bwt.get(rows)
+            rows, steps = self.counts[symbol] + before, steps + 1
         return out

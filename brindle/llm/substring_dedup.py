@@ -4,17 +4,19 @@ Windows are dealt to shards by content: the smallest hash of the 4-word grams in
 windows have equal anchors wherever they stand, and neighbouring windows mostly share theirs. A run of windows with one
 anchor is a segment of at most 2 k - 4 words.
 
-1. A map task describes segments by two hashes and keeps the first of equal ones; the others are repeats as a whole.
-2. Segments meet by anchor. Again only the first of equal ones goes on, and only where an anchor has several.
-3. The words of those segments are fetched and dealt to shards. Each shard builds an FM-index over its segments and
-   streams every window through it by backward search; intervals that hold an earlier place are reported. Of an anchor
-   with very many different segments no words are gathered: the first place of each window's hash is found by a
-   partially aggregated minimum, and the other places are repeats.
-4. The reported intervals are removed from their documents.
+1. A map task describes segments by 96 bits of hash and keeps the first of equal ones; the others are repeats as a
+   whole. Segments meet by anchor, and again only the first of equal ones goes on, where an anchor has several. So
+   copies, however many, are never gathered.
+2. An anchor with very many different segments is taken apart into single windows, which meet by their own hash.
+3. The words of the other segments are fetched and dealt to shards. Each shard builds an FM-index over its segments in
+   the order of the corpus, and streams them through it: backward search gives the length of the longest match at
+   every word, matches of k words are reported, and the sampled suffix array tells which place is the first.
+4. The reported windows are removed from their documents.
 
 Windows are judged on the input. Defined results: a null text has no words; a text with fewer words than k keeps all;
-rows without an id keep all their words and repeat nothing; rows that share an id are one document, in which what is
-removed from one is removed from each; other columns are ignored.
+a null id counts as the largest; equal ids go by a checksum of their texts; rows that share id and text are one
+document and get the same result; an empty table gives an empty result; texts of any length are read whole; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +26,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import mixed, power, spans_of, text_groups, text_table, window_hashes, word_hashes, written
+from brindle.llm.common import give_back, mixed, power, spans_of, text_groups, text_table, window_hashes, word_hashes, written
 from brindle.llm.fm_index import FMIndex
 
 _GRAM = 4
 _SEGMENT, _REPEAT = 0, 1
-_SEGMENTS = "kind int, anchor long, content long, doc_id long, start int, n int"
-_NAMES = ["kind", "anchor", "content", "doc_id", "start", "n"]
+_SEGMENTS = "kind int, anchor long, content long, check int, doc long, tie int, start int, n int"
+_NAMES = ["kind", "anchor", "content", "check", "doc", "tie", "start", "n"]
+_TYPES = [np.int32, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.int32]
+_LAST = (1 << 63) - 1
 
 
-def _rows(kind: int, anchor, content, doc, start, n) -> pa.RecordBatch:
-    columns = [np.full(len(doc), kind, np.int32), anchor.view(np.int64), content.view(np.int64), doc, start.astype(np.int32), n.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], _NAMES)
+def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """columns: anchor, content, check, doc, tie, start, n."""
+    columns = [np.full(len(columns[0]), kind), *columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t))) for c, t in zip(columns, _TYPES)], _NAMES)
+
+
+def _split(columns: list[np.ndarray]):
+    """Segments of a task: the first of equal ones, and the others as repeats, which are spread by their place."""
+    anchor, content, check, doc, tie, start, n = columns
+    order = np.lexsort((start, tie, doc, check, content, anchor))
+    anchor, content, check, doc, tie, start, n = (c[order] for c in columns)
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (check[1:] != check[:-1])])
+    group = np.cumsum(new) - 1
+    later = (doc != doc[new][group]) | (tie != tie[new][group]) | (start != start[new][group])
+    yield _rows(_SEGMENT, *(c[new] for c in (anchor, content, check, doc, tie, start, n)))
+    if later.any():
+        place = mixed(doc[later].view(np.uint64) * np.uint64(1 << 20) + start[later].astype(np.uint64))
+        yield _rows(_REPEAT, place, *(c[later] for c in (content, check, doc, tie, start, n)))
+
+
+def _check(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """32 bits of a second hash of the words from first on."""
+    other = mixed(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(other * power("up", len(other)), dtype=np.uint64)])
+    return (mixed((sums[first + size] - sums[first]) * power("down", len(other))[first]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def segments(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,34 +84,22 @@ def segments(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _describe(k: int):
     def run(batches):
-        for batch, texts in text_groups(batches, limit=4_000_000):
+        for batch, texts in text_groups(batches, limit=3_000_000):
             hashes, at = word_hashes([(t or "").encode() for t in texts])
-            ids = np.asarray(batch.column(0).fill_null(-1))
-            known = ~np.asarray(batch.column(0).is_null())
-            owner = np.repeat(np.arange(len(texts)), np.diff(at))
-            start, n, anchor, content = segments(hashes, owner, k)
-            row = owner[start] if len(start) else start
-            keep = known[row] if len(start) else np.empty(0, bool)
-            start, n, anchor, content, row = start[keep], n[keep], anchor[keep], content[keep], row[keep]
+            doc, tie = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            start, n, anchor, content = segments(hashes, np.repeat(np.arange(len(texts)), np.diff(at)), k)
             if not len(start):
                 continue
-            doc, start = ids[row], start - at[row]
-            order = np.lexsort((start, doc, content, anchor))
-            anchor, content, doc, start, n = anchor[order], content[order], doc[order], start[order], n[order]
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
-            group = np.cumsum(new) - 1
-            later = (doc != doc[new][group]) | (start != start[new][group])
-            yield _rows(_SEGMENT, anchor[new], content[new], doc[new], start[new], n[new])
-            if later.any():  # these need no comparison and are spread by their place
-                place = mixed(doc[later].view(np.uint64) * np.uint64(1 << 20) + start[later].view(np.uint64))
-                yield _rows(_REPEAT, place, content[later], doc[later], start[later], n[later])
+            row = np.searchsorted(at, start, side="right") - 1
+            yield from _split([anchor, content, _check(hashes, start, n + k - 1), doc[row], tie[row], start - at[row], n])
+        give_back()
 
     return run
 
 
 def _compare(batches):
-    """Of segments sorted by anchor, content, doc_id, start: the first of equal ones where the anchor has several contents; the others as repeats."""
-    last = None  # anchor, content, doc, start of the content at hand
+    """Of segments sorted by anchor, content, check and place: the first of equal ones where the anchor has several contents; the others as repeats."""
+    last = None  # anchor, content, check, and the place of the content at hand
     held = None  # the first row of the anchor at hand, as long as it is the only content
     for batch in batches:
         kind = np.asarray(batch.column(0))
@@ -94,16 +108,16 @@ def _compare(batches):
             batch = batch.filter(pa.array(kind == _SEGMENT))
         if not batch.num_rows:
             continue
-        anchor, content, doc, start, n = (np.asarray(batch.column(i)) for i in range(1, 6))
-        same_anchor = np.concatenate([[last is not None and anchor[0] == last[0]], anchor[1:] == anchor[:-1]])
-        same = same_anchor & np.concatenate([[last is not None and content[0] == last[1]], content[1:] == content[:-1]])
+        columns = [np.asarray(batch.column(i)) for i in range(1, 8)]
+        joined = [np.concatenate([[last is not None and c[0] == last[i]], c[1:] == c[:-1]]) for i, c in enumerate(columns[:3])]
+        same_anchor = joined[0]
+        same = same_anchor & joined[1] & joined[2]
         new = np.flatnonzero(~same)
         group = np.cumsum(~same)
-        heads_doc = np.concatenate([[last[2] if last else 0], doc[new]])
-        heads_start = np.concatenate([[last[3] if last else 0], start[new]])
-        later = same & ((doc != heads_doc[group]) | (start != heads_start[group]))
+        heads = [np.concatenate([[last[3 + i] if last else 0], c[new]])[group] for i, c in enumerate(columns[3:6])]
+        later = same & np.any([c != h for c, h in zip(columns[3:6], heads)], axis=0)
         if later.any():
-            yield _rows(_REPEAT, anchor[later], content[later], doc[later], start[later], n[later])
+            yield _rows(_REPEAT, *(c[later] for c in columns))
         joins = same_anchor[new]  # another content of the anchor before it
         if held is not None and len(new):
             if joins[0]:
@@ -114,10 +128,18 @@ def _compare(batches):
         if len(new) and not joins[-1]:
             held = batch.slice(int(new[-1]), 1)
             goes[-1] = False
-        at = new[goes]
-        if len(at):
-            yield _rows(_SEGMENT, anchor[at], content[at], doc[at], start[at], n[at])
-        last = (anchor[-1], content[-1], heads_doc[group[-1]], heads_start[group[-1]])
+        if goes.any():
+            yield _rows(_SEGMENT, *(c[new[goes]] for c in columns))
+        last = (*(c[-1] for c in columns[:3]), *(h[-1] for h in heads))
+
+
+def _pieces(batch: pa.RecordBatch, texts: list[str | None], k: int):
+    """Of rows (doc, tie, text, parts): each part with its document and words, if the text is the one that it was cut from."""
+    for doc, tie, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()):
+        words = (text or "").encode().split()
+        for p in parts:
+            if (size := p["n"] + k - 1) + p["start"] <= len(words):
+                yield p["anchor"], doc, tie, p["start"], words[p["start"] : p["start"] + size]
 
 
 def _fetch(k: int):
@@ -125,70 +147,72 @@ def _fetch(k: int):
 
     def run(batches):
         for batch, texts in text_groups(batches):
-            key, doc, first, out = [], [], [], []
-            for i, text, parts in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                words = (text or "").encode().split()
-                for p in parts:
-                    start, n, anchor = p["start"], p["n"], p["anchor"]
-                    if start + n + k - 1 > len(words):
-                        continue
-                    key.append(anchor)
-                    doc.append(i)
-                    first.append(start)
-                    out.append(b" ".join(words[start : start + n + k - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(out, pa.binary())], ["shard", "doc_id", "start", "words"])
+            rows = [(anchor, doc, tie, start, b" ".join(words)) for anchor, doc, tie, start, words in _pieces(batch, texts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["shard", "doc", "tie", "start", "words"])
+        give_back()
 
     return run
 
 
 def _windows(k: int):
-    """Anchor, hash and place of the windows of a document's segments."""
+    """The windows of a document's segments as segments of their own, each with its hash as its anchor."""
 
     def run(batches):
         for batch, texts in text_groups(batches):
-            anchor, hashed, doc, first = ([np.empty(0, np.int64)] for _ in range(4))
-            for i, text, parts in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                hashes, _ = word_hashes([(text or "").encode()])
-                for p in parts:
-                    if p["start"] + p["n"] + k - 1 > len(hashes):
-                        continue
-                    hashed.append(window_hashes(hashes[p["start"] : p["start"] + p["n"] + k - 1], k).view(np.int64))
-                    anchor.append(np.full(p["n"], p["anchor"], np.int64))
-                    doc.append(np.full(p["n"], i, np.int64))
-                    first.append(np.arange(p["start"], p["start"] + p["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((anchor, np.int64), (hashed, np.int64), (doc, np.int64), (first, np.int32))], ["anchor", "hash", "doc_id", "start"])
+            rows = list(_pieces(batch, texts, k))
+            if not rows:
+                continue
+            hashes, at = word_hashes([b" ".join(r[4]) for r in rows])
+            n = np.diff(at) - k + 1
+            of = np.repeat(np.arange(len(rows)), n)
+            offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            first = at[:-1][of] + offset
+            own = window_hashes(hashes, k)[first]
+            doc, tie, start = (np.array([r[i] for r in rows], t)[of] for i, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
+            yield from _split([own, own, _check(hashes, first, np.full(len(of), k)), doc, tie, start + offset, np.ones(len(of), np.int32)])
+        give_back()
 
     return run
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """doc_id, start, n (1): the windows whose hash has an earlier place."""
-    place = F.struct("doc_id", "start")
-    first = windows.groupBy("anchor", "hash").agg(F.min(place).alias("_first"))
-    return windows.join(first, ["anchor", "hash"]).filter(place != F.col("_first")).select("doc_id", "start", F.lit(1).alias("n"))
-
-
-def earlier_windows(docs: np.ndarray, starts: np.ndarray, pieces: list[list[bytes]], k: int) -> list[tuple[int, int, int]]:
-    """(doc_id, first window, number of windows) of the runs of windows that also stand earlier in the pieces."""
+def earlier_windows(pieces: list[tuple[int, int, int, list[bytes]]], k: int) -> list[tuple[int, int, int, int]]:
+    """(doc, tie, first window, number of windows) of the runs of windows that also stand earlier among the pieces (doc, tie, start, words)."""
+    pieces = sorted(pieces, key=lambda p: p[:3])
     names: dict[bytes, int] = {}
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    lengths = np.fromiter((len(p[3]) for p in pieces), np.int64, len(pieces))
     begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) + 1
     text = np.zeros(int(lengths.sum()) + len(pieces) + 1, np.int64)
     for b, piece in zip(begin.tolist(), pieces):
-        text[b : b + len(piece)] = [names.setdefault(w, len(names) + 1) for w in piece]
-    windows = lengths - k + 1
-    piece = np.repeat(np.arange(len(pieces)), windows)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at, doc, start = begin[piece] + offset, docs[piece], starts[piece] + offset
-    by = np.lexsort((start, doc))
-    new = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (start[by][1:] != start[by][:-1])])
-    order = np.full(len(text), np.iinfo(np.int64).max)
-    order[at[by]] = np.cumsum(new)
-    earlier = FMIndex(text, k).smallest(at, k, order) < order[at]
+        text[b : b + len(piece[3])] = [names.setdefault(w, len(names) + 1) for w in piece[3]]
+    n = lengths - k + 1
+    piece = np.repeat(np.arange(len(pieces)), n)
+    at = begin[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    index = FMIndex(text)
+    length, low, high = index.matches(text, at + k - 1, k)
+    earlier, found = np.zeros(len(at), bool), np.flatnonzero(length >= k)
+    if not len(found):
+        return []
+    bounds, of = np.unique(np.stack([low[found], high[found]], 1), axis=0, return_inverse=True)
+    sizes = bounds[:, 1] - bounds[:, 0]
+    starts = np.cumsum(sizes) - sizes
+    rows = np.repeat(bounds[:, 0] - starts, sizes) + np.arange(int(sizes.sum()))
+    # the text is in the order of the corpus, but a window stands twice where two segments of one document overlap
+    spots = index.locate(rows)
+    places = np.searchsorted(begin, spots, side="right") - 1
+    key = np.array([p[:3] for p in pieces], np.int64)
+    doc, tie, start = key[places, 0], key[places, 1], key[places, 2] + spots - begin[places]
+    order = np.lexsort((start, tie, doc, np.repeat(np.arange(len(sizes)), sizes)))
+    first = order[starts]
+    own = key[piece[found]]
+    offset = own[:, 2] + at[found] - begin[piece[found]]
+    first = first[of.ravel()]
+    earlier[found] = (doc[first] != own[:, 0]) | (tie[first] != own[:, 1]) | (start[first] != offset)
     out = []
     for a, b in zip(*spans_of(earlier)):
         cuts = [a, *(np.flatnonzero(piece[a + 1 : b] != piece[a : b - 1]) + a + 1).tolist(), b]
-        out += [(int(doc[x]), int(start[x]), int(y - x)) for x, y in zip(cuts, cuts[1:])]
+        for x, y in zip(cuts, cuts[1:]):
+            own = pieces[piece[x]]
+            out.append((own[0], own[1], own[2] + int(at[x] - begin[piece[x]]), int(y - x)))
     return out
 
 
@@ -196,23 +220,22 @@ def _search(k: int, shard_words: int):
     """Of segments sorted by shard: repeats. Whole shards are taken together up to shard_words words."""
 
     def run(batches):
-        docs, starts, pieces, size, last = [], [], [], 0, None
+        pieces, size, last = [], 0, None
 
         def found():
-            got = earlier_windows(np.array(docs, np.int64), np.array(starts, np.int64), pieces, k) if len(pieces) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start", "n"])
+            got = earlier_windows(pieces, k) if len(pieces) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "tie", "start", "n"])
 
         for batch in batches:
-            for shard, doc, start, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for shard, *place, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size > shard_words and shard != last:
                     yield found()
-                    docs, starts, pieces, size = [], [], [], 0
+                    pieces, size = [], 0
                 last = shard
-                docs.append(doc)
-                starts.append(start)
-                pieces.append(words.split())
-                size += len(pieces[-1])
+                pieces.append((*place, words.split()))
+                size += len(pieces[-1][3])
         yield found()
+        give_back()
 
     return run
 
@@ -221,7 +244,7 @@ def _remove(k: int):
     def run(batches):
         for batch, texts in text_groups(batches):
             n_words, n_removed, removed, kept = [], [], [], []
-            for text, parts in zip(texts, batch.column(2).to_pylist()):
+            for text, parts in zip(texts, batch.column(1).to_pylist()):
                 words = (text or "").encode().split()
                 gone = np.zeros(len(words), bool)
                 if parts:
@@ -236,7 +259,7 @@ def _remove(k: int):
                 removed.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(*spans_of(gone))])
                 kept.append((b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if parts else b" ".join(words)).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())],
+                [batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "removed", "kept"],
             )
 
@@ -249,20 +272,27 @@ def dedup_substrings(docs: DataFrame, k: int = 20, *, id_col: str = "doc_id", te
     shard_words: size at which a task closes an index. split_at: different segments that an anchor may have unsplit.
     """
     texts = text_table(docs, id_col, text_col)
-    rows = texts.mapInArrow(_describe(k), _SEGMENTS)
-    rows = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "content", "doc_id", "start")
-    rows = written(rows.mapInArrow(_compare, _SEGMENTS), "segments")
-    repeats = rows.filter(F.col("kind") == _REPEAT).select("doc_id", "start", "n")
-    several = rows.filter(F.col("kind") == _SEGMENT).select("anchor", "doc_id", "start", "n")
-    large = written(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("_of")).filter(F.col("_of") > split_at), "large-anchors")
-    parts = lambda df: df.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("parts"))
+    texts = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), (F.crc32(F.coalesce("text", F.lit(""))) - (1 << 31)).cast("int").alias("tie"), "text", "doc_id")
+    place = ["doc", "tie"]
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        sorted_ = rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "content", "check", "doc", "tie", "start")
+        return written(sorted_.mapInArrow(_compare, _SEGMENTS), name)
+
+    def with_parts(segments_: DataFrame) -> DataFrame:
+        parts = segments_.groupBy(*place).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("parts"))
+        return texts.join(parts.hint("merge"), place).select("doc", "tie", "text", "parts")
+
+    rows = met(texts.drop("doc_id").mapInArrow(_describe(k), _SEGMENTS), "segments")
+    repeats = rows.filter(F.col("kind") == _REPEAT).select(*place, "start", "n")
+    several = rows.filter(F.col("kind") == _SEGMENT).select("anchor", *place, "start", "n")
+    large = written(several.groupBy("anchor").agg(F.count(F.lit(1)).alias("_of")).filter(F.col("_of") > split_at).select("anchor"), "large-anchors")
     if not large.isEmpty():
-        split = texts.join(parts(several.join(large, "anchor", "left_semi")), "doc_id").select("doc_id", "text", "parts")
-        repeats = repeats.unionByName(_repeated_windows(written(split.mapInArrow(_windows(k), "anchor long, hash long, doc_id long, start int"), "windows")))
+        windows = met(with_parts(several.join(large, "anchor", "left_semi")).mapInArrow(_windows(k), _SEGMENTS), "windows")
+        repeats = repeats.unionByName(windows.filter(F.col("kind") == _REPEAT).select(*place, "start", "n"))
         several = several.join(large, "anchor", "left_anti")
-    wanted = parts(several)
-    pieces = texts.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(_fetch(k), "shard long, doc_id long, start int, words binary")
-    found = pieces.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_search(k, shard_words), "doc_id long, start int, n int")
-    gone = repeats.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
-    joined = texts.join(gone, "doc_id", "left").select("doc_id", "text", "parts")
+    pieces = with_parts(several).mapInArrow(_fetch(k), "shard long, doc long, tie int, start int, words binary")
+    found = pieces.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_search(k, shard_words), "doc long, tie int, start int, n int")
+    gone = repeats.unionByName(found).groupBy(*place).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    joined = texts.join(gone.hint("merge"), place, "left").select("text", "parts", "doc_id")
     return joined.mapInArrow(_remove(k), "doc_id long, n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
