@@ -38,8 +38,9 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(_docs(spark, sf_dir))
     joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
     base = "filter(spans, s -> s.pattern)"
-    counts = [F.expr(f"cast(size(filter(spans, s -> s.pattern and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
-    return out.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.pattern and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.PATTERN_KINDS]
+    more = [F.expr("cast(size(filter(spans, s -> not s.pattern)) as long)").alias("n_added"), F.size("spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(F.expr(joined.format(base)), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"), *more)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ h AS (SELECT *, CAST('0x' || left(md5(line), 8) AS BIGINT) AS h FROM e),
 c AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS ends FROM h),
 g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
 k AS (SELECT doc_id, g, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, g),
-r AS (SELECT *, n > 1 AND length(t) >= 20 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, s) > 1 AS gone FROM k)
+r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, s) > 1 AS gone FROM k)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(t, chr(10) ORDER BY g) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
