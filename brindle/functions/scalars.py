@@ -69,3 +69,25 @@ def cache_key(params: Column) -> Column:
 def any_keyword(text: Column, words: list[str]) -> Column:
     """Whether any of the words is part of the lower-cased text."""
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+
+
+def fenced_json(text: Column, schema: str) -> Column:
+    """The JSON inside a ```json fence, or the bare JSON, as a struct; null where it can't be read."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return F.from_json(bare, schema)
+
+
+def encoded(data: Column) -> Column:
+    """base64 of bytes or of a text's UTF-8, on one line."""
+    return F.base64(data)
+
+
+def parse_instant(text: Column) -> Column:
+    """ISO with a T and Z, or a plain day; null for others."""
+    iso = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.coalesce(iso, F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+
+
+def pair_base(pair: Column, quote: str = "USDT") -> Column:
+    """BTC of BTCUSDT."""
+    return F.replace(pair, F.lit(quote), F.lit(""))

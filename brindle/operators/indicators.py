@@ -131,14 +131,14 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 
 def ema_fold(df: DataFrame, x: str, weight: float, by: str = "source", order: str = "ts") -> DataFrame:
-    """by, ewma: value after folding weight of the old and the rest of the new through each series in order."""
-    values = F.array_sort(F.collect_list(F.struct(order, x)))
-    fold = F.aggregate(
-        F.slice(F.col("_v"), 2, F.greatest(F.size("_v") - 1, F.lit(0))),
-        F.element_at("_v", 1)[x],
-        lambda acc, r: acc * weight + r[x] * (1 - weight),
-    )
-    return df.groupBy(by).agg(values.alias("_v")).select(by, fold.alias("ewma"))
+    """by, ewma: value after folding weight of the old and the rest of the new through each series in order.
+
+    That is a sum in which a value counts by its rank from the end, so nothing is gathered; equal times go by value.
+    """
+    back = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col(x).desc())
+    rows = df.select(by, x, order).withColumns({"_r": F.row_number().over(back) - 1, "_first": F.lead(order).over(back).isNull()})
+    share = F.pow(F.lit(weight), F.col("_r")) * F.when(F.col("_first"), 1.0).otherwise(1 - weight)
+    return rows.groupBy(by).agg(F.sum(F.col(x) * share).alias("ewma"))
 
 
 def technical_features(df: DataFrame) -> DataFrame:

@@ -49,27 +49,32 @@ def peaks(y: np.ndarray, least_prominence: float) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def garch_next_variance(returns: np.ndarray, rounds: int = 4) -> float:
-    """Variance of the next return under a zero-mean GARCH(1,1), fitted by maximum likelihood on a grid that is refined around its best point; omega follows from the sample variance."""
+def garch_next_variance(returns: np.ndarray, rounds: int = 14) -> float:
+    """Variance of the next return under a zero-mean GARCH(1,1), fitted by maximum likelihood over omega, alpha and beta.
+
+    The likelihood of a whole grid of parameters is run through the returns at once; the grid then shrinks around its
+    best point. omega goes by its share of the sample variance, on a logarithmic scale.
+    """
     r2 = np.square(returns)
-    target = float(r2.mean())
-    if not len(r2) or target <= 0:
+    target = float(r2.mean()) if len(r2) else 0.0
+    if target <= 0:
         return target
 
-    def path(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        omega, h, loss = target * (1 - a - b), np.full(len(a), target), np.zeros(len(a))
+    def path(omega: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, loss = np.full(len(a), target), np.zeros(len(a))
         for x in r2:
             loss += np.log(h) + x / h
             h = omega + a * x + b * h
         return loss, h
 
-    centre, span = (0.1, 0.8), (0.1, 0.2)
-    best = target
+    centre, span, best = np.array([-2.5, 0.3, 0.6]), np.array([4.5, 0.3, 0.4]), target
     for _ in range(rounds):
-        a, b = (x.ravel() for x in np.meshgrid(np.linspace(centre[0] - span[0], centre[0] + span[0], 13), np.linspace(centre[1] - span[1], centre[1] + span[1], 13)))
-        ok = (a >= 0) & (b >= 0) & (a + b < 0.999)
-        a, b = a[ok], b[ok]
-        loss, h = path(a, b)
+        grid = [np.linspace(c - s, c + s, 9) for c, s in zip(centre, span)]
+        w, a, b = (x.ravel() for x in np.meshgrid(*grid))
+        ok = (a >= 0) & (b >= 0) & (a + b < 1)
+        w, a, b = w[ok], a[ok], b[ok]
+        loss, h = path(target * np.exp(w), a, b)
         at = int(np.argmin(loss))
-        centre, span, best = (a[at], b[at]), (span[0] / 3, span[1] / 3), float(h[at])
+        moved = np.abs(np.array([w[at], a[at], b[at]]) - centre) > span / 2
+        centre, span, best = np.array([w[at], a[at], b[at]]), np.where(moved, span, span / 2), float(h[at])
     return best

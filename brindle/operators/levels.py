@@ -1,11 +1,14 @@
 """Support and resistance factors.
 
-Every detector takes bars and gives rows (symbol, price, factor_type, strength, direction). Theta joins of levels and
-bars stay inside a symbol and compare every bar of it with every level; the other detectors use windows and aggregates.
+Every detector takes bars and gives rows (symbol, price, factor_type, strength, direction). Levels meet bars
+by price bucket; the other detectors use windows and aggregates.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,11 +64,21 @@ def gaps(bars: DataFrame, mode: str = "previous_bar") -> DataFrame:
 
 
 def touches(levels: DataFrame, bars: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """levels (symbol, price) with touches: bars whose high or low lies within the tolerance of the price."""
+    """levels (symbol, price) with touches: bars whose high or low lies within the tolerance of the price.
+
+    Prices are put into logarithmic buckets as wide as the tolerance's range, so a level meets the bars of two or three
+    buckets and not its symbol's whole history.
+    """
+    width = math.log((1 + tolerance) / (1 - tolerance))
+    bucket = lambda x: F.when(x > 0, F.floor(F.log(x) / width)).when(x == 0, F.lit(-(1 << 40)))
     lo, hi = F.col("price") * (1 - tolerance), F.col("price") * (1 + tolerance)
-    near = F.col("high").between(lo, hi) | F.col("low").between(lo, hi)
-    hit = levels.select("symbol", "price").distinct().join(bars.select("symbol", "high", "low"), "symbol").groupBy("symbol", "price").agg(F.count_if(near).alias("touches"))
-    return levels.join(hit, ["symbol", "price"])
+    own = levels.select("symbol", "price").distinct().filter("price >= 0").withColumn("_b", F.explode(F.sequence(bucket(lo), bucket(hi))))
+    highs = bars.select("symbol", F.col("high").alias("_x"), F.lit(None).cast("double").alias("_high"))
+    lows = bars.select("symbol", F.col("low").alias("_x"), F.col("high").alias("_high"))  # a bar whose high counts doesn't count again
+    sides = highs.unionByName(lows).withColumn("_b", bucket(F.col("_x")))
+    near = F.col("_x").between(lo, hi) & ~F.coalesce(F.col("_high").between(lo, hi), F.lit(False))
+    hit = own.join(sides, ["symbol", "_b"]).filter(near).groupBy("symbol", "price").agg(F.count(F.lit(1)).alias("touches"))
+    return levels.join(hit, ["symbol", "price"], "left").withColumn("touches", F.coalesce("touches", F.lit(0)))
 
 
 def historical_sr(bars: DataFrame) -> DataFrame:
@@ -87,30 +100,45 @@ def swing_points(bars: DataFrame, half: int = 10) -> DataFrame:
     return make("high", "resistance").unionByName(make("low", "support"))
 
 
-def volume_profile(bars: DataFrame, max_edges: int = 1000) -> DataFrame:
-    """symbol, bin, price (middle), volume: each bar's volume counted in every bin it overlaps.
+def volume_profile(bars: DataFrame) -> DataFrame:
+    """symbol, first_bin, last_bin, price (middle), volume: runs of neighbouring bins that the same bars overlap, each bar's volume counted in every bin.
 
-    Bins are half a percent of the lowest price wide; max_edges bounds their number where that price is near zero.
+    Bins are half a percent of the lowest price wide, at least ten (ten where that price is 0 or less). However many they
+    are, a bar only adds its volume at its first bin and takes it away after its last; sums between are exact decimals.
     """
     b = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
-    b = b.withColumn("_edges", F.least(F.lit(max_edges), F.greatest(F.lit(10), F.floor(ratio(F.col("_hi") - F.col("_lo"), F.col("_lo") * 0.005)).cast("int"))))
+    b = b.withColumn("_edges", F.greatest(F.lit(10), F.floor(ratio(F.col("_hi") - F.col("_lo"), F.col("_lo") * 0.005))))
     b = b.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (F.col("_edges") - 1))
     place = lambda x: F.least(F.greatest(F.floor((F.col(x) - F.col("_lo")) / F.col("_step")) + 1, F.lit(1)), F.col("_edges"))
-    df = bars.join(b, "symbol").withColumns({"_from": place("low"), "_to": place("high")})
-    bins = F.explode(F.sequence(F.col("_from") - 1, F.least(F.greatest(F.col("_to") - 1, F.col("_from") - 1), F.col("_edges").cast("long") - 2)))
-    df = df.filter(F.col("_from") - 1 <= F.col("_edges") - 2).select("symbol", "volume", "_lo", "_step", bins.alias("bin"))
-    return df.groupBy("symbol", "bin").agg(F.sum("volume").alias("volume"), F.first("_lo").alias("_lo"), F.first("_step").alias("_step")).select("symbol", "bin", (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_step")).alias("price"), "volume")
+    df = bars.join(b, "symbol").withColumns({"_from": place("low") - 1, "_to": place("high") - 1}).filter(F.col("_from") <= F.col("_edges") - 2)
+    stop = F.least(F.greatest("_to", "_from"), F.col("_edges") - 2) + 1
+    amount = F.col("volume").cast("decimal(28,8)")
+    ends = F.explode(F.array(F.struct(F.col("_from").alias("bin"), amount.alias("v"), F.lit(1).alias("n")), F.struct(stop.alias("bin"), (-amount).alias("v"), F.lit(-1).alias("n"))))
+    df = df.select("symbol", "_lo", "_step", ends.alias("_e")).groupBy("symbol", "_lo", "_step", F.col("_e.bin").alias("first_bin")).agg(F.sum("_e.v").alias("_v"), F.sum("_e.n").alias("_c"))
+    runs = Window.partitionBy("symbol").orderBy("first_bin")
+    df = df.withColumns({"last_bin": F.lead("first_bin").over(runs) - 1, "volume": F.sum("_v").over(runs).cast("double"), "_c": F.sum("_c").over(runs)}).filter("_c > 0")
+    return df.select("symbol", "first_bin", "last_bin", (F.col("_lo") + ((F.col("first_bin") + F.col("last_bin")) / 2 + 0.5) * F.col("_step")).alias("price"), "volume")
 
 
 def volume_peaks(bars: DataFrame) -> DataFrame:
-    """Peaks of the volume profile with a prominence of one population deviation. A profile has a few hundred bins at most."""
+    """Peaks of the volume profile with a prominence of one population deviation over all bins. A profile has two runs a bar at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        y = pdf.set_index("bin")["volume"].reindex(range(int(pdf["bin"].max()) + 1), fill_value=0.0)
-        at = peaks(y.to_numpy(), float(y.std(ddof=0)))
-        price = pdf.set_index("bin")["price"]
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "price": price.reindex(at).to_numpy(), "factor_type": "volume_profile", "strength": y.to_numpy()[at] / y.max(), "direction": "pivot"})
+        pdf = pdf.sort_values("first_bin")
+        first, last, volume, price = (pdf[c].to_numpy() for c in ("first_bin", "last_bin", "volume", "price"))
+        gap = np.flatnonzero(np.concatenate([[first[0] > 0], first[1:] > last[:-1] + 1]))  # bins without bars are runs of 0
+        before = np.concatenate([[-1], last[:-1]])
+        size = np.concatenate([last - first + 1, first[gap] - before[gap] - 1])
+        order = np.argsort(np.concatenate([first, before[gap] + 1]), kind="stable")
+        first, size = np.concatenate([first, before[gap] + 1])[order], size[order]
+        y, at = np.concatenate([volume, np.zeros(len(gap))])[order], np.concatenate([price, np.full(len(gap), np.nan)])[order]
+        new = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))  # equal neighbours are one plateau
+        share = np.add.reduceat(size, new)
+        middle = np.add.reduceat(at * size, new) / share
+        heights = y[new]
+        mean = (heights * share).sum() / share.sum()
+        found = peaks(heights, float(np.sqrt((share * np.square(heights - mean)).sum() / share.sum())))
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "price": middle[found], "factor_type": "volume_profile", "strength": heights[found] / heights.max(), "direction": "pivot"})
 
     return volume_profile(bars).groupBy("symbol").applyInPandas(run, "symbol string, price double, factor_type string, strength double, direction string")
 

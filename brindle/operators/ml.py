@@ -46,9 +46,10 @@ class Forest:
         self.features, self.model = features, model
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str], target: str = "target", trees: int = 100, seed: int = 42) -> Forest:
+    def fit(cls, df: DataFrame, features: list[str], target: str = "target", trees: int = 100, depth: int = 30, seed: int = 42) -> Forest:
+        """depth: 30, the deepest that the forest can grow."""
         rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df.fillna(0.0, features))
-        return cls(features, RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=6, seed=seed).fit(rows))
+        return cls(features, RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(rows))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with prediction; features that df lacks count as 0."""

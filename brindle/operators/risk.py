@@ -77,15 +77,15 @@ def realized_volatility(bars: DataFrame, n: int = 30) -> DataFrame:
     return tail(ind.log_returns(bars), n).groupBy("symbol").agg(F.round(F.stddev_samp("log_ret") * math.sqrt(365) * 100, 2).alias("realized_vol"))
 
 
-def garch_volatility(bars: DataFrame, n: int = 500) -> DataFrame:
-    """symbol, garch_vol: annualised percent for the next bar from a GARCH(1,1) of the last n log returns."""
+def garch_volatility(bars: DataFrame) -> DataFrame:
+    """symbol, garch_vol: annualised percent for the next bar from a GARCH(1,1) of all log returns. A series' bars are one group: the likelihood is a recursion over them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = 100 * pdf.sort_values("ts")["log_ret"].dropna().to_numpy()
         vol = float(np.sqrt(garch_next_variance(r)) * np.sqrt(365)) if len(r) > 10 else None
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "garch_vol": [vol]})
 
-    return tail(ind.log_returns(bars), n).select("symbol", "ts", "log_ret").groupBy("symbol").applyInPandas(run, "symbol string, garch_vol double")
+    return ind.log_returns(bars).select("symbol", "ts", "log_ret").groupBy("symbol").applyInPandas(run, "symbol string, garch_vol double")
 
 
 def synthetic_iv(bars: DataFrame, fear_greed: Column | float = 50.0) -> DataFrame:

@@ -13,14 +13,22 @@ from brindle.operators.levels import WEIGHTS, current
 
 
 def clustered(factors: DataFrame, cur: DataFrame, tolerance: float = 0.015) -> DataFrame:
-    """factors with cluster: average linkage on the price up to tolerance of the current price. A symbol has hundreds of factors, not millions."""
+    """factors with cluster (its first price's rank among the symbol's prices): average linkage on the price up to tolerance of the current price.
+
+    Where two neighbouring prices are that far apart, no cluster reaches over them, since means lie within their
+    clusters. So only runs of closer prices are linked, each by itself.
+    """
     schema = "symbol string, price double, factor_type string, strength double, direction string, cur double, cluster long"
+    order = Window.partitionBy("symbol").orderBy("price", "factor_type", "direction", "strength")
+    rows = factors.join(cur, "symbol").select("symbol", "price", "factor_type", "strength", "direction", "cur")
+    apart = F.coalesce(F.col("price") - F.lag("price").over(order) >= F.abs("cur") * tolerance, F.lit(True))
+    rows = rows.withColumns({"_rank": F.row_number().over(order).cast("long"), "_apart": apart.cast("int")}).withColumn("_run", F.sum("_apart").over(order))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(cluster=linkage_1d(pdf["price"].to_numpy(), float(pdf["cur"].iloc[0]) * tolerance))
+        own = linkage_1d(pdf["price"].to_numpy(), abs(float(pdf["cur"].iloc[0])) * tolerance)
+        return pdf.assign(cluster=pdf["_rank"].groupby(own).transform("min"))[[f.split()[0] for f in schema.split(", ")]]
 
-    rows = factors.join(cur, "symbol").select("symbol", "price", "factor_type", "strength", "direction", "cur")
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+    return rows.groupBy("symbol", "_run").applyInPandas(run, schema)
 
 
 def scored(rows: DataFrame, least: int = 2) -> DataFrame:
@@ -73,3 +81,9 @@ def nearest(zones: DataFrame, count: int = 5, direction: str = "both", max_dista
         zones = zones.filter(F.col("distance_pct") > 0 if direction == "above" else F.col("distance_pct") < 0)
     w = Window.partitionBy("symbol").orderBy(F.abs("distance_pct"), "cluster")
     return zones.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= count).drop("_k")
+
+
+def exported(zones: DataFrame) -> DataFrame:
+    """symbol, zone: each zone as JSON, prices with two decimals and scores with three."""
+    fields = [F.round(c, 2).alias(c) for c in ("zone_price", "low", "high")] + [F.round(c, 3).alias(c) for c in ("score", "distance_pct")]
+    return zones.select("symbol", F.to_json(F.struct(*fields, "zone_type", "strength", "n_factors")).alias("zone"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.rolling import change, last_row, tail
 from brindle.operators import consensus, decisions, levels, microstructure, ml, onchain, regimes, risk, sentiment, signals, zones
 from brindle.operators import indicators as ind
-from brindle.plans.registry import R, over, register, sql
+from brindle.plans.registry import ORACLES, R, over, register, sql
 from brindle.sources.views import Market
 
 _O = "OVER (PARTITION BY symbol ORDER BY ts)"
@@ -126,13 +126,16 @@ register(
 register(
     "volume_profile",
     sql(
-        f"SELECT symbol, bin, {R('lo + (bin + 0.5::DOUBLE) * step')} AS price, {R('sum(volume)')} AS volume FROM e GROUP BY symbol, bin, lo, step",
+        f"SELECT symbol, bin AS first_bin, last_bin, {R('lo + ((bin + last_bin) / 2 + 0.5::DOUBLE) * step')} AS price, {R('CAST(volume AS DOUBLE)')} AS volume FROM r WHERE n > 0",
         "bars",
         ctes="""b AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM bars GROUP BY 1),
-c AS (SELECT *, least(1000, greatest(10, CAST(floor((hi - lo) / (lo * 0.005::DOUBLE)) AS INT))) AS edges FROM b),
+c AS (SELECT *, greatest(10, CAST(floor((hi - lo) / (lo * 0.005::DOUBLE)) AS BIGINT)) AS edges FROM b),
 d AS (SELECT *, (hi - lo) / (edges - 1) AS step FROM c),
-p AS (SELECT symbol, volume, lo, step, edges, CAST(least(greatest(floor((low - lo) / step) + 1, 1), edges) AS BIGINT) AS f, CAST(least(greatest(floor((high - lo) / step) + 1, 1), edges) AS BIGINT) AS t FROM bars JOIN d USING (symbol)),
-e AS (SELECT symbol, volume, lo, step, unnest(range(f - 1, least(greatest(t - 1, f - 1), edges - 2) + 1)) AS bin FROM p WHERE f - 1 <= edges - 2)""",
+p AS (SELECT symbol, CAST(volume AS DECIMAL(28, 8)) AS v, lo, step, edges, CAST(least(greatest(floor((low - lo) / step) + 1, 1), edges) AS BIGINT) - 1 AS f, CAST(least(greatest(floor((high - lo) / step) + 1, 1), edges) AS BIGINT) - 1 AS t FROM bars JOIN d USING (symbol)),
+q AS (SELECT symbol, v, lo, step, f, least(greatest(t, f), edges - 2) + 1 AS t FROM p WHERE f <= edges - 2),
+e AS (SELECT symbol, lo, step, f AS bin, v, 1 AS n FROM q UNION ALL SELECT symbol, lo, step, t, -v, -1 FROM q),
+g AS (SELECT symbol, lo, step, bin, sum(v) AS v, sum(n) AS n FROM e GROUP BY ALL),
+r AS (SELECT symbol, lo, step, bin, lead(bin) OVER w - 1 AS last_bin, sum(v) OVER w AS volume, sum(n) OVER w AS n FROM g WINDOW w AS (PARTITION BY symbol ORDER BY bin))""",
     ),
 )(lambda m: _rr(levels.volume_profile(m.bars()), price=6, volume=6))
 register("factor_volume_peaks")(lambda m: _f(levels.volume_peaks(m.bars())))
@@ -275,11 +278,11 @@ CASE WHEN n < 50 THEN 0.5::DOUBLE WHEN ap > p95 * 1.05 THEN 0.8::DOUBLE WHEN (v
         ctes=_DETECT,
     ),
 )(lambda m: regimes.detect(m.bars()))
-register("markov_next", "SELECT r AS regime, n AS next_regime, p AS next_probability FROM (VALUES ('bull_trending', 'distribution', 0.2::DOUBLE), ('bear_trending', 'sideways_compression', 0.25), ('sideways_compression', 'bull_trending', 0.3), ('high_volatility', 'sideways_compression', 0.4), ('distribution', 'bear_trending', 0.5), ('AFRICA', 'sideways_compression', 0.2)) t(r, n, p)")(
-    lambda m: regimes.likely_next(m.spark.createDataFrame([(r,) for r in [*regimes.REGIMES, "AFRICA"]], "regime string"))
+register("markov_next", f"SELECT symbol, regime, n AS next_regime, p AS next_probability FROM ({ORACLES['regime_detector']}) JOIN (VALUES ('bull_trending', 'distribution', 0.2::DOUBLE), ('bear_trending', 'sideways_compression', 0.25), ('sideways_compression', 'bull_trending', 0.3), ('high_volatility', 'sideways_compression', 0.4), ('distribution', 'bear_trending', 0.5)) t(r, n, p) ON r = regime")(
+    lambda m: regimes.likely_next(regimes.detect(m.bars())).select("symbol", "regime", "next_regime", "next_probability")
 )
-register("regime_constraints", "SELECT r AS regime, a AS max_allocation, s AS stop_type FROM (VALUES ('bull_trending', 0.8::DOUBLE, 'trailing'), ('bear_trending', 0.3, 'fixed_tight'), ('sideways_compression', 0.4, 'range_bound'), ('high_volatility', 0.5, 'volatility_based'), ('distribution', 0.2, 'aggressive_profit_taking'), ('other', 0.5, 'standard')) t(r, a, s)")(
-    lambda m: regimes.constraints(m.spark.createDataFrame([(r,) for r in [*regimes.REGIMES, "other"]], "regime string")).select("regime", "max_allocation", "stop_type")
+register("regime_constraints", f"SELECT symbol, regime, a AS max_allocation, s AS stop_type FROM ({ORACLES['regime_detector']}) JOIN (VALUES ('bull_trending', 0.8::DOUBLE, 'trailing'), ('bear_trending', 0.3, 'fixed_tight'), ('sideways_compression', 0.4, 'range_bound'), ('high_volatility', 0.5, 'volatility_based'), ('distribution', 0.2, 'aggressive_profit_taking')) t(r, a, s) ON r = regime")(
+    lambda m: regimes.constraints(regimes.detect(m.bars())).select("symbol", "regime", "max_allocation", "stop_type")
 )
 
 # ---- risk
@@ -484,7 +487,7 @@ register("rf_train_predict")(lambda m: _forest(m))
 def _forest(m: Market) -> DataFrame:
     features = ["tech_rsi", "tech_sma_dist", "tech_volatility"]
     train, test = ml.ordered_split(ml.dataset(m.bars()))
-    return ml.Forest.fit(train, features, trees=20).predict(test).select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
+    return ml.Forest.fit(train, features).predict(test).select("symbol", "ts", F.round("prediction", 6).alias("prediction"))
 
 
 _FC = f"""d AS (SELECT *, coalesce(greatest(close - lag(close) {_O}, 0), 0) AS up, coalesce(greatest(lag(close) {_O} - close, 0), 0) AS dn, ln(close / lag(close) {_O}) AS lr, count(*) OVER (PARTITION BY symbol) AS n FROM bars),

@@ -11,7 +11,7 @@ from brindle.plans.registry import R, register, sql
 from brindle.sources import readers, sinks
 from brindle.sources.views import Market
 
-_GAP_DAYS = "(SELECT * FROM daily_flow WHERE day(ts) % 7 <> 0)"
+_GAP_DAYS = "(SELECT * FROM daily_flow WHERE net_flow > 0)"  # days with a net inflow: the others are the gaps
 
 
 def _rr(df: DataFrame, **digits: int) -> DataFrame:
@@ -72,8 +72,9 @@ def _numbers(m: Market) -> DataFrame:
 
 register(
     "large_number_format",
-    """SELECT o_orderkey, CASE WHEN o_totalprice * 1000 >= 1e9 THEN printf('$%.2fB', o_totalprice * 1000 / 1e9) WHEN o_totalprice * 1000 >= 1e6 THEN printf('$%.2fM', floor(o_totalprice * 10) / 10 * 1000 / 1e6) ELSE 'small' END AS text FROM orders WHERE o_totalprice * 1000 >= 1e9""",
-)(lambda m: m.table("orders").filter("o_totalprice * 1000 >= 1e9").select("o_orderkey", scalars.large_number(F.col("o_totalprice") * 1000).alias("text")))
+    """SELECT o_orderkey, CASE WHEN x >= 1e9 THEN printf('$%.2fB', x / 1e9) WHEN x >= 1e6 THEN printf('$%.2fM', x / 1e6) WHEN x >= 1e3 THEN printf('$%.2fK', x / 1e3) ELSE printf('$%.2f', x) END AS text
+    FROM (SELECT o_orderkey, (o_totalprice * o_totalprice / 4 + 1) * 1.000003::DOUBLE AS x FROM orders)""",
+)(lambda m: m.table("orders").select("o_orderkey", scalars.large_number((F.col("o_totalprice") * F.col("o_totalprice") / 4 + 1) * 1.000003).alias("text")))
 register("label_bucketize", f"SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.85 THEN 'critical' WHEN c_acctbal / 10000 >= 0.70 THEN 'strong' WHEN c_acctbal / 10000 >= 0.55 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN c_acctbal / 5000 - 1 > 0.6 THEN 'very_bullish' WHEN c_acctbal / 5000 - 1 > 0.2 THEN 'bullish' WHEN c_acctbal / 5000 - 1 > -0.2 THEN 'neutral' WHEN c_acctbal / 5000 - 1 > -0.6 THEN 'bearish' ELSE 'very_bearish' END AS mood FROM customer")(
     lambda m: m.table("customer").select("c_custkey", scalars.banded(F.col("c_acctbal") / 10000, scalars.STRENGTH, "weak").alias("strength"), scalars.sentiment_label(F.col("c_acctbal") / 5000 - 1).alias("mood"))
 )
@@ -101,10 +102,10 @@ def _price_flows(m: Market) -> DataFrame:
 
 
 register("asof_backward", sql(f"SELECT p.ts, direction, {R('b.close')} AS asof_close FROM predictions p ASOF LEFT JOIN (SELECT ts, close FROM bars_1h) b ON p.ts >= b.ts", "predictions", "bars_1h"))(
-    lambda m: evaluation.asof(m.predictions(), m.bars_1h(), "close", tolerance="2 days").select("ts", "direction", F.round("asof_close", 6).alias("asof_close"))
+    lambda m: evaluation.asof(m.predictions(), m.bars_1h(), "close").select("ts", "direction", F.round("asof_close", 6).alias("asof_close"))
 )
 register("asof_forward", sql(f"SELECT p.ts, direction, {R('b.close')} AS next_close FROM predictions p ASOF LEFT JOIN (SELECT ts, close FROM bars_1h) b ON p.ts < b.ts", "predictions", "bars_1h"))(
-    lambda m: evaluation.asof(m.predictions(), m.bars_1h(), "close", direction="forward", tolerance="2 days").select("ts", "direction", F.round("next_close", 6).alias("next_close"))
+    lambda m: evaluation.asof(m.predictions(), m.bars_1h(), "close", direction="forward").select("ts", "direction", F.round("next_close", 6).alias("next_close"))
 )
 _EVAL = f"""e AS (SELECT p.*, a.close AS cur, n.close AS nxt FROM predictions p ASOF JOIN bars_1h a ON p.ts >= a.ts ASOF JOIN bars_1h n ON p.ts < n.ts)"""
 register(
@@ -145,10 +146,10 @@ def _netflow(m: Market) -> DataFrame:
 
 
 register("missing_dates", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT min(ts) FROM g), (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes=f"g AS {_GAP_DAYS}"))(
-    lambda m: resample.missing_dates(m.daily_flow().filter("day(ts) % 7 <> 0").select(F.col("ts").alias("date")))
+    lambda m: resample.missing_dates(m.daily_flow().filter("net_flow > 0").select(F.col("ts").alias("date")))
 )
 register("missing_dates_last_30", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT max(ts) FROM g) - INTERVAL 30 DAY, (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes=f"g AS {_GAP_DAYS}"))(
-    lambda m: resample.missing_dates(m.daily_flow().filter("day(ts) % 7 <> 0").select(F.col("ts").alias("date")), lookback_days=30)
+    lambda m: resample.missing_dates(m.daily_flow().filter("net_flow > 0").select(F.col("ts").alias("date")), lookback_days=30)
 )
 register("missing_bars_15m", sql("SELECT symbol, ts FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTE)) AS ts FROM bars_15m GROUP BY symbol) ANTI JOIN bars_15m USING (symbol, ts)", "bars_15m"))(
     lambda m: resample.missing_bars(m.bars("15m"), "15m")
@@ -165,12 +166,13 @@ def _distance(m: Market) -> DataFrame:
 
 # ---- merges
 
-_MERGE = "o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 2 = 0)"
+_MERGE = "o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)"
 
 
 def _sides(m: Market) -> tuple[DataFrame, DataFrame]:
-    c = m.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return c.filter("k % 3 <> 0"), c.filter("k % 2 = 0").withColumn("v", F.col("v") * 2)
+    """Balances of all customers, and the largest order of those who have one."""
+    old = m.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return old, m.table("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
 
 
 register("upsert_merge", sql("SELECT k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n USING (k)", ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"]))
@@ -220,9 +222,6 @@ register("last_user_turns", "SELECT conv_id, turn FROM (SELECT *, row_number() O
 register("open_turns", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'user') AND NOT bool_or(role = 'assistant')")(
     lambda m: m.table("conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "user").alias("u"), F.bool_or(F.col("role") == "assistant").alias("a")).filter("u and not a").select("conv_id")
 )
-register("session_activity", None)(
-    lambda m: m.table("events").groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select("user_id", F.col("s.start").alias("start"), "n", "value")
-)
 register(
     "session_activity",
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events),

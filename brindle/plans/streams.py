@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.plans.registry import R, register, sql
@@ -20,8 +21,21 @@ def _stream(m: Market, table: str) -> DataFrame:
     return m.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(m.path)
 
 
-def _checkpoint(m: Market) -> str:
-    return f"{m.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="brindle-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may go without it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
+    return (where or _own_folder()).rstrip("/")
+
+
+def _folder(m: Market) -> str:
+    return f"{shared_folder(m.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _ticks(m: Market) -> DataFrame:
@@ -29,7 +43,7 @@ def _ticks(m: Market) -> DataFrame:
 
 
 def _stream_bars(m: Market) -> DataFrame:
-    out = sb.run_available(sb.stream_bars(_ticks(m)), _checkpoint(m), f"bars_{uuid.uuid4().hex}")
+    out = sb.run_available(sb.stream_bars(_ticks(m)), _folder(m))
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
@@ -38,7 +52,7 @@ register("stream_resample", sql(f"SELECT symbol, ts, {R('open')} AS open, {R('hi
 
 def _stream_heatmap(m: Market) -> DataFrame:
     levels = _ticks(m).select("ts", "price", "qty")
-    out = sb.run_available(sb.stream_heatmap(levels, "4 hours", "2 hours"), _checkpoint(m), f"heat_{uuid.uuid4().hex}")
+    out = sb.run_available(sb.stream_heatmap(levels, "4 hours", "2 hours"), _folder(m))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "bucket", F.col("qty").cast("long").alias("qty"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -153,3 +154,44 @@ def page_fields(pages: DataFrame) -> DataFrame:
     """page_id, title, n_links, n_items of raw pages."""
     links = F.size(F.regexp_extract_all("html", F.lit(r"<a href="), 0))
     return pages.select("page_id", F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"), links.cast("long").alias("n_links"), F.size(F.regexp_extract_all("html", F.lit("<li>"), 0)).cast("long").alias("n_items"))
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, modified, size of the files below a folder of any store; nothing is read of their content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def newest_file(found: DataFrame) -> DataFrame:
+    """The file changed last, of rows of files(): what to fall back on."""
+    return found.orderBy(F.col("modified").desc(), F.col("path").desc()).limit(1)
+
+
+def pipeline_status(found: DataFrame, as_of: Column) -> DataFrame:
+    """name, modified, lag_hours, stale (a day or more) of rows of files()."""
+    lag = (as_of.cast("timestamp").cast("double") - F.col("modified").cast("double")) / 3600
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "modified", lag.alias("lag_hours"), (lag >= 24).alias("stale"))
+
+
+def intervals(found: DataFrame) -> DataFrame:
+    """interval, path of files named <anything>_<interval>.<ending>; of several the last by name."""
+    interval = F.regexp_extract("path", r"_([0-9]+[mhdw])\.[A-Za-z]+$", 1)
+    return found.withColumn("interval", interval).filter(F.col("interval") != "").groupBy("interval").agg(F.max("path").alias("path"))
+
+
+def extracted(df: DataFrame, rules: list[dict], text: str = "text") -> DataFrame:
+    """df with one column a rule. A rule has name, strategy and what it needs: label_regex (pattern, group), json_path (path), text_block_contains (words), stat_label_value (label: the number after it)."""
+    for r in rules:
+        c = F.col(text)
+        if r["strategy"] == "label_regex":
+            got = F.nullif(F.regexp_extract(c, r["pattern"], r.get("group", 1)), F.lit(""))
+        elif r["strategy"] == "json_path":
+            got = F.get_json_object(c, r["path"])
+        elif r["strategy"] == "text_block_contains":
+            got = F.forall(F.array(*map(F.lit, r["words"])), lambda w: F.contains(c, w))
+        elif r["strategy"] == "stat_label_value":
+            got = F.nullif(F.regexp_extract(c, re.escape(r["label"]) + r"\D{0,40}?(-?[0-9][0-9,]*\.?[0-9]*)", 1), F.lit("")).cast("string")
+        else:
+            raise ValueError(f"unknown strategy {r['strategy']}")
+        df = df.withColumn(r["name"], got)
+    return df

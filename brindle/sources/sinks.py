@@ -54,3 +54,26 @@ def by_priority(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def first_non_empty(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """primary, or fallback where primary has no row."""
     return fallback if primary.isEmpty() else primary
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Writes CSV with a header, in as many files as df has partitions."""
+    df.write.option("header", True).mode("overwrite").csv(path)
+
+
+def split_rows(df: DataFrame) -> DataFrame:
+    """data: each row as a JSON array, in the order of df's columns: the split orientation without gathering a frame in one document."""
+    return df.select(F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit("null")) for c in df.columns]), F.lit("]")).alias("data"))
+
+
+def with_outcomes(log: DataFrame, updates: DataFrame) -> DataFrame:
+    """A decision log (id, made_at, context, outcome, reflection) after point updates (id, at, outcome, reflection): the last non-null values of each id win."""
+    last = updates.groupBy("id").agg(F.max_by("outcome", F.when(F.col("outcome").isNotNull(), F.col("at"))).alias("_o"), F.max_by("reflection", F.when(F.col("reflection").isNotNull(), F.col("at"))).alias("_r"))
+    return log.join(last, "id", "left").withColumns({"outcome": F.coalesce("_o", "outcome"), "reflection": F.coalesce("_r", "reflection")}).drop("_o", "_r")
+
+
+def appended(log: DataFrame, decisions: DataFrame, context: list[str]) -> DataFrame:
+    """log with new decisions (id, made_at and the context columns, kept as JSON); outcomes are open."""
+    none = F.lit(None).cast("string")
+    new = decisions.select("id", "made_at", F.to_json(F.struct(*context)).alias("context"), F.lit(None).cast("double").alias("outcome"), none.alias("reflection"))
+    return log.unionByName(new)

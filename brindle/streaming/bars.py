@@ -29,7 +29,18 @@ def stream_sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     return out.select("user_id", F.col("_s.start").alias("start"), "n")
 
 
-def run_available(df: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming frame over what its source holds now into a memory table and gives that table."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a streaming aggregation over what its source holds now and gives its rows.
+
+    Every batch's updated rows are written to a Parquet folder of that batch; a repeated batch overwrites its own. The
+    result is read from the last batch that wrote each key, so nothing passes through the driver.
+    """
+    keys = [c for c in ("symbol", "user_id", "ts", "start", "bucket") if c in df.columns]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/n={number}")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.parquet(f"{folder}/rows").drop("n")
+    values = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, *[f"_v.{c}" for c in values])
