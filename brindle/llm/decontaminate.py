@@ -1,11 +1,14 @@
 """Benchmark decontamination: Aho-Corasick automata over normalised test questions and answers.
 
-Every item becomes windows of normalised words. The windows of all items go into one automaton, and each text is
-scanned once; matches are mapped back to code-point offsets of the original text. A benchmark whose windows exceed
-max_chars becomes several automata, each bounded, that the plan applies one after the other to the same rows.
-
-Defined results: a null or wordless text has no words and no hits; an item without words matches nothing; repeated
-rows give repeated results; a null item id is reported as an empty string; other columns are ignored.
+Every item becomes windows of normalised words. The windows go into one automaton (the pyahocorasick library's), and
+each text is scanned once; matches are mapped back to code-point offsets of the original text. Only the items' texts are
+sent to the tasks, which cut the windows themselves. A benchmark of more than max_chars characters becomes several
+automata, each bounded, that the plan applies one after the other to the same rows; after every few of them the rows are
+written, so a benchmark of any size works and no more than a few parts are held at once.
+
+Defined results: a null or wordless text has no words and no hits; an item without words matches nothing; repeated rows
+and null ids give their own results; a null item id is reported as an empty string; an empty table, or an empty
+benchmark, gives no hits; texts of any length are scanned whole; other columns can be carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import spans_of, text_groups
+from brindle.llm.common import give_back, spans_of, text_groups, written
 
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _NORMAL = bytes(b if b in _WORD_BYTES else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _ORIGINAL_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_SCANNED = T.StructType().add("n_words", T.LongType()).add("hits", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()).add("item", T.StringType())))
+_SCANNED = T.StructType().add("n_words", T.LongType()).add("runs", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()))).add("items", T.ArrayType(T.StringType()))
 _SUMMED = T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).add("item_ids", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
-_ARROW_HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
+_ARROW_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_HELD = 8  # parts of a benchmark that are held at once
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -41,70 +45,80 @@ def _windows(words: list[bytes], k: int) -> Iterator[tuple[bytes, int]]:
         yield b" ".join(words[i : i + n]), n
 
 
-def _automata(benchmark: DataFrame, item_col: str, text_col: str, k: int, max_chars: int, max_total: int) -> list[dict]:
-    """The benchmark's windows as dicts window -> (words, item ids), each dict with at most about max_chars characters."""
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in parts of about max_chars characters; one part at least."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total > max_total:
-        raise ValueError(f"the benchmark holds {total} characters; more than {max_total} should be given in several calls")
-    parts: list[dict] = [{}]
-    size = 0
-    for row in items.toLocalIterator():
-        for key, n in _windows(normal_words(row["text"]), k):
-            if size > max_chars:
-                parts.append({})
-                size = 0
-            if key not in parts[-1]:
-                parts[-1][key] = (n, set())
-                size += len(key)
-            parts[-1][key][1].add(row["item"])
-    return parts
-
-
-def _scanner(shared, width: int, carried: bool, last: bool):
-    """width: how many columns come first and are passed on; the second is the text. carried: hits of earlier automata follow. last: gives the summary instead of hits."""
+    part, size = [], 0
+    for row in items.filter(F.length("text") > 0).toLocalIterator():
+        if part and size + len(row["text"]) > max_chars:
+            yield part
+            part, size = [], 0
+        part.append((row["item"], row["text"]))
+        size += len(row["text"])
+    yield part
+
+
+def _automaton(items: list[tuple[str, str]], k: int) -> tuple[ahocorasick.Automaton, list[list[str]]]:
+    """An automaton whose values are (words of the window, its number), and the items of each window."""
+    numbers: dict[bytes, int] = {}
+    holders: list[list[str]] = []
+    automaton = ahocorasick.Automaton()
+    for item, text in items:
+        for key, n in _windows(normal_words(text), k):
+            at = numbers.setdefault(key, len(numbers))
+            if at == len(holders):
+                holders.append([])
+                automaton.add_word(f" {key.decode('latin-1')} ", (n, at))
+            if not holders[at] or holders[at][-1] != item:
+                holders[at].append(item)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton, holders
+
+
+def _scanner(shared, k: int, width: int, carried: bool, last: bool):
+    """width: how many columns come first and are passed on; the second is the text. carried: what earlier automata found follows. last: gives the summary instead."""
 
     def scan(batches):
-        automaton = ahocorasick.Automaton()
-        for key, (n, items) in shared.value.items():
-            automaton.add_word(f" {key.decode('latin-1')} ", (n, sorted(items)))
-        if len(automaton):
-            automaton.make_automaton()
+        automaton, holders = _automaton(shared.value, k)
         for batch, texts in text_groups(batches):
-            before = batch.column(width + 1).to_pylist() if carried else [None] * len(texts)
-            counts, hits = [], []
-            for text, old in zip(texts, before):
+            runs = batch.column(width + 1).to_pylist() if carried else [[]] * len(texts)
+            known = batch.column(width + 2).to_pylist() if carried else [[]] * len(texts)
+            counts, masks, items = [], [], []
+            for text, before, names in zip(texts, runs, known):
                 words = normal_words(text)
                 counts.append(len(words))
-                found = [(h["first"], h["last"], h["item"]) for h in old or ()]
+                edges, hit = [(r["first"], r["last"] + 1) for r in before], set()
                 if words and len(automaton):
-                    hay = b" " + b" ".join(words) + b" "
                     ends = None
-                    for end, (n, items) in automaton.iter(hay.decode("latin-1")):
+                    for end, (n, at) in automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
                         if ends is None:
                             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                        at = int(np.searchsorted(ends, end))
-                        found += [(at - n + 1, at, item) for item in items]
-                hits.append(found)
+                        stop = int(np.searchsorted(ends, end)) + 1
+                        edges.append((stop - n, stop))
+                        hit.add(at)
+                step = np.zeros(len(words) + 1, np.int64)
+                if edges:
+                    first, stop = np.array(edges, np.int64).T
+                    np.add.at(step, first, 1)
+                    np.add.at(step, stop, -1)
+                masks.append(np.cumsum(step)[:-1] > 0)
+                items.append(sorted({*names, *(item for at in hit for item in holders[at])}))
             if last:
-                yield _summary(batch, width, texts, counts, hits)
+                yield _summary(batch, width, texts, counts, masks, items)
             else:
-                listed = [[{"first": a, "last": b, "item": c} for a, b, c in found] for found in hits]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(listed, _ARROW_HITS)], [*batch.schema.names[:width], "n_words", "hits"])
+                listed = [[{"first": int(a), "last": int(b) - 1} for a, b in zip(*spans_of(m))] for m in masks]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(listed, _ARROW_RUNS), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[:width], "n_words", "runs", "items"])
+        give_back()
 
     return scan
 
 
-def _summary(batch: pa.RecordBatch, width: int, texts: list, counts: list[int], hits: list) -> pa.RecordBatch:
-    n_hit, items, spans = [], [], []
-    for text, n, found in zip(texts, counts, hits):
-        mask = np.zeros(n, bool)
-        for a, b, _ in found:
-            mask[a : b + 1] = True
-        n_hit.append(int(mask.sum()))
-        items.append(sorted({item for _, _, item in found}))
-        at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if found else []
-        spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if found else [])
+def _summary(batch: pa.RecordBatch, width: int, texts: list, counts: list[int], masks: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+    n_hit, spans = [int(m.sum()) for m in masks], []
+    for text, mask, n in zip(texts, masks, n_hit):
+        at = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if n else []
+        spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(*spans_of(mask))] if n else [])
     kept = [i for i in range(width) if i != 1]
     return pa.RecordBatch.from_arrays(
         [*[batch.column(i) for i in kept], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
@@ -113,19 +127,22 @@ def _summary(batch: pa.RecordBatch, width: int, texts: list, counts: list[int],
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_chars: int = 5_000_000, max_total: int = 1_000_000_000, carry: list[str] | tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_chars: int = 500_000, carry: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, n_words, n_hit (words inside any benchmark window of k words), item_ids (sorted strings), spans (code points of the original, end exclusive), and the columns named in carry.
 
-    Only the benchmark's windows are sent to the tasks, at most about max_chars characters in one broadcast;
-    documents are neither shuffled nor joined.
+    Documents are neither shuffled nor joined; a part of at most about max_chars characters of the benchmark is one broadcast.
     """
     sc = docs.sparkSession.sparkContext
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     fields, width = out.schema.fields, len(out.columns)
-    parts = _automata(benchmark, item_col, item_text_col, k, max_chars, max_total)
-    for i, part in enumerate(parts):
-        last = i == len(parts) - 1
-        schema = T.StructType([f for f in fields if f.name != "text"] + _SUMMED.fields) if last else T.StructType(fields + _SCANNED.fields)
-        out = out.mapInArrow(_scanner(sc.broadcast(part), width, bool(i), last), schema)
+    passed, summed = T.StructType(fields + _SCANNED.fields), T.StructType([f for f in fields if f.name != "text"] + _SUMMED.fields)
+    parts = _parts(benchmark, item_col, item_text_col, max_chars)
+    part, i = next(parts), 0
+    while part is not None:
+        after = next(parts, None)
+        out = out.mapInArrow(_scanner(sc.broadcast(part), k, width, bool(i), after is None), summed if after is None else passed)
+        part, i = after, i + 1
+        if part is not None and i % _HELD == 0:
+            out = written(out, "scanned")
     return out.select("doc_id", *_SUMMED.names, *[F.col(f"_carry_{c}").alias(c) for c in carry])
