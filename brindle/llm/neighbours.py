@@ -118,8 +118,9 @@ def classify_quality(
         for batch, group in text_groups(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(trigram_counts(group, width)), pa.list_(pa.float32())), batch.column(2)], ["counts", "label"])
 
-    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "label").mapInArrow(count, "counts array<float>, label int")
-    rows = sample.toPandas()
+    # an id that stands in many rows, or has both labels, is learnt from once a label: by the text whose hash is smallest
+    known = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = known.select("doc_id", "text", "label").mapInArrow(count, "counts array<float>, label int").toPandas()
     counts = np.stack(rows["counts"].to_list()) if len(rows) else np.zeros((0, width), np.float32)
     model = docs.sparkSession.sparkContext.broadcast(NeighbourModel(counts, rows["label"].to_numpy(np.float64), idf, rank, nearest, sharpness))
 
