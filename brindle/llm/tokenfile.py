@@ -1,12 +1,14 @@
 """Token-id files with Elias-Fano document boundaries.
 
 A file is a Parquet data set whose rows are blocks: the concatenated ids of up to max_docs documents (2 bytes each
-where every id fits, else 4), the documents' ids, and the documents' ends as an Elias-Fano sequence: the low bits
+where every id fits, else 4), and two Elias-Fano sequences, the documents' ends and the documents' own ids: the low bits
 packed, the high parts in unary, and a select directory with one count for every 512 bits. No table of 64-bit offsets
-is kept. Blocks are rows, so they are written and read by Spark on any store.
+or ids is kept; a block has its place, its smallest and its largest id, by which single documents are found. Blocks are
+rows, so they are written and read by Spark on any store.
 
-Documents stand in ascending doc_id order, null ids first, ties by text. A null or empty text holds the end id alone;
-repeated rows are kept, each with its own place; an empty table makes an empty file; other columns are ignored.
+Documents stand in ascending doc_id order, null ids first, ties by a hash of their texts. A null or empty text holds
+the end id alone; repeated rows are kept, each with its own place; an empty table makes an empty file; texts of any
+length are encoded whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,13 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import text_groups, text_table
 
-_BLOCK = "part int, block int, before long, n_docs int, n_ids long, id_bytes int, doc_ids array<long>, low_bits int, low binary, high binary, directory binary, ids binary"
-_BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("directory", pa.binary()), ("ids", pa.binary())])
+_SEQUENCE = ["low_bits", "low", "high", "directory"]
+_BLOCK_ARROW = pa.schema(
+    [("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int32()), ("n_null", pa.int32()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64())]
+    + [(f"{which}_{name}", pa.int32() if name == "low_bits" else pa.binary()) for which in ("ends", "docs") for name in _SEQUENCE]
+    + [("ids", pa.binary())]
+)
+_BLOCK = ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long'}).get(f.type, 'binary')}" for f in _BLOCK_ARROW)
 _STRIDE = 512
 
 
@@ -103,6 +110,9 @@ class CachedEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters = np.zeros(len(self.ends), np.int64)
+        for t, i in vocabulary.items():
+            self.letters[i] = len(t.removesuffix("</w>")) if not t.startswith("[") and not t.startswith("<") else 0
         self.marks = {"": b""}
 
     def _ids(self, text: str) -> bytes:
@@ -110,9 +120,11 @@ class CachedEncoder:
 
     def _learn_runs(self, new: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) == len(new):
-            flat = ids.tobytes()
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        letters = np.concatenate([[0], np.cumsum(self.letters[ids])])[stops]
+        # every run must end where its letters end; an unknown letter has no length and fails that
+        if len(stops) == len(new) and (letters == np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))).all():
+            flat, cuts = ids.tobytes(), stops.tolist()
             self.runs.update(zip(new, [flat[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]))
         else:
             self.runs.update((x, self._ids(x)) for x in new)
@@ -157,11 +169,21 @@ def _block(part: int, block: int, before: int, ids: list[bytes], doc_ids: list[i
     lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), "<u4")
     small = not len(flat) or int(flat.max()) < 1 << 16
-    ef = EliasFano.of(np.cumsum(lengths))
-    row = [part, block, before, len(ids), len(flat), 2 if small else 4, doc_ids, ef.low_bits, ef.low, ef.high, ef.directory, flat.astype("<u2").tobytes() if small else flat.tobytes()]
+    known = [i for i in doc_ids if i is not None]
+    first, last = (known[0], known[-1]) if known else (None, None)
+    sequences = [EliasFano.of(np.cumsum(lengths)), EliasFano.of(np.array([i - first for i in known], np.int64))]
+    row = [part, block, before, len(ids), len(ids) - len(known), len(flat), 2 if small else 4, first, last]
+    row += [getattr(ef, name) for ef in sequences for name in _SEQUENCE]
+    row.append(flat.astype("<u2").tobytes() if small else flat.tobytes())
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
 
 
+def _sequences(row: dict) -> tuple[EliasFano, EliasFano]:
+    """Ends and ids (less the first) of a block."""
+    ends, docs = ([row[f"{which}_{name}"] for name in _SEQUENCE] for which in ("ends", "docs"))
+    return EliasFano(row["n_docs"], *ends), EliasFano(row["n_docs"] - row["n_null"], *docs)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 1024, max_ids: int = 1 << 20) -> None:
     """Encodes every text with the tokenizer file vocabulary, adds end_id, and writes blocks to path in ascending id order.
 
@@ -175,6 +197,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
         block, before, size, ids, doc_ids = 0, 0, 0, [], []
         for batch, texts in text_groups(batches, limit=2_000_000):
             for doc_id, got in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                if doc_id is not None and doc_ids and doc_ids[-1] is not None and doc_id - next(i for i in doc_ids if i is not None) >= 1 << 62:
+                    yield _block(part, block, before, ids, doc_ids)
+                    block, before, size, ids, doc_ids = block + 1, before + size, 0, [], []
                 ids.append(got + end)
                 doc_ids.append(doc_id)
                 size += len(got) // 4 + 1
@@ -184,7 +209,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = 2
         if ids:
             yield _block(part, block, before, ids, doc_ids)
 
-    rows = text_table(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = text_table(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))  # rows of one id, or without, are spread too
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(run, _BLOCK).write.option("compression", "lz4_raw").parquet(path)
 
 
@@ -204,11 +230,38 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["directory"])
+                ef, docs = _sequences(row)
                 ends = ef.get(np.arange(ef.n))
+                doc_ids = [None] * row["n_null"] + [row["first_id"] + int(x) for x in docs.get(np.arange(docs.n))]
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 flat = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + offsets[row["part"]] + row["before"]), pa.array(ends - starts), pa.array([flat[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + offsets[row["part"]] + row["before"]), pa.array(ends - starts), pa.array([flat[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], schema=schema)
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the documents with the given ids (a list that fits the driver). Only blocks whose range of ids holds one are read, and of them only its ends are decoded."""
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+    among = [F.col("first_id") <= int(i) for i in wanted[-1:]] + [F.col("last_id") >= int(i) for i in wanted[:1]]
+    blocks = blocks.filter(among[0] & among[1]) if len(wanted) else blocks.limit(0)
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                mine = wanted[(wanted >= row["first_id"]) & (wanted <= row["last_id"])]
+                if not len(mine):
+                    continue
+                ef, docs = _sequences(row)
+                held = docs.get(np.arange(docs.n)) + row["first_id"]
+                at = np.flatnonzero(np.isin(held, mine)) + row["n_null"]
+                stop, start = ef.get(at), np.where(at > 0, ef.get(np.maximum(at - 1, 0)), 0)
+                flat = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+                got = [flat[a:b].astype("<u4").tobytes() for a, b in zip(start, stop)]
+                yield pa.RecordBatch.from_arrays([pa.array(held[at - row["n_null"]]), pa.array(stop - start), pa.array(got, pa.binary())], schema=schema)
+
+    return blocks.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
