@@ -2,7 +2,7 @@
 
 Rows are shuffled by a seeded hash within their source and ranked; the fractional rank (rank - 1/2) / size of the
 source orders all rows, and equal runs of that order are the shards. No source is ever ranked in one task: hash ranges
-of about per_range rows are counted, their counts summed up in order, and rows are ranked inside their range only.
+of about per_range rows are counted, their counts summed up in order (in blocks, then over blocks), and rows are ranked inside their range only.
 
 The law is `rows`: shard sizes differ by one row at most. Defined results: a null source is a source of its own, a
 null id and a null text are allowed (size 8, crc32 of nothing), ties in the hash are broken by size and crc32,
@@ -16,13 +16,20 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import written
 
+_RANGES = 1024  # ranges that are summed up in one block
+
 
 def _ranked(rows: DataFrame, strata: list[str], range_of: Column, order: list[str], rank: str, total: str) -> DataFrame:
     """rows with their rank (from 1) within the strata in the given order, which ascends with range_of, and the strata's sizes."""
     rows = rows.withColumn("_range", range_of)
-    counts = rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    ordered, whole = Window.partitionBy(*strata).orderBy("_range"), Window.partitionBy(*strata)
-    before = counts.select(*strata, "_range", (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias(total))
+    counts = rows.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_range") / _RANGES))
+    # what stands before a range: the blocks of ranges before its own, and the ranges before it in its block
+    blocks = counts.groupBy(*strata, "_block").agg(F.sum("_n").alias("_b"))
+    ordered, whole = Window.partitionBy(*strata).orderBy("_block"), Window.partitionBy(*strata)
+    blocks = blocks.select(*strata, "_block", (F.sum("_b").over(ordered) - F.col("_b")).alias("_ahead"), F.sum("_b").over(whole).alias(total))
+    within = Window.partitionBy(*strata, "_block").orderBy("_range")
+    before = counts.withColumn("_before", F.sum("_n").over(within) - F.col("_n")).join(blocks, [*strata, "_block"])
+    before = before.select(*strata, "_range", (F.col("_before") + F.col("_ahead")).alias("_before"), total)
     inside = Window.partitionBy(*strata, "_range").orderBy(*order)
     numbered = rows.withColumn("_at", F.row_number().over(inside).cast("long"))
     return numbered.join(before, [*strata, "_range"]).withColumn(rank, F.col("_before") + F.col("_at")).drop("_range", "_before", "_at")
