@@ -484,6 +484,98 @@ def test_pattern_spans_stay(spark, network):
     assert any(s["kind"] == "secret" for s in spans)
 
 
+# ---- more of single operators
+
+
+def test_estimate_matches_an_exhaustive_search():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(9, outliers.P)), rng.normal(size=(3, outliers.P)) + 8])
+    h = int(0.75 * len(x))
+    least = min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) + outliers._floor())[1] for c in itertools.combinations(range(len(x)), h))
+    assert np.linalg.slogdet(outliers.sample_mcd(x, 0.75, 200, 1)[1])[1] == pytest.approx(least, abs=1e-6)
+
+
+def test_small_groups_share_their_languages_estimate(spark):
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randint(40, 80), 3000), "en" if i % 2 else "de", f"s{i % 40}", 0) for i in range(300)]
+    rows += [(1000, "# $ % & " * 40 + words(rng, 40, 3000), "en", "s1", 0)]
+    got = {r["doc_id"]: r for r in outliers.quality_rules(spark.createDataFrame(rows, DOC), carry=["lang"]).collect()}
+    assert all(r["distance"] is not None for r in got.values()) and not got[1000]["kept"]
+    assert sum(r["kept"] for r in got.values()) >= 290 and got[1000]["lang"] == "en"
+
+
+def test_votes_match_brute_force():
+    rng = np.random.default_rng(3)
+    counts, labels, new = rng.poisson(0.4, (60, 40)).astype(np.float32), (rng.random(60) < 0.5).astype(float), rng.poisson(0.4, (25, 40)).astype(np.float32)
+    model = neighbours.NeighbourModel(counts, labels, np.ones(40), 8, 5, 8.0)
+    unit = lambda x: [v / max(np.linalg.norm(v), 1e-9) for v in neighbours.weighted(x, model.idf) @ model.directions]
+    known, got = unit(counts), model.scores(new, block=7)
+    for z, row, score in zip(unit(new), new, got):
+        near = sorted(((float(z @ k), y) for k, y in zip(known, labels)), reverse=True)[:5]
+        w = [max(s, 0) ** 8.0 for s, _ in near]
+        want = (sum(a * y for a, (_, y) in zip(w, near)) + 0.05 * model.prior) / (sum(w) + 0.05) if row.sum() else model.prior
+        assert score == pytest.approx(want, abs=1e-4)
+
+
+def test_labels_of_repeated_ids_stay_bounded(spark):
+    rng = random.Random(5)
+    texts = [words(rng, 30) if i % 2 else "zz " * 30 for i in range(60)]
+    ids = [i % 20 for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, quality int")
+    got = neighbours.classify_quality(table(spark, texts, ids), labels).collect()
+    assert len(got) == 60 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_single_documents_are_read(spark, tmp_path):
+    texts = words(random.Random(6), 400).split() + [None]
+    ids = [7 * (i // 2) - 500 for i in range(400)] + [None]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write_tokens(table(spark, texts, ids), str(tmp_path / "t"), path, max_docs=30)
+    every = sorted((r["doc_id"], bytes(r["ids"])) for r in tokenfile.read_tokens(spark, str(tmp_path / "t")).collect() if r["doc_id"] is not None)
+    wanted = [-500, -493, 4, 200, 893]
+    got = sorted((r["doc_id"], bytes(r["ids"])) for r in tokenfile.read_documents(spark, str(tmp_path / "t"), wanted).collect())
+    assert len(every) == 400 and got == [x for x in every if x[0] in wanted]
+
+
+def test_many_parts_of_a_benchmark(spark):
+    rng = random.Random(7)
+    items = [words(rng, 12, 5000) for _ in range(30)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(99, items[3])], "item_id long, text string")
+    texts = [words(rng, 20, 5000) + " " + items[i] + " " + words(rng, 5, 5000) for i in range(30)] + ["", None]
+    a, b = ({r["doc_id"]: (r["n_hit"], r["item_ids"], r["spans"]) for r in decontaminate.decontaminate(table(spark, texts), bench, max_chars=n).collect()} for n in (10**6, 100))
+    assert a == b and a[3][1] == ["3", "99"] and a[30][0] == 0
+
+
+def test_very_long_texts(spark, network):
+    """A million characters go through every operator whole."""
+    rng = random.Random(13)
+    pool = [f"w{i}x" for i in range(5000)]
+    long = "\n".join(" ".join(rng.choices(pool, k=12)) for _ in range(14_000))
+    item = " ".join(rng.choices(pool, k=12))
+    texts = [long, long + "\nend " + item + " jo.smith@mail.example.com", "short one"]
+    df = table(spark, texts)
+    n = len(long.split())
+    assert sorted(r["n_removed"] for r in substring_dedup.dedup_substrings(df, 20).collect()) == [0, 0, n]
+    assert sorted(r["n_removed"] for r in chunks.dedup_chunks(df).collect()) == [0, 0, 14_000]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(df, 5, 80, 100).collect()} == {0: 0, 1: 0, 2: 2}
+    assert sorted(r["n_words"] for r in outliers.quality_rules(df).collect()) == [2, n, n + 14]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["n_hit"] for r in decontaminate.decontaminate(df, bench).collect()) == [0, 0, 12]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(df, model=network[0]).collect()}
+    assert [(s["kind"], s["end"]) for s in found[1] if s["pattern"]] == [("email", len(texts[1]))]
+    assert sorted(r["size"] for r in shard.interleave(df, 3).collect()) == sorted(len(t) + 8 for t in texts)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 80, 3000), words(rng, 80, 3000)
+    df = table(spark, [a, b, a, b + " x"], [1, 1, 2, 3])
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(df, 5, 80, 100).collect()} == {1: 1, 2: 1, 3: 1}
+    lines = ["one\ntwo\nthree", "four\nfive\nsix", "one\ntwo\nthree\nmore"]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_removed"]) for r in chunks.dedup_chunks(table(spark, lines, [5, 5, 6])).collect())
+    assert got == [(5, 3, 0), (5, 3, 0), (6, 4, 3)]
+
+
 # ---- the pipeline
 
 
