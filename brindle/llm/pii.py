@@ -489,7 +489,9 @@ def train_model(texts: DataFrame, windows: int = 2400, pieces: int = 1500, seed:
     """A network trained on the given number of labelled windows. Their prose is pieces of at most 200 characters of the texts whose hashes are smallest."""
     key, length = F.xxhash64("text", F.lit(seed)), F.length("text")
     piece = F.col("text").substr((F.pmod(key, F.greatest(length - 200, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(200))
-    rows = texts.filter(length > 0).select(key.alias("key"), piece.alias("piece")).orderBy("key", "piece").limit(pieces).collect()
+    share = 4 * pieces / max(1, texts.count())  # of all hashes: so that tasks send the driver a few times the pieces between them, not each
+    drawn = texts.filter((length > 0) & (F.pmod(key, F.lit(1 << 40)).cast("double") / float(1 << 40) <= share))
+    rows = drawn.select(F.pmod(key, F.lit(1 << 40)).alias("key"), piece.alias("piece")).orderBy("key", "piece").limit(pieces).collect()
     prose = sorted({r["piece"] for r in rows})
     # digits that no pattern explains may be unlabelled personal data: such a piece would teach the opposite
     prose = [p for p in prose if all(any(a <= m.start() < b for _, a, b in pattern_spans(p)) for m in re.finditer("[0-9@]", p))]
