@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,9 +68,9 @@ def cache_key(params: Column) -> Column:
     return F.md5(F.to_json(entries).cast("binary"))
 
 
-def any_keyword(text: Column, words: list[str]) -> Column:
-    """Whether any of the words is part of the lower-cased text."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+def any_keyword(lowered: Column, words: list[str]) -> Column:
+    """Whether any of the words is part of a text that is in lower case already, so that it is lowered once."""
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
 
 
 def fenced_json(text: Column, schema: str) -> Column:

@@ -14,7 +14,8 @@ BEAR = ["crash", "dump", "sell", "short", "bear", "drop", "ban", "fear", "panic"
 
 def title_score(titles: DataFrame, by: str, text: str = "text", bull: list[str] | None = None, bear: list[str] | None = None) -> DataFrame:
     """by, bullish, bearish (titles with such a word), score: 0 to 100, 50 without matches, half way to 50 for under three."""
-    out = titles.groupBy(by).agg(F.count_if(any_keyword(F.col(text), bull or BULL)).alias("bullish"), F.count_if(any_keyword(F.col(text), bear or BEAR)).alias("bearish"))
+    low = titles.select(by, F.lower(text).alias("_low"))
+    out = low.groupBy(by).agg(F.count_if(any_keyword(F.col("_low"), bull or BULL)).alias("bullish"), F.count_if(any_keyword(F.col("_low"), bear or BEAR)).alias("bearish"))
     n = F.col("bullish") + F.col("bearish")
     score = F.try_divide(100.0 * F.col("bullish"), n)
     return out.withColumn("score", F.round(F.when(n == 0, 50.0).when(n < 3, (score + 50) / 2).otherwise(score), 2))

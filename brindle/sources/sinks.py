@@ -63,7 +63,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def split_rows(df: DataFrame) -> DataFrame:
     """data: each row as a JSON array, in the order of df's columns: the split orientation without gathering a frame in one document."""
-    return df.select(F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit("null")) for c in df.columns]), F.lit("]")).alias("data"))
+    one = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    return df.select(F.concat(F.lit("["), F.concat_ws(",", *map(one, df.columns)), F.lit("]")).alias("data"))
 
 
 def with_outcomes(log: DataFrame, updates: DataFrame) -> DataFrame:
