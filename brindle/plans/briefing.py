@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions import scalars
 from brindle.functions.rolling import change, last_row
 from brindle.operators import briefing, decisions, regimes, zones
+from brindle.plans import relational, windows  # noqa: F401  (their SQL is used below)
 from brindle.plans.domain import _zones
 from brindle.plans.registry import ORACLES, QUERIES, R, register, sql
 from brindle.plans.streams import shared_folder
@@ -155,3 +156,28 @@ _RULES = [{"name": "title", "strategy": "label_regex", "pattern": "<title>([^<]*
 register("adapter_rules", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, contains(html, '<article') AND contains(html, '<p') AS is_article FROM pages")(
     lambda m: readers.extracted(m.table("pages").select("page_id", "html"), json.loads(json.dumps(_RULES)), "html").select("page_id", "title", "is_article")
 )
+
+# ---- what is put together from queries that have SQL
+
+ORACLES["market_context"] = f"""SELECT symbol, regime, CASE WHEN risk_score > 0.7 THEN 'high' WHEN risk_score < 0.3 THEN 'low' ELSE 'medium' END AS risk_level, coalesce(n, 0) AS n_signals, position
+FROM (SELECT symbol, regime FROM ({ORACLES['regime_rules']})) JOIN (SELECT symbol, risk_score FROM ({ORACLES['risk_assessment']})) USING (symbol)
+JOIN (SELECT symbol, position FROM ({ORACLES['history_compare']})) USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS n FROM ({ORACLES['signals_library']}) GROUP BY 1) USING (symbol)"""
+ORACLES["flash_outlook"] = sql(
+    f"SELECT symbol, ts, (round(rsi_14, 4) + 0.0::DOUBLE) AS rsi_14, {R('r')} AS r FROM (SELECT symbol, ts, close / nullif(lag(close) OVER w, 0) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) JOIN (SELECT symbol, ts, rsi_14 FROM ({ORACLES['rsi_14']})) USING (symbol, ts) WHERE k <= 3",
+    "bars",
+)
+_FACTORS = ["factor_historical_sr", "factor_swing", "factor_fibonacci", "factor_ma", "factor_round", "factor_pivot", "factor_gap"]
+_UNION = " UNION ALL ".join(f"SELECT '{n}' AS factor_type, symbol, price, strength FROM ({ORACLES[n]})" for n in _FACTORS)
+
+
+def _union(m: Market) -> DataFrame:
+    parts = [_query(n, m).select(F.lit(n).alias("factor_type"), "symbol", "price", "strength") for n in _FACTORS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+register("factor_union", f"SELECT factor_type, symbol, count(*) AS n, (round(avg(strength), 4) + 0.0::DOUBLE) AS strength, (round(max(price), 4) + 0.0::DOUBLE) AS highest FROM ({_UNION}) GROUP BY 1, 2")(
+    lambda m: _union(m).groupBy("factor_type", "symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 4).alias("strength"), F.round(F.max("price"), 4).alias("highest"))
+)
