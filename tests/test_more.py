@@ -88,6 +88,13 @@ def test_fold_by_rank(spark):
     assert got["a"] == pytest.approx(want) and got["b"] == 4.0
 
 
+def test_macd_of_blocks_is_that_of_the_whole(spark):
+    rng = random.Random(7)
+    rows = [("x", c, c, c, 1) for c in (rng.uniform(10, 20) for _ in range(1300))]
+    a, b = ({r["ts"]: r["macd_signal"] for r in indicators.macd(bars(spark, rows), block=n).collect()} for n in (400, 10**6))
+    assert len(a) == 1300 and all(a[t] == pytest.approx(b[t], abs=1e-9) for t in b)
+
+
 def test_garch_recovers_its_parameters():
     rng = np.random.default_rng(6)
     h, out = 1.0, []
