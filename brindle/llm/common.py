@@ -29,7 +29,7 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, only a local session gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where and not spark.sparkContext.master.startswith("local["):
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
     return (where or _own_dir()).rstrip("/")
 
