@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.rolling import change, clip, full, last_row, ratio, series, tail
+from brindle.functions.rolling import change, clip, full, last_row, ratio, tail
 from brindle.functions.scalars import below, sentiment_label
 from brindle.operators import indicators as ind
 from brindle.operators.kernels import garch_next_variance
