@@ -110,9 +110,9 @@ class CachedEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.letters = np.zeros(len(self.ends), np.int64)
+        self.size = np.zeros(len(self.ends), np.int64)  # bytes of each token: the vocabulary has a letter for a byte
         for t, i in vocabulary.items():
-            self.letters[i] = len(t.removesuffix("</w>")) if not t.startswith("[") and not t.startswith("<") else 0
+            self.size[i] = len(t.removesuffix("</w>"))
         self.marks = {"": b""}
 
     def _ids(self, text: str) -> bytes:
@@ -121,9 +121,9 @@ class CachedEncoder:
     def _learn_runs(self, new: list[str]) -> None:
         ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        letters = np.concatenate([[0], np.cumsum(self.letters[ids])])[stops]
-        # every run must end where its letters end; an unknown letter has no length and fails that
-        if len(stops) == len(new) and (letters == np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))).all():
+        size = np.concatenate([[0], np.cumsum(self.size[ids])])[stops]
+        # every run must end where its bytes end
+        if len(stops) == len(new) and (size == np.cumsum(np.fromiter(map(len, map(str.encode, new)), np.int64, len(new)))).all():
             flat, cuts = ids.tobytes(), stops.tolist()
             self.runs.update(zip(new, [flat[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]))
         else:
