@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, chunks, decontaminate, neighbours, ngram_join, outliers, pii, shard, substring_dedup, tokenfile
+from brindle.llm import bpe, chunks, decontaminate, fim, hosts, neighbours, ngram_join, outliers, phrases, pii, shard, substring_dedup, tokenfile
 from brindle.llm.common import shared_dir
 
 
@@ -81,6 +81,27 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Rules of the query: (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled page is bad if its label has quality 0 or is toxic."""
+    labels = _docs(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    out = hosts.filter_urls(_docs(spark, sf_dir, "pages"), labels, RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_share", 6).alias("bad_share"), F.round("bound", 6).alias("bound"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restored(fim.fill_in_middle(_docs(spark, sf_dir)))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("text").alias("restored_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_docs(spark, sf_dir), 10, 2000)
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_outliers": op2_outliers,
@@ -92,6 +113,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_tokenfile": op9_tokenfile,
     "op10_interleave": op10_interleave,
+    "op11_url_filter": op11_url_filter,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 _OP3 = """
@@ -157,7 +181,67 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op3_line_chunks": _OP3, "op5_substrings": _OP5, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op10_interleave": _OP10}
+_WIDE = ", ".join(f"'{s}'" for s in hosts.WIDE_SUFFIXES)
+
+#: The weight of a level's priors, from sums over the children of each parent.
+_WEIGHT = """SELECT 1 / least(1 / 2, greatest(1 / 1001, CASE WHEN coalesce(sum(c), 0) <> 0 THEN sum(x) / sum(c) ELSE 1 / 11 END)) - 1 AS w
+FROM (SELECT (sum(k * k / n) - sum(k) * sum(k) / sum(n)) / (sum(k) / sum(n) * (1 - sum(k) / sum(n))) - (count(*) - 1) AS x, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS c
+      FROM {} WHERE n > 0 GROUP BY {} HAVING count(*) > 1 AND sum(k) > 0 AND sum(k) < sum(n))"""
+
+_OP11 = rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+b AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+h0 AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM p LEFT JOIN b ON b.doc_id = p.page_id GROUP BY host),
+h1 AS (SELECT *, string_split(bare, '.') AS ls, len(string_split(bare, '.')) < 2 OR regexp_matches(bare, '^[0-9.]+$') AS alone FROM h0),
+h2 AS (SELECT *, CASE WHEN len(ls) > 2 AND array_to_string(ls[-2:], '.') IN ({_WIDE}) THEN 2 ELSE 1 END AS w FROM h1),
+h AS (SELECT host, n, k, CASE WHEN alone THEN '' ELSE array_to_string(ls[-w:], '.') END AS suffix, CASE WHEN alone THEN bare ELSE array_to_string(ls[-w - 1:], '.') END AS domain FROM h2),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, 0 AS one FROM d GROUP BY suffix),
+g AS (SELECT sum(n) AS n, sum(k) AS k FROM s),
+ws AS ({_WEIGHT.format('s', 'one')}), wd AS ({_WEIGHT.format('d', 'suffix')}), wh AS ({_WEIGHT.format('h', 'domain')}),
+m1 AS (SELECT h.host, h.n, h.k, d.n AS dn, d.k AS dk, (s.k - d.k + ws.w * (g.k - s.k + 1) / (g.n - s.n + 2)) / (s.n - d.n + ws.w) AS m, wd.w AS wd, wh.w AS wh, g.n AS gn
+       FROM h JOIN d USING (suffix, domain) JOIN s USING (suffix), g, ws, wd, wh),
+m2 AS (SELECT *, (k + wh * (dk - k + wd * m) / (dn - n + wd)) / (n + wh) AS share FROM m1),
+m3 AS (SELECT host, share, CASE WHEN gn > 0 THEN share - 3 * sqrt(share * (1 - share) / (n + wh + 1)) END AS bound FROM m2),
+r AS (SELECT p.*, share, bound, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p JOIN m3 USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       round(share, 6) AS bad_share, round(bound, 6) AS bound FROM r
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, CAST(len(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS m,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+k AS (SELECT *, CASE WHEN p > 0 THEN array_to_string(t[1:p], '') ELSE '' END AS prefix, CASE WHEN m > p THEN array_to_string(t[p + 1:m], '') ELSE '' END AS middle, CASE WHEN n > m THEN array_to_string(t[m + 1:n], '') ELSE '' END AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM k
+"""
+
+_OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+x AS (SELECT lang, p, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+y AS (SELECT lang, word, lead(word) OVER (PARTITION BY p ORDER BY i) AS w2, lead(word, 2) OVER (PARTITION BY p ORDER BY i) AS w3 FROM x),
+g AS (SELECT lang, 1 AS k, word AS phrase FROM y UNION ALL SELECT lang, 2, word || ' ' || w2 FROM y WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, word || ' ' || w2 || ' ' || w3 FROM y WHERE w3 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, lang || chr(10) || phrase AS id, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, words, phrase, a, p, unnest(range(1, words)) AS k FROM c),
+sc AS (SELECT cut.lang, cut.words, cut.phrase, a, cut.k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+       FROM cut JOIN f x ON x.id = cut.lang || chr(10) || array_to_string(p[1:cut.k], ' ') JOIN f y ON y.id = cut.lang || chr(10) || array_to_string(p[cut.k + 1:], ' ')),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+lo AS (SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase, a FROM c WHERE words = 3),
+ar AS (SELECT lang, phrase, max(a) AS around FROM lo GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN ar USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept JOIN n ON n.lang = kept.lang
+QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op3_line_chunks": _OP3, "op5_substrings": _OP5, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op10_interleave": _OP10, "op11_url_filter": _OP11, "op12_fill_in_middle": _OP12, "op13_collocations": _OP13}
 
 
 def queries() -> dict:
