@@ -2,7 +2,8 @@
 
 Each text gives counts; their transforms are a vector. For every (language, source) the subset of h rows whose
 covariance has the smallest determinant is sought: many starts on a bounded sample of the group, then concentration
-steps over all rows of the group as Spark aggregations, until no group's determinant falls any more. Rows whose
+steps over all rows of the group as Spark aggregations, until no group's determinant falls any more. Equal vectors are
+one row with their number of copies from the start, and the sample goes by content, never by id. Rows whose
 Mahalanobis distance under the estimate exceeds a chi-square quantile are rejected. A concentration step is one
 aggregation by group and distance bin, so no group is gathered: the bins that hold the h nearest rows give the next
 mean and covariance.
@@ -10,7 +11,7 @@ mean and covariance.
 Defined results: a null text has no words; null languages and sources are values of their own; groups under min_rows
 share one estimate with the small groups of their language, and where those are fewer than min_rows together, with the
 small groups of all languages; if even they are fewer, only the base rules decide; rows without words get no distance;
-null ids stay null; repeated rows get equal results; an empty table gives an empty result; texts of any length are
+ids are only passed on, so null or shared ids change nothing; repeated rows get equal results; an empty table gives an empty result; texts of any length are
 counted whole; other columns can be carried along, whatever their names.
 """
 
@@ -180,9 +181,9 @@ def _concentrated(vectors: DataFrame, estimates: DataFrame, share: float) -> Dat
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
     rows = vectors.join(estimates, "_group").withColumn("_bin", F.floor(F.log2(_distance() + 1e-6) * _BINS))
     sums = rows.groupBy("_group", "_bin").agg(
-        F.count(F.lit(1)).alias("c"),
-        *[F.sum(F.expr(moved[i])).alias(f"s{i}") for i in range(P)],
-        *[F.sum(F.expr(f"{moved[i]} * {moved[j]}")).alias(f"q{i}_{j}") for i, j in pairs],
+        F.sum("_copies").alias("c"),
+        *[F.sum(F.expr(f"_copies * {moved[i]}")).alias(f"s{i}") for i in range(P)],
+        *[F.sum(F.expr(f"_copies * {moved[i]} * {moved[j]}")).alias(f"q{i}_{j}") for i, j in pairs],
     )
     sums = sums.join(estimates.select("_group", "mean", "inverse", "logdet"), "_group")
 
@@ -203,6 +204,21 @@ def _concentrated(vectors: DataFrame, estimates: DataFrame, share: float) -> Dat
     return sums.groupBy("_group").applyInPandas(update, _ESTIMATE).coalesce(vectors.sparkSession.sparkContext.defaultParallelism)  # a row a group
 
 
+def _sampled(vectors: DataFrame, rows: int) -> DataFrame:
+    """About so many rows of each group, or all if it has fewer, as (_group, x, _key); chosen by content alone.
+
+    The c copies of a vector lie at one hashed place in each c-th of the range from 0 to 1, and the rows nearest to 0 are
+    drawn. So ids, shared or null, play no part, a vector is drawn in proportion to its copies, and what is drawn of a
+    group is bounded however its rows repeat.
+    """
+    reach = (rows + 5 * math.sqrt(rows)) / F.col("_of")
+    copies = F.least(F.col("_copies"), F.floor(F.col("_copies") * reach) + 1)
+    drawn = vectors.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    place = F.pmod(F.xxhash64("x", "_copy"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    drawn = drawn.withColumn("_key", (F.col("_copy") - 1 + place) / F.col("_copies"))
+    return drawn.filter(F.col("_key") < reach).select("_group", "x", "_key")
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -243,15 +259,14 @@ def quality_rules(
     rest = F.when(F.col("_group").isNull(), F.sum("_size").over(of_all))
     of = sizes.withColumn("_rest", rest).select("_name", F.coalesce("_group", F.when(F.col("_rest") >= min_rows, F.lit(""))).alias("_group"), F.coalesce("_rest", "_of").alias("_of"))
     of = written(of, "group-sizes")
-    vectors = with_words.join(of, "_name").filter(F.col("_group").isNotNull()).select("_group", "_of", x.alias("x"), F.xxhash64("doc_id", F.lit(7)).alias("_key"))
+    vectors = with_words.join(of, "_name").filter(F.col("_group").isNotNull()).groupBy("_group", "_of", x.alias("x")).agg(F.count(F.lit(1)).alias("_copies"))
     vectors = written(vectors, "vectors")
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_key")
+        pdf = pdf.sort_values("_key").head(sample_rows)
         return _row(pdf["_group"].iloc[0], *sample_mcd(np.stack(pdf["x"].to_numpy()), share, starts, 11), float("inf"))
 
-    drawn = F.pmod("_key", F.lit(1 << 40)).cast("double") / float(1 << 40) < sample_rows / F.col("_of")
-    estimates, path = written_at(vectors.filter(drawn).select("_group", "x", "_key").groupBy("_group").applyInPandas(first, _ESTIMATE), "estimates")
+    estimates, path = written_at(_sampled(vectors, sample_rows).groupBy("_group").applyInPandas(first, _ESTIMATE), "estimates")
     for _ in range(steps):
         moving = estimates.filter(f"fell > {_SETTLED}")
         if moving.isEmpty():

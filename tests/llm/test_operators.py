@@ -593,3 +593,18 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+
+
+@pytest.mark.parametrize("n", [900, 3000])
+@pytest.mark.parametrize("ids", ["own", "one", "none", "few"])
+def test_outliers_go_whatever_the_ids(spark, n, ids):
+    """Shared or absent ids neither take a group's estimate away nor save its outliers."""
+    rng = random.Random(n)
+    good = [". ".join(words(rng, rng.randint(8, 14), 4000) for _ in range(rng.randint(4, 9))) for _ in range(n)]
+    bad = [" ".join(f"{w} ### $$$ |||" for w in words(rng, 40, 4000).split()) for _ in range(30)]
+    of = {"own": lambda k: k, "one": lambda k: 77, "none": lambda k: None, "few": lambda k: k % 3}[ids]
+    rows = [(of(k), t, "en", "web", len(t)) for k, t in enumerate(good + bad)]
+    out = outliers.quality_rules(spark.createDataFrame(rows, DOC), carry=["text"]).filter("distance is not null").collect()
+    assert len(out) == n + 30
+    kept = [r["text"] for r in out if r["kept"]]
+    assert not set(kept) & set(bad) and len(kept) >= n * 0.99
