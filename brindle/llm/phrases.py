@@ -2,7 +2,8 @@
 
 Rows are dealt to a few shards by a hash. A phrase that has the global support has, in one shard at least, the support
 lowered by the shard's share of all words (else its counts would add up to less). So each shard is mined for all phrases
-that reach its own support, level by level: pairs of locally frequent words, then triples of locally frequent pairs.
+that reach its own support, level by level: pairs of locally frequent words (that also have the global support, known by then), then triples of
+locally frequent pairs.
 The union over the shards is the candidates, which are then counted in one scan of all rows, as strings, exactly. A
 shard is spread over all tasks, so shards are few and their support stays above one, however large the corpus.
 
@@ -35,7 +36,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(BLANKS)], _CUT[list(CUTS)] = True, True
 _PROBES = 3
-_GROUP = 4_000_000  # bytes of text that are counted at a time
+_GROUP = 8_000_000  # bytes of text that are counted at a time
 
 
 class Phrases:
@@ -123,13 +124,13 @@ def _filter_of(keys: DataFrame, filter_bits: int):
     return keys.sparkSession.sparkContext.broadcast(bloom)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Phrases]]:
-    """The phrases of the texts of every language and shard, a bounded group of texts at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], by_shard: bool) -> Iterator[tuple[str, int, Phrases]]:
+    """The phrases of the texts of every language, and every shard if shards are told apart, a bounded group of texts at a time."""
     for batch, texts in text_groups(batches, limit=_GROUP):
         by: dict[tuple[str, int], list[bytes]] = {}
         for text, lang, shard in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if text:
-                by.setdefault((lang, shard), []).append(text.encode())
+                by.setdefault((lang, shard if by_shard else 0), []).append(text.encode())
         for (lang, shard), own in by.items():
             yield lang, shard, Phrases(own, _salt(lang))
 
@@ -138,7 +139,7 @@ def _mined(rows: DataFrame, level: int, before, filter_bits: int) -> DataFrame:
     """shard, key, n: what shards hold of words, pairs or triples whose parts were frequent in the shard. A null key counts the shard's words."""
 
     def run(batches):
-        for _, shard, found in _groups(batches):
+        for _, shard, found in _groups(batches, True):
             if level == 1:
                 keys, counts = found.hash, found.count
             else:
@@ -162,7 +163,7 @@ def _counted(rows: DataFrame, candidates, filter_bits: int) -> DataFrame:
     """lang, words, phrase, f: how often each candidate occurs; with words = 0, all words of the language."""
 
     def run(batches):
-        for lang, _, found in _groups(batches):
+        for lang, _, found in _groups(batches, False):
             bloom = candidates.value
             good = has(bloom, found.hash, filter_bits)
             found.pairs(good)
@@ -189,7 +190,9 @@ def frequent_phrases(docs: DataFrame, support: int = 10, *, text_col: str = "tex
     total = sum(sizes.values())
     lowered = [max(1, -(-support * sizes.get(s, 0) // max(1, total))) for s in range(shards)]
     enough = F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in lowered]), F.col("shard") + 1)
-    paths, levels = [path], [singles.filter(F.col("key").isNotNull() & enough)]
+    words = singles.filter("key is not null")  # these are counted for all shards, so words below the global support go here already
+    everywhere = words.groupBy("key").agg(F.sum("n").alias("_all")).filter(F.col("_all") >= support).select("key")
+    paths, levels = [path], [words.filter(enough).join(everywhere, "key", "left_semi").select("shard", "key", "n")]
     for level in (2, 3):
         before = _filter_of(levels[-1], filter_bits)
         found, path = written_at(_mined(rows, level, before, filter_bits).filter(enough), "shard-phrases")
