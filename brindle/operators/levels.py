@@ -6,13 +6,12 @@ by price bucket; the other detectors use windows and aggregates.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.ranks import counted
 from brindle.functions.rolling import full, last_row, ratio, series, tail
 from brindle.operators.kernels import peaks
 
@@ -66,18 +65,23 @@ def gaps(bars: DataFrame, mode: str = "previous_bar") -> DataFrame:
 def touches(levels: DataFrame, bars: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """levels (symbol, price) with touches: bars whose high or low lies within the tolerance of the price.
 
-    Prices are put into logarithmic buckets as wide as the tolerance's range, so a level meets the bars of two or three
-    buckets and not its symbol's whole history.
+    Nothing is matched: the levels of a symbol are numbered by price, and what a high or a low touches is a run of those
+    numbers, since both bounds rise with the price. The ends of the runs come from counting the bounds below each value,
+    the touches from adding up where runs begin and end; a bar's two runs are taken together where they meet. Equal bars
+    are one row with their number. So work grows with bars and levels, not with their pairs. Levels under 0 touch nothing.
     """
-    width = math.log((1 + tolerance) / (1 - tolerance))
-    bucket = lambda x: F.when(x > 0, F.floor(F.log(x) / width)).when(x == 0, F.lit(-(1 << 40)))
-    lo, hi = F.col("price") * (1 - tolerance), F.col("price") * (1 + tolerance)
-    own = levels.select("symbol", "price").distinct().filter("price >= 0").withColumn("_b", F.explode(F.sequence(bucket(lo), bucket(hi))))
-    highs = bars.select("symbol", F.col("high").alias("_x"), F.lit(None).cast("double").alias("_high"))
-    lows = bars.select("symbol", F.col("low").alias("_x"), F.col("high").alias("_high"))  # a bar whose high counts doesn't count again
-    sides = highs.unionByName(lows).withColumn("_b", bucket(F.col("_x")))
-    near = F.col("_x").between(lo, hi) & ~F.coalesce(F.col("_high").between(lo, hi), F.lit(False))
-    hit = own.join(sides, ["symbol", "_b"]).filter(near).groupBy("symbol", "price").agg(F.count(F.lit(1)).alias("touches"))
+    own = levels.select("symbol", "price").distinct().filter("price >= 0").withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy("price")))
+    same = bars.groupBy("symbol", "low", "high").agg(F.count(F.lit(1)).alias("_n"))
+    values = same.select("*", F.explode(F.array("low", "high")).alias("_v")).filter("_v is not null")
+    values = counted(values, "_v", own.withColumn("_bound", F.col("price") * (1 - tolerance)), "_bound", "_to", at=True)
+    values = counted(values, "_v", own.withColumn("_bound", F.col("price") * (1 + tolerance)), "_bound", "_from", at=False)
+    runs = values.groupBy("symbol", "low", "high", "_n").agg(F.min(F.struct("_v", "_from", "_to")).alias("a"), F.max(F.struct("_v", "_from", "_to")).alias("b"))
+    ends = lambda a, b: F.array(F.struct((a + 1).alias("_k"), F.col("_n").alias("d")), F.struct((b + 1).alias("_k"), (-F.col("_n")).alias("d")))
+    meet = F.col("b._from") <= F.col("a._to")
+    steps = F.when(meet, ends(F.col("a._from"), F.col("b._to"))).otherwise(F.concat(ends(F.col("a._from"), F.col("a._to")), ends(F.col("b._from"), F.col("b._to"))))
+    steps = runs.select("symbol", F.explode(steps).alias("_e")).groupBy("symbol", F.col("_e._k").alias("_k")).agg(F.sum("_e.d").alias("_d"))
+    ahead = Window.partitionBy("symbol").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    hit = own.join(steps, ["symbol", "_k"], "full").select("symbol", "price", F.sum(F.coalesce("_d", F.lit(0))).over(ahead).alias("touches")).filter("price is not null")
     return levels.join(hit, ["symbol", "price"], "left").withColumn("touches", F.coalesce("touches", F.lit(0)))
 
 
@@ -105,8 +109,9 @@ def volume_profile(bars: DataFrame) -> DataFrame:
 
     Bins are half a percent of the lowest price wide, at least ten (ten where that price is 0 or less). However many they
     are, a bar only adds its volume at its first bin and takes it away after its last; sums between are exact decimals.
+    A symbol whose price never moves has no profile, and neither has one without volume.
     """
-    b = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
+    b = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.sum("volume").alias("_all")).filter("_hi > _lo and _all > 0").drop("_all")
     b = b.withColumn("_edges", F.greatest(F.lit(10), F.floor(ratio(F.col("_hi") - F.col("_lo"), F.col("_lo") * 0.005))))
     b = b.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (F.col("_edges") - 1))
     place = lambda x: F.least(F.greatest(F.floor((F.col(x) - F.col("_lo")) / F.col("_step")) + 1, F.lit(1)), F.col("_edges"))
@@ -157,7 +162,7 @@ def moving_averages(bars: DataFrame) -> DataFrame:
     df = last_row(bars.withColumns({f"_{n}": full(F.avg, "close", n) for n in periods}))
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("price")) for n in periods]))
     df = df.select("symbol", F.col("close").alias("cur"), rows.alias("_m")).select("symbol", "cur", "_m.*").filter(F.col("price").isNotNull())
-    base = F.greatest(F.lit(0.3), 1 - 2 * F.abs(F.col("price") - F.col("cur")) / F.col("cur"))
+    base = F.greatest(F.lit(0.3), 1 - 2 * ratio(F.abs(F.col("price") - F.col("cur")), F.col("cur")))
     strength = F.least(F.lit(1.0), base * F.when(F.col("n") >= 200, 1.2).when(F.col("n") >= 100, 1.1).otherwise(1.0))
     return df.select("symbol", "price", F.lit("moving_average").alias("factor_type"), strength.alias("strength"), F.when(F.col("price") < F.col("cur"), "support").otherwise("resistance").alias("direction"))
 
@@ -205,7 +210,7 @@ def open_interest_levels(oi: DataFrame, cur: Column, many: bool = True) -> DataF
         oi = oi.groupBy(F.bround("price", -1).alias("price")).agg(F.sum("open_interest").alias("open_interest"))
     stats = oi.agg(F.avg("open_interest").alias("_m"), F.stddev_samp("open_interest").alias("_s"), F.max("open_interest").alias("_top"))
     df = oi.join(F.broadcast(stats)).filter(F.col("open_interest") >= F.col("_m") + 2 * F.col("_s"))  # one row of statistics
-    near = F.abs(F.col("price") - cur) / cur <= 0.01
+    near = ratio(F.abs(F.col("price") - cur), cur) <= 0.01
     direction = F.when(near, "magnet").when(F.col("price") < cur, "support").otherwise("resistance")
     return df.select("price", F.lit("open_interest").alias("factor_type"), ratio(F.col("open_interest"), F.col("_top")).alias("strength"), direction.alias("direction"))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.rolling import change, clip, full, last_row, ratio, tail
 from brindle.functions.scalars import below, sentiment_label
+from brindle.operators import garch
 from brindle.operators import indicators as ind
 from brindle.operators.kernels import garch_next_variance
 
@@ -66,7 +66,7 @@ def assess(bars: DataFrame, regimes: DataFrame) -> DataFrame:
     vol = bars.withColumn("_r", change("close", 1)).groupBy("symbol").agg((F.stddev_samp("_r") * math.sqrt(365) * 100).alias("_v"))
     high = tail(bars, 30).groupBy("symbol").agg(F.max("high").alias("_h"), F.max_by("close", "ts").alias("_c"))
     df = vol.join(high, "symbol").join(regimes.select("symbol", "regime"), "symbol")
-    wild, deep, odd = F.col("_v") > 80, (F.col("_c") - F.col("_h")) / F.col("_h") < -0.2, F.col("regime") == "volatile"
+    wild, deep, odd = F.col("_v") > 80, F.coalesce(ratio(F.col("_c") - F.col("_h"), F.col("_h")) < -0.2, F.lit(False)), F.col("regime") == "volatile"
     score = F.lit(0.5) + F.when(wild, 0.2).otherwise(0.0) + F.when(odd, 0.1).otherwise(0.0)
     risks = F.array_compact(F.array(F.when(wild, "Extreme Volatility"), F.when(deep, "Significant Drawdown"), F.when(odd, "Regime Uncertainty")))
     return df.select("symbol", score.alias("risk_score"), F.when(score > 0.7, "high").when(score < 0.3, "low").otherwise("medium").alias("risk_level"), risks.alias("risks"))
@@ -77,15 +77,25 @@ def realized_volatility(bars: DataFrame, n: int = 30) -> DataFrame:
     return tail(ind.log_returns(bars), n).groupBy("symbol").agg(F.round(F.stddev_samp("log_ret") * math.sqrt(365) * 100, 2).alias("realized_vol"))
 
 
-def garch_volatility(bars: DataFrame) -> DataFrame:
-    """symbol, garch_vol: annualised percent for the next bar from a GARCH(1,1) of all log returns. A series' bars are one group: the likelihood is a recursion over them."""
+def garch_volatility(bars: DataFrame, block: int = 4096) -> DataFrame:
+    """symbol, garch_vol: annualised percent for the next bar from a GARCH(1,1) of all log returns; null for ten returns or fewer.
+
+    Series of up to a block are one small group each; longer ones are fitted in blocks (operators/garch.py), to the same
+    result. So no group is larger than a block.
+    """
+    rows = ind.log_returns(bars).filter("log_ret is not null").select("symbol", "ts", (100 * F.col("log_ret")).alias("r"))
+    sizes = bars.select("symbol").distinct().join(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.max(F.abs("r")).alias("_most")), "symbol", "left")
+    annual = lambda v: F.sqrt(v) * math.sqrt(365)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = 100 * pdf.sort_values("ts")["log_ret"].dropna().to_numpy()
-        vol = float(np.sqrt(garch_next_variance(r)) * np.sqrt(365)) if len(r) > 10 else None
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "garch_vol": [vol]})
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "variance": [garch_next_variance(pdf.sort_values("ts")["r"].to_numpy())]})
 
-    return ind.log_returns(bars).select("symbol", "ts", "log_ret").groupBy("symbol").applyInPandas(run, "symbol string, garch_vol double")
+    short = rows.join(sizes.filter(f"_n between 11 and {block}").select("symbol"), "symbol").groupBy("symbol").applyInPandas(run, "symbol string, variance double")
+    long = sizes.filter(f"_n > {block} and _most > 0").select("symbol")
+    if not long.isEmpty():
+        short = short.unionByName(garch.next_variances(rows.join(long, "symbol").select("symbol", "ts", (F.col("r") * F.col("r")).alias("r2")), block))
+    still = F.when((F.col("_n") > 10) & (F.col("_most") == 0), 0.0)
+    return sizes.join(short, "symbol", "left").select("symbol", F.coalesce(annual(F.col("variance")), still).alias("garch_vol"))
 
 
 def synthetic_iv(bars: DataFrame, fear_greed: Column | float = 50.0) -> DataFrame:
@@ -116,10 +126,10 @@ def history_position(bars: DataFrame) -> DataFrame:
     """symbol, percentile, from_high_pct, from_low_pct, position of the last close in its history."""
     cur = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("_c"), F.max("high").alias("_h"), F.min("low").alias("_l"))
     df = bars.join(cur, "symbol").groupBy("symbol", "_c", "_h", "_l").agg((F.count_if(F.col("close") < F.col("_c")) / F.count(F.lit(1)) * 100).alias("percentile"))
-    high = (F.col("_c") - F.col("_h")) / F.col("_h") * 100
+    high = ratio(F.col("_c") - F.col("_h"), F.col("_h")) * 100
     p = F.col("percentile")
     position = F.when((p > 95) & (high > -5), "near_high").when(p > 75, "upper").when(p > 25, "middle").when(p > 5, "lower").otherwise("near_low")
-    return df.select("symbol", "percentile", high.alias("from_high_pct"), ((F.col("_c") - F.col("_l")) / F.col("_l") * 100).alias("from_low_pct"), position.alias("position"))
+    return df.select("symbol", "percentile", high.alias("from_high_pct"), (ratio(F.col("_c") - F.col("_l"), F.col("_l")) * 100).alias("from_low_pct"), position.alias("position"))
 
 
 def overall_confidence(age_hours: Column, regime: Column, signal: Column, risk: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.ranks import counted
 from brindle.functions.rolling import clip, ratio
 from brindle.functions.scalars import STRENGTH, banded
 from brindle.operators.kernels import linkage_1d
@@ -37,7 +38,7 @@ def scored(rows: DataFrame, least: int = 2) -> DataFrame:
     weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(keys)).filter(F.col("_n") >= least)
     rows = rows.withColumns({"_zone": ratio(F.sum(F.col("price") * F.col("strength")).over(keys), F.sum("strength").over(keys)), "_w": F.coalesce(weights[F.col("factor_type")], F.lit(0.05))})
-    near = F.exp(-10 * F.abs(F.col("price") - F.col("_zone")) / F.col("_zone"))
+    near = F.exp(-10 * F.coalesce(ratio(F.abs(F.col("price") - F.col("_zone")), F.col("_zone")), F.lit(0.0)))
     out = rows.groupBy("symbol", "cluster", "cur").agg(
         F.first("_zone").alias("zone_price"),
         F.min("price").alias("low"),
@@ -48,19 +49,28 @@ def scored(rows: DataFrame, least: int = 2) -> DataFrame:
         F.sum(F.when(F.col("direction") == "resistance", F.col("strength")).otherwise(0.0)).alias("_r"),
         ratio(F.sum(F.col("_w") * F.col("strength") * near), F.sum("_w")).alias("_base"),
     )
-    distance = F.abs(F.col("zone_price") - F.col("cur")) / F.col("cur")
+    distance = ratio(F.abs(F.col("zone_price") - F.col("cur")), F.col("cur"))
     score = F.col("_base") + 0.15 * F.col("n_types") / 10 + F.least(F.lit(0.2), 0.03 * F.col("n_factors")) - F.least(F.lit(0.15), 0.5 * distance)
     out = out.withColumn("score", clip(score, 0.0, 1.0))
     kind = F.when(F.col("_s") > F.col("_r"), "support").when(F.col("_r") > F.col("_s"), "resistance").otherwise("pivot")
-    return out.select("symbol", "cluster", "cur", "zone_price", "low", "high", "n_factors", kind.alias("zone_type"), "score", banded(F.col("score"), STRENGTH, "weak").alias("strength"), ((F.col("zone_price") - F.col("cur")) / F.col("cur") * 100).alias("distance_pct"))
+    return out.select("symbol", "cluster", "cur", "zone_price", "low", "high", "n_factors", kind.alias("zone_type"), "score", banded(F.col("score"), STRENGTH, "weak").alias("strength"), (ratio(F.col("zone_price") - F.col("cur"), F.col("cur")) * 100).alias("distance_pct"))
 
 
 def tested(zones: DataFrame, bars: DataFrame) -> DataFrame:
-    """zones with tests (bars that overlap the zone, widened by half its range or 0.1 %), last_test and breach_probability."""
-    tol = F.greatest((F.col("z.high") - F.col("z.low")) / 2, F.col("z.zone_price") * 0.001)
-    hit = (F.col("b.low") <= F.col("z.zone_price") + tol) & (F.col("b.high") >= F.col("z.zone_price") - tol)
-    pairs = zones.alias("z").join(bars.select("symbol", "ts", "high", "low").alias("b"), (F.col("z.symbol") == F.col("b.symbol")) & hit)
-    tests = pairs.groupBy("z.symbol", "z.cluster").agg(F.count(F.lit(1)).alias("tests"), F.max("b.ts").alias("last_test"))
+    """zones with tests (bars that overlap the zone, widened by half its range or 0.1 %), last_test and breach_probability.
+
+    A bar is reduced to its place among the tops and bottoms of its symbol's zones, and bars of one place are added up
+    first. So zones meet places, of which there are few however long the history is.
+    """
+    tol = F.greatest((F.col("high") - F.col("low")) / 2, F.col("zone_price") * 0.001)
+    own = zones.select("symbol", "cluster", (F.col("zone_price") + tol).alias("_top"), (F.col("zone_price") - tol).alias("_bottom"))
+    by = lambda x: F.row_number().over(Window.partitionBy("symbol").orderBy(x))
+    own = own.withColumns({"_kt": by("_top"), "_kb": by("_bottom")})
+    spots = bars.groupBy("symbol", "low", "high").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
+    spots = counted(counted(spots, "low", own, "_top", "_p", at=False), "high", own, "_bottom", "_q", at=True)
+    spots = spots.filter("low is not null and high is not null").groupBy("symbol", "_p", "_q").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
+    met = own.join(spots, "symbol").filter("_kt > _p and _kb <= _q")
+    tests = met.groupBy("symbol", "cluster").agg(F.sum("_n").alias("tests"), F.max("_last").alias("last_test"))
     w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
     back = bars.withColumn("_k", F.row_number().over(w)).groupBy("symbol").agg(F.abs(ratio(F.max(F.when(F.col("_k") == 1, F.col("close"))), F.max(F.when(F.col("_k") == 5, F.col("close")))) - 1).alias("_move"))
     out = zones.join(tests, ["symbol", "cluster"], "left").join(back, "symbol").withColumn("tests", F.coalesce("tests", F.lit(0)))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.plans.registry import R, register, sql
 from brindle.plans.report import market_context
+from brindle.sources.tables import shared_folder
 from brindle.sources.views import Market
 from brindle.streaming import bars as sb
 from brindle.streaming import exchange
@@ -21,19 +20,6 @@ def _stream(m: Market, table: str) -> DataFrame:
     return m.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(m.path)
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="brindle-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session may go without it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
-    return (where or _own_folder()).rstrip("/")
-
-
 def _folder(m: Market) -> str:
     return f"{shared_folder(m.spark)}/stream-{uuid.uuid4().hex}"
 
