@@ -40,27 +40,30 @@ def linkage_1d(values: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def _lowest_before_higher(y: np.ndarray) -> np.ndarray:
+    """For each place the lowest value from it back to the nearest higher one (or the start), by a stack of falling values."""
+    out, stack = np.empty(len(y)), []
+    for i, v in enumerate(y.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((v, low))
+    return out
+
+
 def peaks(y: np.ndarray, least_prominence: float) -> np.ndarray:
-    """Places of strict local maxima (the middle of a plateau) whose prominence reaches the bound."""
-    n, out, i = len(y), [], 1
-    while i < n - 1:
-        j = i
-        while j < n - 1 and y[j + 1] == y[i]:
-            j += 1
-        if j < n - 1 and y[i - 1] < y[i] and y[j + 1] < y[i]:
-            at = (i + j) // 2
-            left, right = at, at
-            lowest_left = lowest_right = y[at]
-            while left >= 0 and y[left] <= y[at]:
-                lowest_left = min(lowest_left, y[left])
-                left -= 1
-            while right < n and y[right] <= y[at]:
-                lowest_right = min(lowest_right, y[right])
-                right += 1
-            if y[at] - max(lowest_left, lowest_right) >= least_prominence:
-                out.append(at)
-        i = j + 1
-    return np.array(out, np.int64)
+    """Places of strict local maxima (the middle of a plateau) whose prominence reaches the bound. Linear in the length."""
+    y = np.asarray(y, float)
+    if len(y) < 3:
+        return np.empty(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))  # of plateaus
+    level = y[begin]
+    end = np.append(begin[1:], len(y)) - 1
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    base = np.maximum(_lowest_before_higher(level), _lowest_before_higher(level[::-1])[::-1])
+    top = top[level[top] - base[top] >= least_prominence]
+    return (begin[top] + end[top]) // 2
 
 
 #: The grid search of GARCH: points an axis, rounds, and the first grid's middle and half width for log omega (over the sample variance), alpha and beta.

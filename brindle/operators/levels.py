@@ -126,7 +126,10 @@ def volume_profile(bars: DataFrame) -> DataFrame:
 
 
 def volume_peaks(bars: DataFrame) -> DataFrame:
-    """Peaks of the volume profile with a prominence of one population deviation over all bins. A profile has two runs a bar at most."""
+    """Peaks of the volume profile with a prominence of one population deviation over all bins.
+
+    A symbol's profile is one group: it has no more runs than bins, 200 for each time that its highest price is its lowest, however many bars fill them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_bin")

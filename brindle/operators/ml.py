@@ -22,12 +22,15 @@ def flatten_context(df: DataFrame, paths: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(path).cast("string").try_cast("double"), F.lit(0.0)) for name, path in paths.items()})
 
 
-def dataset(bars: DataFrame, context: DataFrame | None = None, columns: tuple[str, ...] = ("sent_composite",), lookahead: int = 6) -> DataFrame:
-    """Technical features, the context as it was at each bar (an as-of join of its history by time), and the return lookahead bars later."""
+def dataset(bars: DataFrame, context: DataFrame | None = None, columns: tuple[str, ...] = ("sent_composite",), lookahead: int = 6, tolerance: str | None = None) -> DataFrame:
+    """Technical features, the context as it was at each bar (an as-of join of its history by time), and the return lookahead bars later.
+
+    Context of any age counts, unless a tolerance (an interval) is given; 0 before its first row.
+    """
     df = ind.ml_features(bars)
     df = df.withColumn("target", ratio(F.lead("close", lookahead).over(series()), F.col("close")) - 1)
     for c in columns if context is not None else ():
-        df = asof(df, context, c, tolerance="30 days").withColumnRenamed(f"asof_{c}", c).fillna(0.0, [c])
+        df = asof(df, context, c, tolerance=tolerance).withColumnRenamed(f"asof_{c}", c).fillna(0.0, [c])
     return df
 
 
@@ -106,7 +109,7 @@ def forecast_latest(bars: DataFrame) -> DataFrame:
 
 def terms(df: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = ("the", "a", "an", "and", "of", "in", "to", "is", "for", "on")) -> DataFrame:
     """key, term: lower-case words of two letters or more and pairs of neighbours, without stop words; one row for each occurrence."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\b\w\w+\b"), 0), lambda w: ~w.isin(*stop))
+    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda w: ~w.isin(*stop))
     df = df.select(key, words.alias("_w"))
     pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return df.select(key, F.explode(F.concat("_w", pairs)).alias("term"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.rolling import change, clip, full, last_row, ratio, tail
 from brindle.functions.scalars import below, sentiment_label
+from brindle.functions.selection import percentiles
 from brindle.operators import garch
 from brindle.operators import indicators as ind
 from brindle.operators.kernels import garch_next_variance
@@ -26,14 +27,16 @@ def annual_volatility(bars: DataFrame) -> DataFrame:
 def value_at_risk(bars: DataFrame, confidences: tuple[float, ...] = (0.95, 0.99), least: int = 30) -> DataFrame:
     """symbol and var_95 and the like: the loss that returns exceed with the remaining probability; 0 for under `least` bars."""
     df = bars.withColumn("_r", change("close", 1))
-    few = F.count(F.lit(1)) < least
-    return df.groupBy("symbol").agg(*[F.when(few, 0.0).otherwise(F.abs(F.percentile("_r", F.lit(1 - c)))).alias(f"var_{round(c * 100)}") for c in confidences])
+    names = [f"var_{round(c * 100)}" for c in confidences]
+    sizes = bars.groupBy("symbol").agg((F.count(F.lit(1)) < least).alias("_few"))
+    found = percentiles(df, "_r", [1 - c for c in confidences], names).join(sizes, "symbol")
+    return found.select("symbol", *[F.when(F.col("_few"), 0.0).otherwise(F.abs(F.col(n))).alias(n) for n in names])
 
 
 def portfolio_var(bars: DataFrame, value: float = 100000.0, confidence: float = 0.95, days: int = 1) -> DataFrame:
     """symbol, var_pct, var_amount over some days."""
-    q = F.percentile(F.col("_r"), F.lit(1 - confidence)) * math.sqrt(days)
-    return bars.withColumn("_r", change("close", 1)).groupBy("symbol").agg(F.round(F.abs(q) * 100, 2).alias("var_pct"), F.round(F.abs(q) * value, 2).alias("var_amount"))
+    q = F.abs(F.col("_q") * math.sqrt(days))
+    return percentiles(bars.withColumn("_r", change("close", 1)), "_r", [1 - confidence], ["_q"]).select("symbol", F.round(q * 100, 2).alias("var_pct"), F.round(q * value, 2).alias("var_amount"))
 
 
 def risk_report(bars: DataFrame, n: int = 90) -> DataFrame:

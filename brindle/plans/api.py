@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import catalogue as catalogues
 from brindle.operators import decisions, flows, levels, ml, quality, regimes, risk, signals, zones
 from brindle.plans import report
-from brindle.plans.workflow import Workflow
 
 
 def price_history(bars: DataFrame, days: int = 30, as_of: str | None = None) -> DataFrame:
@@ -52,12 +52,16 @@ def opportunity_list(bars: DataFrame) -> DataFrame:
 
 
 def catalogue(tables: dict[str, DataFrame], as_of: str | None = None, ts: str | None = None) -> DataFrame:
-    """table, column, n, nulls, distinct, mean of every table, one pass over each."""
+    """table, column, type, n, nulls, mean, low, high, distinct, median of every table, one pass over each; with ts, also the latest time of that column, its age in hours at as_of, and fresh (under a day)."""
     out = None
     for name, df in tables.items():
-        part = quality.column_stats(df, df.columns, exact=False).withColumn("table", F.lit(name))
+        part = catalogues.merged(catalogues.profile(df)).withColumn("table", F.lit(name))
+        if ts is not None:
+            last = quality.freshness(df, ts, as_of).withColumn("table", F.lit(name)) if ts in df.columns else None
+            part = part.join(last, "table") if last is not None else part.withColumns({"last": F.lit(None).cast("timestamp_ntz"), "age_hours": F.lit(None).cast("double"), "fresh": F.lit(None).cast("boolean")})
         out = part if out is None else out.unionByName(part)
-    return out.select("table", "column", "n", "nulls", "distinct", "mean")
+    first = ["table", "column", "type", "n", "nulls", "mean", "low", "high", "distinct", "median"]
+    return out.select(*first, *[c for c in ("last", "age_hours", "fresh") if c in out.columns])
 
 
 def search_catalogue(descriptions: DataFrame, words: str, top: int = 5) -> DataFrame:
@@ -73,6 +77,6 @@ def lineage(events: DataFrame, dataset: str) -> DataFrame:
     return events.filter(F.col("dataset") == dataset).orderBy(F.col("at").desc())
 
 
-def run_workflow(workflow: Workflow, parameters: dict | None = None) -> dict:
-    """Runs a workflow and gives its status, results and errors."""
-    return workflow.run(parameters)
+def upstream(events: DataFrame) -> DataFrame:
+    """id, ancestor, depth: all that the recorded steps (dataset, sources) were made from."""
+    return catalogues.ancestors(events.select(F.col("dataset").alias("id"), F.explode("sources").alias("parent")))

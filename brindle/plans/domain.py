@@ -472,6 +472,21 @@ register(
     "ml_dataset",
     sql(f"SELECT symbol, ts, {R('lead(close, 6) ' + _O + ' / nullif(close, 0) - 1')} AS target FROM bars", "bars"),
 )(lambda m: _rr(ml.dataset(m.bars()).select("symbol", "ts", "target"), target=6))
+register(
+    "ml_dataset_context",
+    sql(
+        f"SELECT b.symbol, b.ts, {R('coalesce(c.value, 0)')} AS sent_composite, {R('target')} AS target FROM (SELECT *, lead(close, 6) {_O} / nullif(close, 0) - 1 AS target FROM bars) b ASOF LEFT JOIN c ON b.ts >= c.ts",
+        "bars",
+        ctes="c AS (SELECT ts, value FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) < 3)",
+    ),
+)(lambda m: _rr(ml.dataset(m.bars(), _sparse(m)).select("symbol", "ts", "sent_composite", "target"), sent_composite=6, target=6))
+
+
+def _sparse(m: Market) -> DataFrame:
+    """A context that is known only now and then: events with a rare property."""
+    return m.table("events").filter(F.get_json_object("props", "$.k").cast("int") < 3).select("ts", F.col("value").alias("sent_composite"))
+
+
 register("ml_split", sql("SELECT symbol, CAST(count(*) FILTER (WHERE i <= floor(n * 0.8)) AS BIGINT) AS train, CAST(count(*) FILTER (WHERE i > floor(n * 0.8)) AS BIGINT) AS test FROM (SELECT symbol, row_number() " + _O + " AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT *, lead(close, 6) " + _O + " AS t FROM bars) WHERE t IS NOT NULL) GROUP BY symbol", "bars"))(lambda m: _split(m))
 
 
@@ -496,7 +511,17 @@ f AS (SELECT *, 0.2::DOUBLE * coalesce((100 - 100 / (1 + gain / (CASE WHEN loss
 register("oracle_forecast", sql(f"SELECT symbol, ts, {R('close')} AS close, {R('sc')} AS score, CASE WHEN sc > 0.1 THEN 'BULLISH' WHEN sc < -0.1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS direction, {R('least(2 * abs(sc), 1)')} AS confidence, {R('close * (1 + 2 * sc * vol)')} AS price_target FROM f", "bars", ctes=_FC))(
     lambda m: _rr(ml.forecast_latest(m.bars()), close=6, score=6, confidence=6, price_target=6)
 )
-register("tfidf_search")(lambda m: _search(m))
+_STOP = "('the', 'a', 'an', 'and', 'of', 'in', 'to', 'is', 'for', 'on')"
+register(
+    "tfidf_search",
+    rf"""WITH w AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN {_STOP}) AS w FROM benchmark),
+t AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)),
+v AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS v FROM x),
+s AS (SELECT a.item_id, sum(a.v * b.v) AS score FROM v a JOIN v b USING (term) WHERE b.item_id = '0' GROUP BY a.item_id)
+SELECT item_id, round(score, 6) + 0.0::DOUBLE AS score FROM s WHERE score > 0.01 ORDER BY score DESC, item_id LIMIT 5""",
+)(lambda m: _search(m))
 
 
 def _search(m: Market) -> DataFrame:

@@ -11,8 +11,6 @@ from brindle.plans.registry import R, register, sql
 from brindle.sources import readers, sinks
 from brindle.sources.views import Market
 
-_GAP_DAYS = "(SELECT * FROM daily_flow WHERE net_flow > 0)"  # days with a net inflow: the others are the gaps
-
 
 def _rr(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
@@ -145,11 +143,11 @@ def _netflow(m: Market) -> DataFrame:
     return onchain.net_flow(lines.filter("l_linenumber % 2 = 0"), lines.filter("l_linenumber % 2 <> 0"), known)
 
 
-register("missing_dates", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT min(ts) FROM g), (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes=f"g AS {_GAP_DAYS}"))(
-    lambda m: resample.missing_dates(m.daily_flow().filter("net_flow > 0").select(F.col("ts").alias("date")))
+register("missing_dates", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT min(ts) FROM g), (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes="g AS (SELECT ts FROM daily_flow)"))(
+    lambda m: resample.missing_dates(m.daily_flow().select(F.col("ts").alias("date")))
 )
-register("missing_dates_last_30", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT max(ts) FROM g) - INTERVAL 30 DAY, (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes=f"g AS {_GAP_DAYS}"))(
-    lambda m: resample.missing_dates(m.daily_flow().filter("net_flow > 0").select(F.col("ts").alias("date")), lookback_days=30)
+register("missing_dates_last_30", sql(f"SELECT date FROM (SELECT CAST(unnest(generate_series((SELECT max(ts) FROM g) - INTERVAL 30 DAY, (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS DATE) AS date) WHERE date NOT IN (SELECT ts FROM g)", "daily_flow", ctes="g AS (SELECT ts FROM daily_flow)"))(
+    lambda m: resample.missing_dates(m.daily_flow().select(F.col("ts").alias("date")), lookback_days=30)
 )
 register("missing_bars_15m", sql("SELECT symbol, ts FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTE)) AS ts FROM bars_15m GROUP BY symbol) ANTI JOIN bars_15m USING (symbol, ts)", "bars_15m"))(
     lambda m: resample.missing_bars(m.bars("15m"), "15m")
@@ -166,19 +164,25 @@ def _distance(m: Market) -> DataFrame:
 
 # ---- merges
 
-_MERGE = "o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)"
+_MERGE = """o AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0),
+n AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice * 2 END AS v, 'N' AS s FROM orders WHERE o_orderkey % 2 = 0)"""
 
 
 def _sides(m: Market) -> tuple[DataFrame, DataFrame]:
-    """Balances of all customers, and the largest order of those who have one."""
-    old = m.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return old, m.table("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    """Two versions of the orders: some keys only in the old one, some only in the new one, some in both; a few new values are null."""
+    orders = m.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("s"))
+    new = orders.filter("k % 2 = 0").withColumns({"v": F.when(F.col("k") % 7 != 0, F.col("v") * 2), "s": F.lit("N")})
+    return orders.filter("k % 3 <> 0"), new
 
 
-register("upsert_merge", sql("SELECT k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n USING (k)", ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"]))
-register("insert_only_merge", sql("SELECT k, coalesce(o.v, n.v) AS v FROM o FULL JOIN n USING (k)", ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"], "insert_only"))
-register("update_merge", sql("SELECT k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n USING (k)", ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"], "update", ["v"]))
-register("priority_union", sql("SELECT k, coalesce(n.v, o.v) AS v FROM o FULL JOIN n USING (k)", ctes=_MERGE))(lambda m: sinks.by_priority(list(_sides(m)), ["k"]))
+_BOTH = "SELECT k, {} FROM o FULL JOIN n USING (k)"
+_WHOLE = ", ".join(f"CASE WHEN {{0}}.s IS NOT NULL THEN {{0}}.{c} ELSE {{1}}.{c} END AS {c}" for c in "dvs")  # s is never null: it tells whether the side has the row
+register("upsert_merge", sql(_BOTH.format(_WHOLE.format("n", "o")), ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"]))
+register("insert_only_merge", sql(_BOTH.format(_WHOLE.format("o", "n")), ctes=_MERGE))(lambda m: sinks.merged(*_sides(m), ["k"], "insert_only"))
+register("update_merge", sql(_BOTH.format("CASE WHEN o.s IS NOT NULL THEN o.d ELSE n.d END AS d, coalesce(n.v, o.v) AS v, CASE WHEN o.s IS NOT NULL THEN o.s ELSE n.s END AS s"), ctes=_MERGE))(
+    lambda m: sinks.merged(*_sides(m), ["k"], "update", ["v"])
+)
+register("priority_union", sql(_BOTH.format(_WHOLE.format("n", "o")), ctes=_MERGE))(lambda m: sinks.by_priority(list(_sides(m)), ["k"]))
 register("latest_per_key", "SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id")(lambda m: quality.latest_per_key(m.table("conversations"), ["conv_id"], ["turn"]).select("conv_id", "role", "turn"))
 
 # ---- aggregation, sorting, sets

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import levels, regimes, risk, signals
-from brindle.plans.workflow import Workflow
-from brindle.sources.views import Market
 
 
 def market_context(bars: DataFrame, digits: int = -2) -> DataFrame:
@@ -31,12 +29,3 @@ def render(context: DataFrame, symbol: str, output: str = "markdown") -> str:
     if output == "json":
         return json.dumps(d, default=str, sort_keys=True)
     return "\n".join([f"# {symbol}", f"The market is in a **{d['regime'].upper()}** regime with {100 * d['confidence']:.0f}% confidence.", f"Risk is **{d['risk_level']}** ({d['risk_score']:.2f}).", f"Signals: {d['n_signals']}."])
-
-
-def analysis_workflow(market: Market) -> Workflow:
-    """Bars, then regimes, risks and levels side by side, then the context."""
-    w = Workflow("comprehensive_analysis").add("bars", lambda p: market.bars())
-    w.add("regimes", lambda p: regimes.classify(regimes.features(p["bars"])), ["bars"])
-    w.add("levels", lambda p: levels.support_resistance(p["bars"]), ["bars"])
-    w.add("risk", lambda p: risk.risk_report(p["bars"]), ["bars"])
-    return w.add("context", lambda p: market_context(p["bars"]), ["bars", "regimes", "levels", "risk"])

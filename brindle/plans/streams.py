@@ -12,7 +12,6 @@ from brindle.plans.report import market_context
 from brindle.sources.tables import shared_folder
 from brindle.sources.views import Market
 from brindle.streaming import bars as sb
-from brindle.streaming import exchange
 
 
 def _stream(m: Market, table: str) -> DataFrame:
@@ -48,14 +47,4 @@ register(
 )(_stream_heatmap)
 
 
-def _orders(m: Market) -> DataFrame:
-    """Purchases and clicks are orders, views are ticks; every user trades alone."""
-    e = m.table("events")
-    kind = F.when(F.col("event_type") == "purchase", "MARKET").otherwise("LIMIT")
-    order = F.col("event_type").isin("purchase", "click", "signup")
-    return e.select("user_id", F.col("event_id").alias("seq"), F.when(order, "order").otherwise("tick").alias("type"), F.when(F.col("event_type") == "signup", "SELL").otherwise("BUY").alias("side"), F.lit(1.0).alias("quantity"), kind.alias("kind"), F.col("value").alias("price"))
-
-
-register("paper_exchange")(lambda m: exchange.replay(_orders(m)).select("user_id", "seq", "side", F.round("price", 4).alias("price"), F.round("cash", 4).alias("cash"), "coins"))
-register("portfolio_summary")(lambda m: exchange.replay(_orders(m)).groupBy("user_id").agg(F.count(F.lit(1)).alias("fills"), F.round(F.max_by("cash", F.struct("seq", "coins")), 4).alias("cash")))
 register("market_context")(lambda m: market_context(m.bars(), digits=-1).select("symbol", "regime", "risk_level", "n_signals", "position"))

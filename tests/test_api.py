@@ -33,8 +33,3 @@ def test_catalogue_search_and_lineage(spark):
     assert api.search_catalogue(d, "price bars").first()["name"] == "prices"
     e = quality.lineage_event(d, "prices", ["raw"], "normalise", "2024-01-01").unionByName(quality.lineage_event(d, "prices", ["raw"], "merge", "2024-01-02"))
     assert [r["step"] for r in api.lineage(e, "prices").collect()] == ["merge", "normalise"]
-
-
-def test_workflow_builds_plans(spark):
-    out = api.run_workflow(report.analysis_workflow(Market(spark, DATA)))
-    assert out["status"] == "completed" and set(out["results"]) == {"bars", "regimes", "levels", "risk", "context"}

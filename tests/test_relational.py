@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars
 from brindle.operators import consensus, decisions, evaluation, flows, ml, quality, sentiment
-from brindle.plans.workflow import Breaker, TtlCache, Workflow
 from brindle.sources import readers, sinks
-from brindle.streaming import exchange
 
 
 def one(df):
@@ -108,55 +106,6 @@ def test_facilitator(spark):
     assert got == [("SELL", 0.85, 0.5), ("BUY", 0.6, 0.5), ("BUY", 0.85, 0.25)]
 
 
-def test_paper_exchange_profit(spark):
-    e = [(1, 1, "order", "BUY", 0.1, "MARKET", None), (1, 2, "tick", None, None, None, 95000.0), (1, 3, "order", "SELL", 0.1, "LIMIT", 96000.0), (1, 4, "tick", None, None, None, 96500.0), (1, 5, "order", "SELL", 5.0, "MARKET", None), (1, 6, "tick", None, None, None, 1.0)]
-    fills = exchange.replay(spark.createDataFrame(e, exchange.EVENT)).orderBy("seq").collect()
-    assert [f["side"] for f in fills] == ["BUY", "SELL"] and fills[-1]["cash"] == pytest.approx(10100)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    import uuid
-
-    e = [(u, i, "order" if i % 3 == 0 else "tick", "BUY" if i % 2 else "SELL", 1.0, "MARKET", float(10 + i % 7)) for u in range(4) for i in range(30)]
-    df = spark.createDataFrame(e, exchange.EVENT)
-    df.write.parquet(str(tmp_path / "in"))
-    name = f"fills_{uuid.uuid4().hex}"
-    stream = exchange.stream_fills(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(spark.table(name).collect()) == sorted(exchange.replay(df).collect())
-
-
-def test_workflow():
-    calls = []
-
-    def flaky(p):
-        calls.append(1)
-        if len(calls) < 2:
-            raise RuntimeError("again")
-        return p["x"] + 1
-
-    w = Workflow("w").add("t1", flaky, retries=2).add("t2", lambda p: p["t1"] * 2, ["t1"])
-    out = w.run({"x": 10})
-    assert out["status"] == "completed" and out["results"] == {"t1": 11, "t2": 22} and len(calls) == 2
-    bad = Workflow("b").add("a", lambda p: 1 / 0).add("b", lambda p: 1, ["a"]).run()
-    assert bad["status"] == "failed" and set(bad["errors"]) == {"a", "b"}
-    with pytest.raises(ValueError):
-        Workflow("c").add("a", lambda p: 1, ["b"]).add("b", lambda p: 1, ["a"]).levels()
-
-
-def test_breaker_and_cache():
-    now = [0.0]
-    b = Breaker(clock=lambda: now[0])
-    for _ in range(3):
-        b.record(False)
-    assert not b.allows()
-    now[0] = 301
-    assert b.allows()
-    c = TtlCache(clock=lambda: now[0])
-    c.put("a:1", 5, 10)
-    assert c.get("a:1") == 5 and c.drop("a:") == 1 and c.get("a:1") is None
-
-
 def test_forest_and_gate(spark):
     import random
 
