@@ -93,3 +93,18 @@ def parse_instant(text: Column) -> Column:
 def pair_base(pair: Column, quote: str = "USDT") -> Column:
     """BTC of BTCUSDT."""
     return F.replace(pair, F.lit(quote), F.lit(""))
+
+
+def price_text(x: Column) -> Column:
+    """`$1,234.50`; null for null."""
+    return F.when(x.isNotNull(), F.concat(F.lit("$"), F.format_number(x.cast("double"), 2)))
+
+
+def percent_text(x: Column) -> Column:
+    """`+1.25%`, with its sign."""
+    return F.when(x.isNotNull(), F.format_string("%+.2f%%", x.cast("double")))
+
+
+def said(x: Column) -> Column:
+    """A label in lower case with spaces for underscores."""
+    return F.lower(F.replace(x, F.lit("_"), F.lit(" ")))

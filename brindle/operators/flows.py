@@ -34,6 +34,11 @@ def normalize_macro(df: DataFrame) -> DataFrame:
     return df.select("date", "asset_id", "price", F.coalesce((ratio(F.col("price"), F.lag("price").over(w)) - 1) * 100, F.lit(0.0)).alias("change_pct"))
 
 
+def lowered(df: DataFrame) -> DataFrame:
+    """df with its column names in lower case."""
+    return df.toDF(*[c.lower() for c in df.columns])
+
+
 def resolve_column(columns: list[str], wanted: list[str]) -> str | None:
     """The first of the wanted names that columns has, whatever the case."""
     by_lower = {c.lower(): c for c in columns}

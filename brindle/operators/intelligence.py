@@ -94,3 +94,36 @@ def daily_report(days: DataFrame) -> DataFrame:
         F.when(confidence > 70, "High reliability.").otherwise("Discrepancy exceeds tolerance; prioritizing primary source."),
     )
     return days.select("date", "open", "high", "low", "close", "turnover", "net_flow", confidence.alias("confidence"), status.alias("status"), F.array_compact(F.array(price, interest)).alias("thoughts"), check.alias("check"))
+
+
+#: What a regime's branch of the decision tree says: action, conditions, next question. Fixed values.
+BRANCHES = {
+    "bull": ("seek_long_setups", ["price > major_support", "flows > 0"], "Is momentum sustainable?"),
+    "bear": ("seek_short_setups", ["price < major_resistance", "flows < 0"], "Is selling exhausted?"),
+    "sideways": ("range_trading", ["support_holds", "resistance_holds"], "Which boundary will break?"),
+}
+#: Uncertainties that no column tells: the lag of data, and sources that disagree where nothing was measured. Fixed values.
+LAG, DISAGREEMENT = 0.1, 0.2
+
+
+def reasoning(df: DataFrame) -> DataFrame:
+    """symbol, claims, branch, uncertainties, workflows, checks of rows with regime, confidence, duration, trend, flow, risk_level, mean_confidence and divergence (null where it wasn't measured).
+
+    claims: what is held with how much confidence, on what evidence, and for how long. branch: of the decision tree, null
+    for a regime that has none. workflows: what the uncertainties call for.
+    """
+    c = F.col
+    sure = F.coalesce("confidence", F.lit(0.5))
+    claim = lambda text, evidence, confidence, valid: F.struct(text.alias("claim"), evidence.alias("evidence"), confidence.alias("confidence"), valid.alias("validity"))
+    evidence = F.array(F.format_string("Regime confidence: %.2f", sure), F.format_string("Duration: %d days", F.coalesce("duration", F.lit(0))), F.concat(F.lit("Price momentum: "), F.coalesce("trend", F.lit("unknown"))))
+    claims = F.array(
+        claim(F.format_string("Market is in %s regime", "regime"), evidence, sure, F.when(sure > 0.7, "current").otherwise("degrading")),
+        claim(F.format_string("Current risk level is %s", F.coalesce("risk_level", F.lit("medium"))), F.array().cast("array<string>"), F.lit(0.85), F.lit("current")),
+    )
+    branch = F.lit(None).cast("struct<action:string,conditions:array<string>,next_question:string>")
+    for regime, (action, conditions, question) in BRANCHES.items():
+        branch = F.when(c("regime") == regime, F.struct(F.lit(action).alias("action"), F.array(*map(F.lit, conditions)).alias("conditions"), F.lit(question).alias("next_question"))).otherwise(branch)
+    doubts = F.struct((1 - sure).alias("regime_stability"), (1 - F.coalesce("mean_confidence", F.lit(0.0))).alias("signal_reliability"), F.lit(LAG).alias("data_freshness"), F.coalesce("divergence", F.lit(DISAGREEMENT)).alias("cross_source_divergence"))
+    workflows = F.array_compact(F.array(F.when(1 - sure > 0.3, "regime_transition_audit"), F.when(c("regime") == "volatile", "tail_risk_scrub")))
+    checks = F.array(F.format_string("Is %s regime still valid at current price?", "regime"), F.format_string("Do ETF flows support %s bias?", F.coalesce("flow", F.lit("unknown"))), F.lit("Are there hidden risks in derivatives positioning?"))
+    return df.select("symbol", claims.alias("claims"), branch.alias("branch"), doubts.alias("uncertainties"), workflows.alias("workflows"), checks.alias("checks"))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.rolling import clip, last_row, ratio, series
@@ -78,8 +78,7 @@ class Forest:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        spark = self.model._sc
-        spark.parallelize([json.dumps(self.features)], 1).saveAsTextFile(f"{path}/features")
+        SparkSession.active().createDataFrame([(json.dumps(self.features),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
 
     @classmethod
     def load(cls, spark, path: str) -> Forest:
@@ -91,6 +90,17 @@ def promote(new_rmse: float, old_rmse: float | None, same_features: bool, least_
     return old_rmse is None or not same_features or old_rmse <= 0 or (old_rmse - new_rmse) / old_rmse >= least_gain
 
 
+def same_names(a: str, b: str) -> Column:
+    """Whether two arrays of names are the same set."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def promoted(new_rmse: Column, old_rmse: Column, same_features: Column, least_gain: float = 0.02) -> Column:
+    """promote() for a table of models."""
+    fresh = old_rmse.isNull() | ~F.coalesce(same_features, F.lit(False)) | (old_rmse <= 0)
+    return F.coalesce(fresh | (ratio(old_rmse - new_rmse, old_rmse) >= least_gain), F.lit(True))
+
+
 def forecast(df: DataFrame, price: str = "close", volatility: str = "tech_volatility") -> DataFrame:
     """df with score, direction, confidence, price_target from weighted features; missing features count 0."""
     score = sum((F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)) * w for c, w in FORECAST_WEIGHTS.items())

@@ -23,15 +23,20 @@ def _query(name: str, m: Market) -> DataFrame:
     return QUERIES[name](m.spark, m.path)
 
 
-_quoted = lambda x: "'" + x.replace("'", "''") + "'"
-
 # ---- regimes in words
 
-_I = ", ".join(f"({_quoted(k)}, {_quoted(a)}, {_quoted(b)})" for k, (a, b) in briefing.INSTRUCTIONS.items())
+# the texts stand in the SQL a second time, so that a changed table fails
+_I = """('bull_trending', 'Focus on momentum continuation. RSI > 50 is a support zone. Ignore minor bearish divergences.', 'Max size 5%. Acceptable drawdown 10%.'),
+('bear_trending', 'Oversold bounces are exit points. Resistance levels are hard ceilings.', 'Max size 2%. Tight stops at 3%.'),
+('sideways_compression', 'Mean reversion. RSI extremes (30/70) are entry/exit targets. Squeeze play imminent.', 'Reduced sizing until breakout.'),
+('high_volatility', 'Extreme unpredictability. Reduce signal weighting. Wait for volatility to contract.', 'Cash preservation mode. 1% max size.'),
+('distribution', 'Smart money is exiting. Watch for lower highs. Bull trap risk is extreme.', 'Hedge positions. Trailing stops tight.')"""
 register("regime_instructions", f"SELECT symbol, regime, a AS synthesizer, b AS risk_rule FROM ({ORACLES['regime_detector']}) LEFT JOIN (VALUES {_I}) t(r, a, b) ON r = regime")(
     lambda m: briefing.instructions(regimes.detect(m.bars())).select("symbol", "regime", "synthesizer", "risk_rule")
 )
-_C = ", ".join(f"({_quoted(k)}, {_quoted('; '.join(a))}, {_quoted(b)})" for k, (a, b) in briefing.CHARACTER.items())
+_C = """('bull', 'Sustained uptrend; Higher highs/lows; Strong momentum', 'Expect trend continuation with pullbacks to support'),
+('bear', 'Sustained downtrend; Lower highs/lows; Weak momentum', 'Expect trend continuation with bounces to resistance'),
+('sideways', 'Range-bound; Lack of directional conviction; Mean reversion', 'Expect range-bound trading between support/resistance')"""
 register("regime_characteristics", f"SELECT symbol, regime, coalesce(a, '') AS traits, coalesce(b, 'Monitor for regime change') AS expected FROM ({ORACLES['regime_rules']}) LEFT JOIN (VALUES {_C}) t(r, a, b) ON r = regime")(
     lambda m: briefing.characteristics(_query("regime_rules", m)).select("symbol", "regime", F.array_join("traits", "; ").alias("traits"), "expected")
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.rolling import last_row
 from brindle.operators import indicators as ind
-from brindle.plans import briefing, confluence, domain, metadata, reading, relational, reports, stateful, streams, windows  # noqa: F401
+from brindle.plans import briefing, checks, confluence, domain, metadata, reading, relational, reports, stateful, streams, windows  # noqa: F401
 from brindle.plans.registry import ORACLES, QUERIES
 from brindle.sources.views import Market
 

@@ -63,6 +63,26 @@ def _confidence(m: Market) -> DataFrame:
     return _context(m).join(last, "symbol").select("symbol", F.round(risk.overall_confidence(age, F.col("confidence"), F.col("mean_confidence"), F.col("risk_score")), 6).alias("confidence"))
 
 
+register(
+    "reasoning_graph",
+    f"""WITH {_CTX} SELECT symbol, 'Market is in ' || regime || ' regime' AS claim, CASE WHEN confidence > 0.7 THEN 'current' ELSE 'degrading' END AS validity, CASE regime WHEN 'bull' THEN 'seek_long_setups' WHEN 'bear' THEN 'seek_short_setups' WHEN 'sideways' THEN 'range_trading' END AS action,
+CASE regime WHEN 'bull' THEN 'price > major_support, flows > 0' WHEN 'bear' THEN 'price < major_resistance, flows < 0' WHEN 'sideways' THEN 'support_holds, resistance_holds' END AS conditions,
+round(1 - confidence, 6) + 0.0::DOUBLE AS regime_stability, round(1 - coalesce(mean, 0), 6) + 0.0::DOUBLE AS signal_reliability, 0.1::DOUBLE AS data_freshness, 0.2::DOUBLE AS divergence,
+concat_ws(', ', CASE WHEN 1 - confidence > 0.3 THEN 'regime_transition_audit' END, CASE WHEN regime = 'volatile' THEN 'tail_risk_scrub' END) AS workflows, 'Is ' || regime || ' regime still valid at current price?' AS first_check FROM x""",
+)(lambda m: _reasoning(m))
+
+
+def _reasoning(m: Market) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    out = intelligence.reasoning(_context(m).withColumns({"trend": none("string"), "flow": none("string"), "divergence": none("double")}))
+    first = F.get("claims", F.lit(0))
+    return out.select(
+        "symbol", first["claim"].alias("claim"), first["validity"].alias("validity"), "branch.action", F.array_join("branch.conditions", ", ").alias("conditions"),
+        F.round("uncertainties.regime_stability", 6).alias("regime_stability"), F.round("uncertainties.signal_reliability", 6).alias("signal_reliability"), "uncertainties.data_freshness", F.col("uncertainties.cross_source_divergence").alias("divergence"),
+        F.array_join("workflows", ", ").alias("workflows"), F.get("checks", F.lit(0)).alias("first_check"),
+    )
+
+
 # ---- the daily report
 
 

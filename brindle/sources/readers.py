@@ -83,6 +83,12 @@ def flow_table(pages: DataFrame) -> DataFrame:
     return long.select("date", F.get("header", F.col("_i") + 1).alias("ticker"), parse_number(F.col("_c")).alias("value"))
 
 
+def funding_table(pages: DataFrame) -> DataFrame:
+    """exchange, current, predicted as texts: the first three cells of the rows of a page's funding table that have as many."""
+    rows = _headed(pages, ["exchange", "predicted"]).filter(F.size("cells") >= 3)
+    return rows.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("exchange", "current", "predicted"))])
+
+
 def net_flows(long: DataFrame) -> DataFrame:
     """date, net_flow: the value of the column named like Total, 0 without one."""
     total = F.when(F.lower("ticker").contains("total"), F.col("value"))

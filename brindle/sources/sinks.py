@@ -56,6 +56,11 @@ def first_non_empty(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return fallback if primary.isEmpty() else primary
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Writes one JSON object a row and line; null fields are left out."""
+    df.write.json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Writes CSV with a header, in as many files as df has partitions."""
     df.write.option("header", True).mode("overwrite").csv(path)
