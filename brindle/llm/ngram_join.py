@@ -41,7 +41,8 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Kinds of rows. From _COPY on, a row is (second half of a set's fingerprint, first half, id).
 _KEY, _EDGE, _NODE, _SAME, _COPY = 0, 1, 2, 3, 16
 _ROWS = "kind long, a long, b long"
-_WORDS = 32  # 64-bit words of a bitmap
+_WORDS = 32  # 64-bit words of a bitmap at least; it has two bits or more for each entry of the largest set, as far as
+_MAP_BYTES = 32_000_000  # the bitmaps of a tree's sets allow
 _FANOUT = 8
 _AT_ONCE = 4096  # pairs of nodes that are opened together
 
@@ -163,9 +164,11 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
         """labels: of each set, the group that it is known to belong to."""
         sizes = np.array([len(s) for s in sets], np.int64)
-        maps = np.zeros((len(sets), _WORDS), np.uint64)
+        wanted = 1 << int(2 * sizes.max(initial=1) // 64).bit_length()
+        self.words = max(_WORDS, min(wanted, _MAP_BYTES // (8 * max(1, len(sets)))))
+        maps = np.zeros((len(sets), self.words), np.uint64)
         for i, s in enumerate(sets):
-            bit = (s >> np.uint64(7)) % np.uint64(_WORDS * 64)
+            bit = (s >> np.uint64(7)) % np.uint64(self.words * 64)
             np.bitwise_or.at(maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
         lost = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
         self.levels = [(maps, sizes, sizes, lost, labels, labels)]
@@ -178,12 +181,13 @@ class SignatureTree:
         """Whether sets below the nodes p and q may overlap as far as a link needs, and aren't all in one group."""
         maps, low, high, lost, first, last = self.levels[level]
         out = np.zeros(len(p), bool)
-        for i in range(0, len(p), 1 << 15):
-            a, b = p[i : i + (1 << 15)], q[i : i + (1 << 15)]
+        step = max(64, (1 << 20) // self.words)  # pairs whose maps are held together
+        for i in range(0, len(p), step):
+            a, b = p[i : i + step], q[i : i + step]
             shared = np.bitwise_count(maps[a] & maps[b]).sum(1, dtype=np.int64) + np.minimum(lost[a], lost[b])
             most = np.minimum(shared, np.minimum(high[a], high[b]))
-            out[i : i + (1 << 15)] = (most * (den + num) >= num * (low[a] + low[b])) & (high[a] * den >= num * low[b]) & (high[b] * den >= num * low[a])
-            out[i : i + (1 << 15)] &= (first[a] != last[a]) | (first[b] != last[b]) | (first[a] != first[b])
+            out[i : i + step] = (most * (den + num) >= num * (low[a] + low[b])) & (high[a] * den >= num * low[b]) & (high[b] * den >= num * low[a])
+            out[i : i + step] &= (first[a] != last[a]) | (first[b] != last[b]) | (first[a] != first[b])
         return out
 
     def pairs(self, num: int, den: int):
@@ -331,7 +335,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *,
     """
     texts = text_table(docs, id_col, text_col)
     rows = texts.mapInArrow(_fingerprints(n, num, den), _ROWS)
-    rows = written(rows.repartition(F.col("a")).sortWithinPartitions("kind", "a", "b").mapInArrow(_stars, _ROWS), "links")
+    # keys meet by their value; sizes and links only pass through, so they are dealt evenly, with or without an id
+    dealt = F.when((F.col("kind") == _KEY) | (F.col("kind") >= _COPY), F.col("a")).otherwise(F.xxhash64("a", "b", F.spark_partition_id()))
+    rows = written(rows.repartition(dealt).sortWithinPartitions("kind", "a", "b").mapInArrow(_stars, _ROWS), "links")
     nodes = rows.filter(F.col("kind") == _NODE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = rows.filter(F.col("kind") == _SAME).select("a", "b")
     candidates = components(rows.filter(F.col("kind") == _EDGE).select("a", "b"))

@@ -147,10 +147,10 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.m AS componen
 #: The crc32 is computed byte by byte over the table of its 256 remainders.
 _OP10 = """
 WITH tbl AS (SELECT list_transform(range(0, 256), lambda v: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v)) AS t),
-d AS (SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_source, hex(encode(coalesce(text, ''))) AS x, md5('brindle:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
-b AS (SELECT doc_id, s, no_source, k, len(x) // 2 + 8 AS size,
+d AS (SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_source, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, s, no_source, len(x) // 2 + 8 AS size,
              xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, tbl),
-r AS (SELECT *, row_number() OVER (PARTITION BY s, no_source ORDER BY k, size, crc, doc_id) AS rk, count(*) OVER (PARTITION BY s, no_source) AS n FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, no_source ORDER BY md5('brindle:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (size - 8) || ':' || crc), size, crc, doc_id) AS rk, count(*) OVER (PARTITION BY s, no_source) AS n FROM b),
 p AS (SELECT *, row_number() OVER (ORDER BY (rk - 0.5::DOUBLE) / n::DOUBLE, CASE WHEN no_source THEN '' ELSE '=' || s END, rk) - 1 AS p, count(*) OVER () AS total FROM r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p * 24 // total AS INT) AS shard,
        CAST(p - ((p * 24 // total) * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p

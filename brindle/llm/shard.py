@@ -1,6 +1,6 @@
 """Proportional stratified interleaving: shards that all hold the sources in the corpus's mixture.
 
-Rows are shuffled by a seeded hash within their source and ranked; the fractional rank (rank - 1/2) / size of the
+Rows are shuffled by a seeded hash of id and text within their source and ranked; the fractional rank (rank - 1/2) / size of the
 source orders all rows, and equal runs of that order are the shards. No source is ever ranked in one task: hash ranges
 of about per_range rows are counted, their counts summed up in order (in blocks, then over blocks), and rows are ranked inside their range only.
 
@@ -38,7 +38,9 @@ def _ranked(rows: DataFrame, strata: list[str], range_of: Column, order: list[st
 def interleave(docs: DataFrame, shards: int = 24, seed: str = "brindle", *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_range: int = 10_000) -> DataFrame:
     """doc_id, source, size (UTF-8 bytes + 8), text_crc32, shard, slot (from 0 in every shard)."""
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    # the text counts too, so that rows without an id, or with one id, are shuffled as well
+    parts = [F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.octet_length(text).cast("string"), F.lit(":"), F.crc32(text).cast("string")]
+    key = F.md5(F.concat(*parts).cast("binary"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),

@@ -608,3 +608,40 @@ def test_outliers_go_whatever_the_ids(spark, n, ids):
     assert len(out) == n + 30
     kept = [r["text"] for r in out if r["kept"]]
     assert not set(kept) & set(bad) and len(kept) >= n * 0.99
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """Ten thousand texts of one source, without an id or under one: no range of the shuffle holds many."""
+    for ids in ([None] * 10_000, [5] * 10_000):
+        docs = table(spark, [f"text {k}" for k in range(10_000)], ids).withColumn("source", F.lit("one"))
+        got = shard.interleave(docs, 8, per_range=100)
+        assert {r["shard"]: r["count"] for r in got.groupBy("shard").count().collect()} == {s: 1250 for s in range(8)}
+        parts = [F.lit("brindle:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.octet_length(F.encode("text", "UTF-8")).cast("string"), F.lit(":"), F.crc32(F.encode("text", "UTF-8")).cast("string")]
+        place = F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
+        assert docs.groupBy(F.floor(place * 100)).count().agg(F.max("count")).first()[0] < 200
+
+
+@pytest.mark.parametrize("size", [100, 2000, 4000, 16000])
+def test_signature_trees_prune_unrelated_sets_of_any_size(size):
+    rng = np.random.default_rng(size)
+    sets = [np.sort(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(60)]
+    sets[7] = sets[3].copy()
+    sets[7][: size // 20] = rng.integers(0, 1 << 63, size // 20).astype(np.uint64)
+    sets[7] = np.unique(sets[7])
+    tree = ngram_join.SignatureTree(sets, np.arange(60))
+    found = {(int(a), int(b)) for p, q in tree.pairs(80, 100) for a, b in zip(p, q)}
+    assert (3, 7) in found and len(found) < 6
+
+
+def test_long_and_short_sets_in_one_tree():
+    """The bitmaps' memory bounds their width; links of long sets stay."""
+    rng = np.random.default_rng(9)
+    sets = sorted([np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in [30_000, 29_900, *rng.integers(1, 60, 3000)]], key=len)
+    near = np.unique(np.concatenate([sets[-1][:29_000], sets[-2][:500]]))
+    sets.append(near)
+    sets.sort(key=len)
+    tree = ngram_join.SignatureTree(sets, np.arange(len(sets)))
+    assert tree.words * 8 * len(sets) <= max(32_000_000, 8 * 32 * len(sets))
+    pairs = {(int(a), int(b)) for p, q in tree.pairs(80, 100) for a, b in zip(p, q)}
+    brute = {(i, j) for i in range(len(sets) - 3, len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert brute and brute <= pairs
