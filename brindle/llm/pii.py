@@ -2,8 +2,8 @@
 
 The network is trained in numpy, each time, on a bounded number of labelled windows: prose of the corpus into which
 spans are put that the patterns need not find (addresses spelt with "at" and "dot", spaced or bracketed separators,
-numbers without their plus or with a wrong check digit, letters in place of digits, keys and passwords), beside
-harmless numbers and names. All texts are cut into overlapping windows; each window is decoded with the Viterbi
+numbers without their plus, cards in odd groups or with letters in place of digits, keys and passwords), beside harmless
+numbers, long ones too, and names. All texts are cut into overlapping windows; each window is decoded with the Viterbi
 algorithm, and every character takes its tag from the window that holds it farthest from its ends, so the tags of a
 text are reconciled before spans are read off, and a span may be longer than a window.
 
@@ -76,17 +76,30 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+_AT, _DOT = r"(?:\s*@\s*|\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+)", r"(?:\s*\.\s*|\s*[(\[]\s*(?:dot|\.)\s*[)\]]\s*|\s+dot\s+)"
+_SPELT = re.compile(rf"(?!at\b|dot\b)[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}(?!at\b|dot\b)[a-z0-9-]+(?:{_DOT}(?!at\b|dot\b)[a-z0-9-]+)*{_DOT}(?!at\b|dot\b)[a-z][a-z0-9-]+", re.IGNORECASE)
+_LOOKS = str.maketrans("OoIl", "0011")
+
+
 def plausible(kind: str, piece: str) -> bool:
-    """Whether what the network found holds what its kind needs, in whatever spelling. Check digits don't count: a mistyped number is still personal."""
-    digits = len(re.sub("[^0-9OIl]+", "", piece))
+    """Whether what the network found holds what its kind needs, in whatever spelling.
+
+    An address has a name, a host and an ending, with signs or words for at and dot between; numbers of an ip go up to
+    255; a card's digits pass the check digit, letters that look like digits read as such; a phone number has ten digits
+    or more in groups, or a plus or 00 before seven or more, and no more than fifteen.
+    """
     if kind == "email":
-        return len(piece) >= 6 and bool(re.search(r"@|[\s(\[]at[\s)\]]", piece, re.IGNORECASE)) and len(re.findall("[A-Za-z0-9]+", piece)) >= 3
+        return bool(_SPELT.search(piece))
     if kind == "ip":
-        return len(re.findall("[0-9]+", piece)) == 4
+        numbers = re.findall("[0-9]+", piece)
+        listed = re.search(r"[0-9]\.\s", piece)  # 1. 2. 3. 4. counts something
+        return len(numbers) == 4 and not listed and all(len(x) < 4 and int(x) <= 255 for x in numbers)
     if kind == "card":
-        return 13 <= digits <= 19
+        digits = _NOT_DIGIT.sub("", piece.translate(_LOOKS))
+        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and _luhn(digits)
     if kind == "phone":
-        return 7 <= digits <= 15
+        digits, groups = len(_NOT_DIGIT.sub("", piece)), len(re.findall("[0-9]+", piece))
+        return 7 <= digits <= 15 and (bool(re.match(r"\s*(?:\+|00)", piece)) or digits >= 10 and groups >= 3)
     return len(piece) >= 10 and any(c.isdigit() for c in piece)
 
 
@@ -112,14 +125,16 @@ def _email(rng: random.Random) -> str:
 
 
 def _address(rng: random.Random) -> str:
-    return rng.choice([".", ".", ".", "[.]", " . ", " dot ", ". "]).join(str(rng.randrange(256)) for _ in range(4))
+    return rng.choice([".", ".", ".", "[.]", " . ", " dot ", "(.)"]).join(str(rng.randrange(256)) for _ in range(4))
 
 
 def _card(rng: random.Random) -> str:
-    raw = rng.choice("3456") + _digits(rng, rng.choice([12, 14, 15, 15, 15, 15, 18]))
-    if rng.random() < 0.5:
-        raw = rng.choice([" ", "-", ".", "  "]).join(raw[i : i + 4] for i in range(0, len(raw), 4))
-    return _look_alike(rng, raw) if rng.random() < 0.15 else raw
+    """Digits with their check digit, in spellings that the pattern often doesn't know."""
+    raw = rng.choice("3456") + _digits(rng, rng.choice([11, 13, 14, 14, 14, 14, 17]))
+    raw = next(raw + d for d in "0123456789" if _luhn(raw + d))
+    if rng.random() < 0.8:
+        raw = rng.choice([" ", "-", ".", "  ", "/", " - ", "_"]).join(raw[i : i + 4] for i in range(0, len(raw), 4))
+    return _look_alike(rng, raw) if rng.random() < 0.25 else raw
 
 
 def _phone(rng: random.Random) -> str:
@@ -141,6 +156,14 @@ def _secret(rng: random.Random) -> str:
 def _harmless(rng: random.Random) -> str:
     """What looks like the above, but isn't."""
     n, word = rng.randrange, _letters(rng, 3, 9)
+    long = _digits(rng, rng.randint(9, 19))
+    if rng.random() < 0.2:  # long numbers without a meaning: what isn't labelled as a card or phone must not pass as one
+        while len(long) > 12 and _luhn(long):
+            long = _digits(rng, rng.randint(9, 19))
+        grouped = rng.choice([" ", "-", "."]).join(long[i : i + 4] for i in range(0, len(long), 4))
+        return rng.choice(["order number ", "item ", "order ", "invoice no. ", "ref. ", "id ", "isbn ", ""]) + rng.choice([long, long, grouped, _digits(rng, 8)])
+    if rng.random() < 0.08:
+        return rng.choice([" ".join([rng.choice(["at", "At", "dot", "AT"])] * rng.randint(2, 8)), f"{word} at {word} at {word}", f"{n(400) + 256}.{n(900)}.{n(900)}.{n(900)}", f"at {word}. At {word}"])
     return rng.choice([
         str(1900 + n(150)), f"{n(1000)}.{n(100)}", f"{n(100)}:{n(60):02d}", f"20{n(30):02d}-{n(12) + 1:02d}-{n(28) + 1:02d}", f"{n(28) + 1}.{n(12) + 1}.20{n(30):02d}", f"${n(1000)},{n(1000):03d}.{n(100):02d}", f"v{n(20)}.{n(20)}.{n(20)}",
         f"@{word}", f"{n(100)} %", _digits(rng, rng.randint(1, 8)), f"at {word} dot", f"{word} at {word}", f"http://{word}.com/{_letters(rng, 3, 9)}", f"www.{word}.org", f"the password {word}", f"token {word}", f"secret: {word}", f"#{_letters(rng, 6, 6, '0123456789abcdef')}", f"{n(100)}x{n(100)}",
@@ -480,8 +503,10 @@ def model_spans(model: BiLstmCrf, texts: list[str], sure: float, chunk: int = 25
         while b < end and tags[b] == inside:
             b += 1
         kind = KINDS[int(tags[a]) - 1]
-        if odds[a : b + 1].sum() >= least and plausible(kind, texts[i][a - ends[i] : b - ends[i]]):
-            out[i].append((kind, a - int(ends[i]), b - int(ends[i])))
+        piece = texts[i][a - ends[i] : b - ends[i]]
+        if odds[a : b + 1].sum() >= least and plausible(kind, piece):
+            first, last = _SPELT.search(piece).span() if kind == "email" else (0, len(piece))  # of an address, what spells it
+            out[i].append((kind, a - int(ends[i]) + first, a - int(ends[i]) + last))
     return out
 
 

@@ -463,6 +463,42 @@ def test_network_finds_what_patterns_do_not(network):
     assert recall > 0.75 and precision > 0.95
 
 
+UNSEEN = [  # templates that the generator doesn't have: what is there, or nothing
+    ("kindly reach marie dot dupont at gmail dot com before noon", "email"),
+    ("his box: j_smith [at] uni-ulm [dot] de (office)", "email"),
+    ("dial 0049 170 555 12 34 after six", "phone"),
+    ("fax 555.867.5309 if the line is busy", "phone"),
+    ("the card reads 4111.1111.1111.1111 on its face", "card"),
+    ("gateway sits on 10 . 0 . 12 . 7 behind the wall", "ip"),
+    ("card 4111 1111 1111 1112 was declined", None),
+    ("item 12345678 is sold out", None),
+    ("order number 1234567890123456 has shipped", None),
+    ("they met at noon at the bar at last", None),
+    ("Ating. At At At the house", None),
+    ("version 300.400.500.600 of the tool", None),
+    ("chapter 12. 13. 14. 15. of the book", None),
+    ("serial 99887766554433221100 is stamped inside", None),
+]
+
+
+def test_kinds_are_checked():
+    """What can't be of its kind is never added, whatever the network says; what can, may be."""
+    assert not pii.plausible("email", "at at at at at") and not pii.plausible("email", "Ating. At At At") and not pii.plausible("email", "bob at home at last")
+    assert pii.plausible("email", "marie dot dupont at gmail dot com") and pii.plausible("email", "x_y [at] host-a (dot) org") and pii.plausible("email", "a.b @ c . de")
+    assert not pii.plausible("ip", "4111 1111 1111 1112") and not pii.plausible("ip", "300.1.1.1") and pii.plausible("ip", "10 . 0 dot 12[.]7")
+    assert not pii.plausible("card", "1234567890123456") and not pii.plausible("card", "0000000000000000") and pii.plausible("card", "4lll.1111.1111.IIII")
+    assert not pii.plausible("phone", "12345678") and not pii.plausible("phone", "1234567890") and pii.plausible("phone", "(385) 555-1563") and pii.plausible("phone", "0049 170 55512")
+
+
+def test_unseen_templates(network):
+    """Nothing that isn't personal is reported on lines of another make, and most of what is."""
+    found = pii.model_spans(network[0], [t for t, _ in UNSEEN], 0.9)
+    every = [{k for k, _, _ in own} | {k for k, _, _ in pii.pattern_spans(t)} for (t, _), own in zip(UNSEEN, found)]
+    assert all(not kinds for (_, want), kinds in zip(UNSEEN, every) if want is None)
+    assert all(kinds <= {want} for (_, want), kinds in zip(UNSEEN, every) if want)
+    assert sum(want in kinds for (_, want), kinds in zip(UNSEEN, every) if want) >= 2
+
+
 def test_windows_are_reconciled(network):
     """Spans come out the same wherever windows cut the text."""
     model, prose = network
