@@ -144,3 +144,8 @@ def constraints(df: DataFrame, regime: str = "regime") -> DataFrame:
     """df with max_allocation, stop_type and forbidden of its regime; half and `standard` for others."""
     pick = lambda i, other: F.coalesce(F.create_map(*[F.lit(x) for k, v in CONSTRAINTS.items() for x in (k, v[i])])[F.col(regime)], F.lit(other))
     return df.withColumns({"max_allocation": pick(0, 0.5), "stop_type": pick(1, "standard"), "forbidden": pick(2, "none")})
+
+
+def from_history(history: DataFrame, symbols: DataFrame) -> DataFrame:
+    """symbol, regime of every symbol asked for, from its bars in whatever order; sideways for one without any."""
+    return symbols.select("symbol").distinct().join(detect(history).select("symbol", "regime"), "symbol", "left").withColumn("regime", F.coalesce("regime", F.lit("sideways")))

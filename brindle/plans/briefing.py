@@ -40,7 +40,9 @@ _C = """('bull', 'Sustained uptrend; Higher highs/lows; Strong momentum', 'Expec
 register("regime_characteristics", f"SELECT symbol, regime, coalesce(a, '') AS traits, coalesce(b, 'Monitor for regime change') AS expected FROM ({ORACLES['regime_rules']}) LEFT JOIN (VALUES {_C}) t(r, a, b) ON r = regime")(
     lambda m: briefing.characteristics(_query("regime_rules", m)).select("symbol", "regime", F.array_join("traits", "; ").alias("traits"), "expected")
 )
-register("regime_from_history", f"SELECT symbol, regime FROM ({ORACLES['regime_detector']})")(lambda m: regimes.detect(m.bars().orderBy(F.col("ts").desc())).select("symbol", "regime"))
+register("regime_from_history", f"SELECT symbol, coalesce(regime, 'sideways') AS regime FROM (SELECT DISTINCT event_type AS symbol FROM events UNION SELECT DISTINCT c_mktsegment FROM customer) LEFT JOIN ({ORACLES['regime_detector']}) USING (symbol)")(
+    lambda m: regimes.from_history(m.bars().orderBy(F.rand(3)), m.table("events").select(F.col("event_type").alias("symbol")).unionByName(m.table("customer").select(F.col("c_mktsegment").alias("symbol"))))
+)
 
 # ---- bias and guidance
 
@@ -140,7 +142,9 @@ register("base64_names", "SELECT c_custkey, to_base64(encode(c_name)) AS code FR
 register("instant_parse", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 5 HOUR AS iso, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, CAST(NULL AS TIMESTAMP) AS bad FROM orders")(
     lambda m: m.table("orders").select("o_orderkey", scalars.parse_instant(F.date_format("o_orderdate", "yyyy-MM-dd'T05:00:00Z'")).alias("iso"), scalars.parse_instant(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), scalars.parse_instant(F.lit("soon")).alias("bad"))
 )
-register("order_ids", "SELECT o_orderkey, 36 AS id_length FROM orders")(lambda m: m.table("orders").select("o_orderkey", F.length(F.uuid()).alias("id_length")))
+register("order_ids", "SELECT count(*) AS n, count(*) AS n_different, count(*) AS n_valid FROM orders")(
+    lambda m: m.table("orders").select("o_orderkey", F.uuid().alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_different"), F.count_if(F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("n_valid"))
+)
 register("pair_base", "SELECT DISTINCT event_type AS base FROM events")(lambda m: m.table("events").select(scalars.pair_base(F.concat("event_type", F.lit("USDT"))).alias("base")).distinct())
 
 # ---- files

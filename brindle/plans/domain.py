@@ -139,14 +139,20 @@ r AS (SELECT symbol, lo, step, bin, lead(bin) OVER w - 1 AS last_bin, sum(v) OVE
     ),
 )(lambda m: _rr(levels.volume_profile(m.bars()), price=6, volume=6))
 register("factor_volume_peaks")(lambda m: _f(levels.volume_peaks(m.bars())))
-register("all_factors")(lambda m: levels.all_factors(m.bars()).groupBy("symbol", "factor_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 6).alias("strength")))
+register("all_factors")(lambda m: levels.all_factors(m.stored_bars()).groupBy("symbol", "factor_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("strength"), 6).alias("strength")))
 register("zones")(lambda m: _zones(m))
-register("zone_scores")(lambda m: zones.scored(zones.clustered(levels.all_factors(m.bars()), levels.current(m.bars()))).select("symbol", "cluster", F.round("score", 6).alias("score"), "strength", "n_factors", "zone_type"))
+register("zone_scores")(lambda m: _scores(m).select("symbol", "cluster", F.round("score", 6).alias("score"), "strength", "n_factors", "zone_type"))
 register("nearest_zones")(lambda m: zones.nearest(_zones(m), 3).select("symbol", "cluster", "zone_price", "distance_pct"))
 
 
+def _scores(m: Market) -> DataFrame:
+    bars = m.stored_bars()
+    return zones.scored(zones.clustered(levels.all_factors(bars), levels.current(bars)))
+
+
 def _zones(m: Market) -> DataFrame:
-    out = zones.confluence_zones(levels.all_factors(m.bars()), m.bars(), least_score=0.2)
+    bars = m.stored_bars()
+    out = zones.confluence_zones(levels.all_factors(bars), bars, least_score=0.2)
     return _rr(out, zone_price=6, low=6, high=6, score=6, distance_pct=6, breach_probability=6)
 
 

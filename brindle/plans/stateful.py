@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.plans.registry import register
+from brindle.plans import windows  # noqa: F401  (its SQL is used below)
+from brindle.plans.registry import ORACLES, register
 from brindle.sources.tables import shared_folder
 from brindle.sources.views import Market
 from brindle.streaming import bars as sb
@@ -104,3 +105,12 @@ r(key, i, failures, prior, move, moved) AS (
 z AS (SELECT key, prior + INTERVAL 1 DAY AS "at", 'closed' AS state FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i DESC) AS k FROM r) WHERE k = 1 AND failures >= 3)
 SELECT key, moved AS "at", move AS state FROM r WHERE move IS NOT NULL UNION ALL SELECT key, "at", state FROM z WHERE "at" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )(_breaker)
+
+
+def _ewma(m: Market) -> DataFrame:
+    plan = lambda events: keyed.stream_ewma(events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("at"), "value"))
+    rows, _ = batches.run_batches(_arrivals(m, False), plan, _folder(m))
+    return batches.latest(rows, ["symbol"]).select("symbol", F.round("ewma", 6).alias("ewma"))
+
+
+register("stream_ewma", ORACLES["ewma_latency"])(_ewma)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.resample import resample_ohlcv
+from brindle.sources.tables import written
 
 
 class Market:
@@ -25,6 +26,10 @@ class Market:
         """OHLCV bars of every symbol."""
         return resample_ohlcv(self.ticks(), rule)
 
+    def stored_bars(self, rule: str = "4 hours") -> DataFrame:
+        """bars(), written once: for plans that read them many times, so that the ticks are aggregated once."""
+        return written(self.bars(rule), "bars")[0]
+
     def bars_1h(self) -> DataFrame:
         """Hourly bars over all ticks, as one symbol ALL."""
         return resample_ohlcv(self.ticks().withColumn("symbol", F.lit("ALL")), "1 hour")

@@ -94,3 +94,31 @@ class Breaker(StatefulProcessor):
 def stream_breaker(events: DataFrame, failures: int = 3, pause: float = 300.0) -> DataFrame:
     """key, at, state (open, closed): how the breakers of a stream of events (key, at with a watermark, seq, failed) move. State: two numbers a key."""
     return events.groupBy("key").transformWithStateInPandas(Breaker(failures, pause), MOVES, "Append", "EventTime", eventTimeColumnName="at")
+
+
+FOLDED = "symbol string, ewma double"
+
+
+class Folded(StatefulProcessor):
+    """A mean that forgets: each value weighs 1 - weight against the old mean; the first is taken as it is."""
+
+    def __init__(self, weight: float):
+        self.weight = weight
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("mean", "mean double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mean = self.state.get()[0] if self.state.exists() else None
+        for x in pd.concat(list(rows)).sort_values(["at", "value"])["value"].tolist():
+            mean = x if mean is None else self.weight * mean + (1 - self.weight) * x
+        self.state.update((mean,))
+        yield pd.DataFrame({"symbol": [key[0]], "ewma": [mean]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ewma(rows: DataFrame, weight: float = 0.9) -> DataFrame:
+    """symbol, ewma after every batch of rows (symbol, at, value) that come in order of their batches. State: one number a symbol."""
+    return rows.groupBy("symbol").transformWithStateInPandas(Folded(weight), FOLDED, "Update", "None")
