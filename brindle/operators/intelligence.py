@@ -22,6 +22,8 @@ ACTIONS = {
     "bull": ("Accumulate Spot", "high", "Trend is bullish", "On 4H dips"),
     "bear": ("Preserve Capital / Hedge", "high", "Trend is bearish", "Immediate"),
 }
+#: The head of a block of lessons: a fixed value.
+LESSONS = "*** LESSONS LEARNED (DO NOT REPEAT PAST MISTAKES) ***"
 MONITOR = ("Monitor Support at $", "medium", "Key structural level", "Continuous")
 
 
@@ -127,3 +129,33 @@ def reasoning(df: DataFrame) -> DataFrame:
     workflows = F.array_compact(F.array(F.when(1 - sure > 0.3, "regime_transition_audit"), F.when(c("regime") == "volatile", "tail_risk_scrub")))
     checks = F.array(F.format_string("Is %s regime still valid at current price?", "regime"), F.format_string("Do ETF flows support %s bias?", F.coalesce("flow", F.lit("unknown"))), F.lit("Are there hidden risks in derivatives positioning?"))
     return df.select("symbol", claims.alias("claims"), branch.alias("branch"), doubts.alias("uncertainties"), workflows.alias("workflows"), checks.alias("checks"))
+
+
+def market_summary(daily: DataFrame, flows: DataFrame, as_of: str) -> DataFrame:
+    """symbol, current, change_1d, change_7d (per cent, against the second and seventh row from the end; 0 with fewer rows), volatility_7d (deviation of the last seven closes), net_flow_7d (millions), top_inflows and top_outflows (arrays of ticker and flow, three at most, ties by ticker), freshness_hours, at a date.
+
+    daily: (symbol, ts, close). flows: (date, ticker, flow_usd) of the seven days up to the date, whatever the symbol; without any, the sum is 0 and the arrays are empty. A symbol without a row by then is left out.
+    """
+    at = F.lit(as_of).cast("timestamp_ntz")
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    rows = daily.filter(F.col("ts") <= at).withColumn("_k", F.row_number().over(w)).filter("_k <= 7")
+    close = lambda k: F.max(F.when(F.col("_k") == k, F.col("close")))
+    change = lambda k: F.coalesce(ratio(close(1) - close(k), close(k)) * 100, F.lit(0.0))
+    hours = (F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(F.max("ts").cast("timestamp"))) / 3600
+    price = rows.groupBy("symbol").agg(close(1).alias("current"), change(2).alias("change_1d"), change(7).alias("change_7d"), F.stddev_samp("close").alias("volatility_7d"), hours.alias("freshness_hours"))
+    day = F.to_date(at)
+    totals = flows.filter(F.col("date").between(F.date_sub(day, 7), day)).groupBy("ticker").agg(F.sum("flow_usd").alias("flow"))
+    best = lambda order: totals.orderBy(order, "ticker").limit(3)
+    listed = lambda df, name, sign: df.agg(F.transform(F.array_sort(F.collect_list(F.struct((sign * F.col("flow")).alias("o"), "ticker", "flow"))), lambda s: F.struct(s["ticker"].alias("ticker"), s["flow"].alias("flow"))).alias(name))
+    net = totals.agg((F.coalesce(F.sum("flow"), F.lit(0.0)) / 1e6).alias("net_flow_7d"))
+    one = net.join(listed(best(F.desc("flow")), "top_inflows", -1)).join(listed(best(F.asc("flow")), "top_outflows", 1))
+    return price.join(F.broadcast(one))  # one row
+
+
+def lessons(log: DataFrame, by: str, order: str, n: int = 3) -> DataFrame:
+    """by, block: the last n reflections of each group that have a text, oldest first, as the block that a prompt starts with; groups without any are left out."""
+    w = Window.partitionBy(by).orderBy(F.desc(order))
+    rows = log.filter(F.length("reflection") > 0).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n)
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "reflection")), False), lambda s: F.concat(F.lit("- "), s["reflection"])), "\n")
+    return rows.groupBy(by).agg(F.concat_ws("\n", F.lit(LESSONS), said).alias("block"))
+

@@ -114,3 +114,36 @@ def _intelligence(m: Market) -> DataFrame:
     first = F.get("thoughts", F.lit(0))
     kind = F.when(first.contains("sustained accumulation"), "up busy").when(first.contains("potential exhaustion"), "up quiet").when(first.contains("selling pressure"), "down")
     return out.select("date", "confidence", "status", kind.alias("price_thought"), (F.size("thoughts") > 1).alias("interest_thought"), F.regexp_extract("check", "^(.*?confidence\\.)", 1).alias("verdict"))
+
+
+def _summary(m: Market) -> DataFrame:
+    out = intelligence.market_summary(m.bars_1d(), m.flows().withColumn("date", F.date_add("date", 10440)), "2024-01-25 12:00:00")
+    names = lambda c: F.array_join(F.transform(c, lambda s: s["ticker"]), ", ")
+    return out.select("symbol", *[F.round(c, 6).alias(c) for c in ("current", "change_1d", "change_7d", "volatility_7d")], F.round("net_flow_7d", 4).alias("net_flow_7d"), names("top_inflows").alias("top_inflows"), names("top_outflows").alias("top_outflows"), "freshness_hours")
+
+
+register(
+    "market_summary",
+    sql(
+        f"""SELECT symbol, {R('c1')} AS current, {R('coalesce((c1 - c2) / c2 * 100, 0)')} AS change_1d, {R('coalesce((c1 - c7) / c7 * 100, 0)')} AS change_7d, {R('vol')} AS volatility_7d, round(coalesce((SELECT sum(flow) FROM t), 0) / 1e6, 4) + 0.0::DOUBLE AS net_flow_7d,
+        coalesce((SELECT string_agg(ticker, ', ' ORDER BY flow DESC, ticker) FROM (SELECT * FROM t ORDER BY flow DESC, ticker LIMIT 3)), '') AS top_inflows, coalesce((SELECT string_agg(ticker, ', ' ORDER BY flow, ticker) FROM (SELECT * FROM t ORDER BY flow, ticker LIMIT 3)), '') AS top_outflows, fresh AS freshness_hours
+        FROM (SELECT symbol, max(close) FILTER (WHERE k = 1) AS c1, max(close) FILTER (WHERE k = 2) AS c2, max(close) FILTER (WHERE k = 7) AS c7, stddev_samp(close) AS vol, (epoch(TIMESTAMP '2024-01-25 12:00:00') - epoch(max(ts))) / 3600 AS fresh FROM p WHERE k <= 7 GROUP BY symbol)""",
+        "bars_1d",
+        "flows",
+        ctes="p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars_1d WHERE ts <= TIMESTAMP '2024-01-25 12:00:00'), t AS (SELECT ticker, sum(flow_usd) AS flow FROM flows WHERE date + 10440 BETWEEN DATE '2024-01-18' AND DATE '2024-01-25' GROUP BY ticker)",
+    ),
+)(_summary)
+
+
+def _lessons(m: Market) -> DataFrame:
+    """Orders are decisions; those of large totals have a reflection."""
+    o = m.table("orders")
+    log = o.select("o_custkey", "o_orderkey", F.when(F.col("o_totalprice") > 150000, F.concat(F.lit("Order of "), "o_orderpriority", F.lit(" was too large"))).when(F.col("o_totalprice") > 100000, "").alias("reflection"))
+    return intelligence.lessons(log, "o_custkey", "o_orderkey")
+
+
+register(
+    "lessons",
+    """SELECT o_custkey, '*** LESSONS LEARNED (DO NOT REPEAT PAST MISTAKES) ***' || chr(10) || string_agg('- Order of ' || o_orderpriority || ' was too large', chr(10) ORDER BY o_orderkey) AS block
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_totalprice > 150000) WHERE k <= 3 GROUP BY o_custkey""",
+)(_lessons)
