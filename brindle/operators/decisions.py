@@ -100,3 +100,22 @@ def actions(df: DataFrame) -> DataFrame:
         )
     )
     return df.select("symbol", F.explode(arr).alias("_a")).select("symbol", "_a.action", "_a.priority")
+
+
+#: What critiques are searched for, the pattern that it shows, and the instruction proposed against it: fixed values.
+PATTERNS = {
+    "RSI_misinterpretation": (["RSI"], "INJECTION: 'When trending, RSI overbought is NOT a sell signal. Look for divergence.'"),
+    "FOMO_behavior": (["chase pumps", "FOMO"], "INJECTION: 'Do NOT buy widely publicized pumps. Wait for 30% pullback.'"),
+    "risk_violation": (["leverage"], "INJECTION: 'Strictly enforce 2% stop loss on all leverage trades.'"),
+}
+
+
+def critique_patterns(critiques: DataFrame, by: str, text: str = "critique") -> DataFrame:
+    """by, status, pattern, frequency, proposal: the pattern that most critiques of a group show (ties in the order of the table), a critique counting once for each pattern; a group without any says so."""
+    found = F.array_compact(F.array(*[F.when(F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(text), w)), F.lit(False)), F.lit(i)) for i, (words, _) in enumerate(PATTERNS.values())]))
+    rows = critiques.select(by, F.explode_outer(found).alias("_i")).groupBy(by, "_i").agg(F.count(F.lit(1)).alias("_n"))
+    best = rows.groupBy(by).agg(F.max(F.when(F.col("_i").isNotNull(), F.struct("_n", (-F.col("_i")).alias("_i")))).alias("_b"))
+    name, proposal = F.array(*map(F.lit, PATTERNS)), F.array(*[F.lit(p) for _, p in PATTERNS.values()])
+    at = -F.col("_b._i")
+    status = F.when(F.col("_b").isNull(), "No systemic patterns found").otherwise("Optimization Proposal Generated")
+    return best.select(by, status.alias("status"), F.get(name, at).alias("pattern"), F.col("_b._n").alias("frequency"), F.get(proposal, at).alias("proposal"))

@@ -36,7 +36,7 @@ def narratives(df: DataFrame) -> DataFrame:
     percent = lambda x: F.round(x * 100, 0)
     summary = F.concat(
         F.format_string(SUMMARY, F.upper("regime"), percent(c("confidence"))),
-        F.coalesce(F.format_string(SENTIMENT, F.when(c("label").isNotNull(), F.replace("label", F.lit("_"), F.lit(" ")))), F.lit("")) if "label" in df.columns else F.lit(""),
+        F.when(F.length("label") > 0, F.format_string(SENTIMENT, F.replace("label", F.lit("_"), F.lit(" ")))).otherwise(""),
         F.when(c("risk_level") == "high", CAUTION).otherwise(""),
     )
     trait = F.lower(F.coalesce(F.get("traits", F.lit(0)), F.lit("undefined")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import briefing, intelligence, risk
+from brindle.operators import briefing, decisions, intelligence, risk
 from brindle.plans import domain  # noqa: F401  (registers what reports draw on)
 from brindle.plans.registry import ORACLES, QUERIES, R, register, sql
 from brindle.sources.views import Market
@@ -147,3 +147,21 @@ register(
     """SELECT o_custkey, '*** LESSONS LEARNED (DO NOT REPEAT PAST MISTAKES) ***' || chr(10) || string_agg('- Order of ' || o_orderpriority || ' was too large', chr(10) ORDER BY o_orderkey) AS block
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_totalprice > 150000) WHERE k <= 3 GROUP BY o_custkey""",
 )(_lessons)
+
+
+def _patterns(m: Market) -> DataFrame:
+    """Line items are critiques of their supplier: of what was returned, shipped late or discounted."""
+    li = m.table("lineitem").filter("l_linestatus = 'F'")
+    say = lambda test, text: F.when(test, F.lit(text))
+    text = F.concat_ws(", ", say(F.col("l_returnflag") == "R", "ignored the RSI"), say(F.col("l_quantity") > 45, "tends to chase pumps"), say(F.col("l_quantity") < 3, "pure FOMO"), say(F.col("l_discount") > 0.08, "too much leverage"))
+    return decisions.critique_patterns(li.filter("l_suppkey % 3 <> 0 or l_returnflag <> 'R'").select("l_suppkey", text.alias("critique")), "l_suppkey")
+
+
+register(
+    "critique_patterns",
+    """WITH c AS (SELECT l_suppkey, l_returnflag = 'R' AS a, l_quantity > 45 OR l_quantity < 3 AS b, l_discount > 0.08 AS c FROM lineitem WHERE l_linestatus = 'F' AND (l_suppkey % 3 <> 0 OR l_returnflag <> 'R')),
+n AS (SELECT l_suppkey, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c FROM c GROUP BY 1)
+SELECT l_suppkey, CASE WHEN greatest(a, b, c) = 0 THEN 'No systemic patterns found' ELSE 'Optimization Proposal Generated' END AS status,
+CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a >= b AND a >= c THEN 'RSI_misinterpretation' WHEN b >= c THEN 'FOMO_behavior' ELSE 'risk_violation' END AS pattern, nullif(greatest(a, b, c), 0) AS frequency,
+CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a >= b AND a >= c THEN 'INJECTION: ''When trending, RSI overbought is NOT a sell signal. Look for divergence.''' WHEN b >= c THEN 'INJECTION: ''Do NOT buy widely publicized pumps. Wait for 30% pullback.''' ELSE 'INJECTION: ''Strictly enforce 2% stop loss on all leverage trades.''' END AS proposal FROM n""",
+)(_patterns)
