@@ -36,7 +36,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(BLANKS)], _CUT[list(CUTS)] = True, True
 _PROBES = 3
-_GROUP = 8_000_000  # bytes of text that are counted at a time
+_GROUP = 4_000_000  # bytes of text that are counted at a time
 
 
 class Phrases:
@@ -180,7 +180,7 @@ def _counted(rows: DataFrame, candidates, filter_bits: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 
-def frequent_phrases(docs: DataFrame, support: int = 10, *, text_col: str = "text", lang_col: str = "lang", shards: int = 4, filter_bits: int = 26) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = 10, *, text_col: str = "text", lang_col: str = "lang", shards: int = 2, filter_bits: int = 26) -> DataFrame:
     """lang, words, phrase, f: every phrase of one to three words with the support in its language, and with words = 0 the words of each language."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
@@ -206,11 +206,12 @@ def frequent_phrases(docs: DataFrame, support: int = 10, *, text_col: str = "tex
     return out
 
 
-def collocations(docs: DataFrame, support: int = 10, top: int = 2000, *, inside: int = 50, text_col: str = "text", lang_col: str = "lang", shards: int = 4, filter_bits: int = 26, salts: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 10, top: int = 2000, *, inside: int = 50, text_col: str = "text", lang_col: str = "lang", shards: int = 2, filter_bits: int = 26, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two or three words of each language.
 
     A phrase is dropped if one longer candidate around it has inside per cent of its occurrences or more. top: rows a
-    language. shards: of the mining. filter_bits: log2 of the bits of the filters that scans get. salts: parts of a
+    language. shards: of the mining; the fewer they are, the nearer their support is to the global one, and the fewer
+    candidates don't have it. filter_bits: log2 of the bits of the filters that scans get. salts: parts of a
     language that are ranked on their own before their best are ranked together.
     """
     frequent = frequent_phrases(docs, support, text_col=text_col, lang_col=lang_col, shards=shards, filter_bits=filter_bits)
