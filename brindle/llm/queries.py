@@ -30,7 +30,7 @@ def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunks.dedup_chunks(_docs(spark, sf_dir), pairs=False)  # the SQL defines this query by the first level alone
+    out = chunks.dedup_chunks(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -118,17 +118,19 @@ QUERIES = {
     "op13_collocations": op13_collocations,
 }
 
+#: Both levels: chunks that lines choose, and every two neighbouring lines.
 _OP3 = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l),
 h AS (SELECT *, CAST('0x' || left(md5(line), 8) AS BIGINT) AS h FROM e),
 c AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS ends FROM h),
-g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM c),
-k AS (SELECT doc_id, g, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, g),
-r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, s) > 1 AS gone FROM k)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(t, chr(10) ORDER BY g) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+g AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM c),
+k AS (SELECT doc_id, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, g HAVING count(*) > 2
+      UNION ALL SELECT doc_id, i, 2, line || chr(10) || next FROM g WHERE next IS NOT NULL),
+r AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) > 1 AS gone FROM k),
+o AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM r WHERE gone)
+SELECT e.doc_id, count(*) AS n_lines, count(o.i) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY e.i) FILTER (WHERE o.i IS NULL), '')) AS kept_sha256
+FROM e LEFT JOIN o ON o.doc_id = e.doc_id AND o.i = e.i GROUP BY e.doc_id
 """
 
 _OP7 = r"""
