@@ -15,7 +15,7 @@ from brindle.streaming import bars as sb
 from brindle.streaming import batches, keyed
 
 #: Events come in the order of their days, eight days a batch; one in 50 comes a batch late, one in 50 two batches.
-_ARRIVAL = F.expr("least(3, (dayofmonth(ts) - 1) div 8 + case event_id % 50 when 0 then 1 when 1 then 2 else 0 end)")
+_ARRIVAL = "least(3, (dayofmonth(ts) - 1) div 8 + case event_id % 50 when 0 then 1 when 1 then 2 else 0 end)"
 _E = "e AS (SELECT *, least(3, (dayofmonth(ts) - 1) // 8 + CASE event_id % 50 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS arrival FROM events)"
 
 
@@ -26,7 +26,7 @@ def _folder(m: Market) -> str:
 def _arrivals(m: Market, late: bool) -> list[DataFrame]:
     """The events by when they come: late ones among them, or all in the order of their days."""
     events = m.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    arrival = _ARRIVAL if late else F.expr("least(3, (dayofmonth(ts) - 1) div 8)")
+    arrival = F.expr(_ARRIVAL if late else "least(3, (dayofmonth(ts) - 1) div 8)")
     return [events.filter(arrival == k) for k in range(4)]
 
 
