@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.ranks import counted
+from brindle.functions.ranks import Bounds, counted
 from brindle.functions.rolling import full, last_row, ratio, series, tail
 from brindle.operators.kernels import peaks
 
@@ -73,8 +73,8 @@ def touches(levels: DataFrame, bars: DataFrame, tolerance: float = 0.01) -> Data
     own = levels.select("symbol", "price").distinct().filter("price >= 0").withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy("price")))
     same = bars.groupBy("symbol", "low", "high").agg(F.count(F.lit(1)).alias("_n"))
     values = same.select("*", F.explode(F.array("low", "high")).alias("_v")).filter("_v is not null")
-    values = counted(values, "_v", own.withColumn("_bound", F.col("price") * (1 - tolerance)), "_bound", "_to", at=True)
-    values = counted(values, "_v", own.withColumn("_bound", F.col("price") * (1 + tolerance)), "_bound", "_from", at=False)
+    low, high = (own.select("symbol", (F.col("price") * (1 + t)).alias("_bound")) for t in (-tolerance, tolerance))
+    values = counted(values, "_v", Bounds(low, "_bound", "_to", True), Bounds(high, "_bound", "_from", False))
     runs = values.groupBy("symbol", "low", "high", "_n").agg(F.min(F.struct("_v", "_from", "_to")).alias("a"), F.max(F.struct("_v", "_from", "_to")).alias("b"))
     ends = lambda a, b: F.array(F.struct((a + 1).alias("_k"), F.col("_n").alias("d")), F.struct((b + 1).alias("_k"), (-F.col("_n")).alias("d")))
     meet = F.col("b._from") <= F.col("a._to")

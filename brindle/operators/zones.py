@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.ranks import counted
+from brindle.functions.ranks import Bounds, counted
 from brindle.functions.rolling import clip, ratio
 from brindle.functions.scalars import STRENGTH, banded
 from brindle.operators.kernels import linkage_1d
@@ -67,7 +67,7 @@ def tested(zones: DataFrame, bars: DataFrame) -> DataFrame:
     by = lambda x: F.row_number().over(Window.partitionBy("symbol").orderBy(x))
     own = own.withColumns({"_kt": by("_top"), "_kb": by("_bottom")})
     spots = bars.groupBy("symbol", "low", "high").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
-    spots = counted(counted(spots, "low", own, "_top", "_p", at=False), "high", own, "_bottom", "_q", at=True)
+    spots = counted(counted(spots, "low", Bounds(own, "_top", "_p", False)), "high", Bounds(own, "_bottom", "_q", True))
     spots = spots.filter("low is not null and high is not null").groupBy("symbol", "_p", "_q").agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last"))
     met = own.join(spots, "symbol").filter("_kt > _p and _kb <= _q")
     tests = met.groupBy("symbol", "cluster").agg(F.sum("_n").alias("tests"), F.max("_last").alias("last_test"))
