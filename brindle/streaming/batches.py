@@ -16,11 +16,12 @@ def _instant(text: str) -> datetime:
     return datetime.fromisoformat(text.replace("Z", "+00:00")).astimezone(timezone.utc)
 
 
-def run_batches(arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], folder: str, mode: str = "update") -> tuple[DataFrame, list[tuple[DataFrame, datetime | None]]]:
+def run_batches(arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataFrame], folder: str, mode: str = "update", partitions: int | None = None) -> tuple[DataFrame, list[tuple[DataFrame, datetime | None]]]:
     """Feeds tables one after the other to one stream, which stops and starts again from its checkpoint in between.
 
     Gives the rows that the plan put out with _batch (rising in time), and each table as it was read with the watermark
     that held for it (None before the first). Rows go through Parquet: what a repeated batch wrote is overwritten.
+    partitions: of the state, which stay for the life of the checkpoint; as many as the cluster runs tasks, if not given.
     """
     spark, runs = None, []
     for k, table in enumerate(arrivals):
@@ -31,13 +32,16 @@ def run_batches(arrivals: Iterable[DataFrame], plan: Callable[[DataFrame], DataF
         def write(rows: DataFrame, number: int) -> None:
             rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/_of={number}")
 
-        before = spark.conf.get(_STORE[0])
-        spark.conf.set(*_STORE)
+        held_for = {_STORE[0]: _STORE[1], "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+        before = {name: spark.conf.get(name) for name in held_for}
+        for name, value in held_for.items():
+            spark.conf.set(name, value)
         try:
             query = plan(source).writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            spark.conf.set(_STORE[0], before)
+            for name, value in before.items():
+                spark.conf.set(name, value)
         progress = next((p for p in query.recentProgress if p.numInputRows), None)
         held = (progress.eventTime or {}).get("watermark") if progress else None
         held = _instant(held) if held else None
