@@ -36,7 +36,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(BLANKS)], _CUT[list(CUTS)] = True, True
 _PROBES = 3
-_GROUP = 4_000_000  # bytes of text that are counted at a time
+_GROUP = 2_000_000  # bytes of text that are counted at a time
 
 
 class Phrases:
