@@ -6,7 +6,9 @@ Three steps, none of which lists the pairs of a group:
    buckets by hash range, one more than a linked partner may differ in, so linked sets agree in a whole bucket.
    Documents that share a bucket's fingerprint are joined to the smallest of them; within a task that happens before
    the shuffle, so a common fingerprint is one row for each task.
-2. The components of those candidate links are gathered, a large one in tiles of bounded size.
+2. The components of those candidate links are gathered. Sets that share passages chain up, so a component of more than
+   one tile is first taken apart: linked sets share an n-gram among the rarest of each, and most sets there have enough
+   n-grams of their own to be linked with nothing. What is still large is compared in tiles of bounded size.
 3. In a tile, sets are first compared with a few leaders, and what is linked to a leader is one group. Then a signature
    tree holds, for every node, the OR of its sets' bitmaps and their range of sizes. Two trees are walked together; a
    pair of nodes is dropped if the largest overlap it allows is too small, or if all their sets are linked already.
@@ -328,6 +330,67 @@ def _tiles(n: int, num: int, den: int):
     return run
 
 
+_GRAMS = "root long, doc_id long, tie long, n long, gram long"
+_COUNTED = f"{_GRAMS}, count long"
+_MANY = 1024  # n-grams that are more frequent count as equally frequent, so that a task holds so many rows of one
+
+
+def _grams(n: int):
+    """The n-grams of rows (root, doc_id, tie, text)."""
+
+    def run(batches):
+        for batch, texts in text_groups(batches):
+            sets = ngram_sets(texts, n)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            own = [np.repeat(np.asarray(batch.column(i)), sizes) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64))], ["root", "doc_id", "tie", "n", "gram"])
+        give_back()
+
+    return run
+
+
+def _shared(batches):
+    """Of rows sorted by their last column, n-gram: those whose n-gram stands in several, with their number, _MANY at most."""
+    names = [*(x.split()[0] for x in _GRAMS.split(", ")), "count"]
+    held = None  # the first rows of the n-gram at hand, _MANY at most; more of it may follow
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns], 1)
+        told = _MANY if held is not None and len(held) == _MANY else 0  # of rows that went on before
+        rows = rows if held is None else np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, -1] != rows[:-1, -1]]))
+        counts = np.diff(np.append(starts, len(rows)))
+        # the last n-gram waits for the next batch, unless it is frequent already: then its rows go on at once
+        held = rows[starts[-1] :][:_MANY]
+        whole = len(rows) if counts[-1] >= _MANY else starts[-1]
+        each = np.repeat(np.minimum(counts, _MANY), counts)
+        goes = each[:whole] > 1
+        goes[:told] = False
+        if goes.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows[:whole][goes].T.copy(), each[:whole][goes])], names)
+    if held is not None and 1 < len(held) < _MANY:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held.T.copy(), np.full(len(held), len(held)))], names)
+
+
+def _rarest(large: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, root: smaller candidate components of the rows (root, doc_id, text); a row in none is linked with nothing.
+
+    n-grams are ordered by how many of these rows hold them. Of linked sets with this order, each has one of the other
+    among its first, as many as may be missing and one more. An n-gram of a single row is in no other set.
+    """
+    rows = large.select("root", "doc_id", F.xxhash64("text").alias("tie"), "text")
+    counted = rows.mapInArrow(_grams(n), _GRAMS).repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(_shared, _COUNTED)
+    sets = counted.groupBy("root", "doc_id", "tie", "n").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("_shared"))
+    first = (F.col("n") - F.ceil(F.col("n") * num / den) + 1) - (F.col("n") - F.size("_shared"))  # n-grams of one row alone come before
+    sets = sets.withColumn("_first", first.cast("int")).filter("_first > 0")
+    keys = sets.select("root", "doc_id", F.explode(F.slice("_shared", F.lit(1), F.col("_first"))).alias("_g"))
+    keys = keys.select(F.lit(_KEY).cast("long").alias("kind"), F.xxhash64("root", "_g.gram").alias("a"), F.col("doc_id").alias("b"))
+    stars = keys.repartition(F.col("a")).sortWithinPartitions("kind", "a", "b").mapInArrow(_stars, _ROWS)
+    found = components(stars.select("a", "b"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", tile_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links of Jaccard similarity num / den or more reach.
 
@@ -347,9 +410,20 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, *,
     # an id with several rows may be a copy by one of them only, so it stays
     members = members.join(held.hint("merge"), "doc_id").join(copies.hint("merge"), "doc_id", "left").filter("_rows > 1 or _copy is null")
     members = written(members.select("doc_id", "root", "_n"), "members")
-    sizes = members.groupBy("root").agg((F.floor(F.sum("_n") / tile_words) + 1).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_of"))
-    sizes = written(sizes.filter("_of > 1").drop("_of"), "sizes")
-    gathered = texts.join(members.join(sizes.hint("merge"), "root").hint("merge"), "doc_id")  # both grow with the corpus and are never broadcast
+
+    def sized(members: DataFrame) -> DataFrame:
+        sizes = members.groupBy("root").agg((F.floor(F.sum("_n") / tile_words) + 1).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_of"))
+        return written(sizes.filter("_of > 1").drop("_of"), "sizes")
+
+    gathered = texts.join(members.join(sized(members).hint("merge"), "root").hint("merge"), "doc_id")  # both grow with the corpus and are never broadcast
+    gathered = written(gathered.select("root", "_parts", "doc_id", "text"), "gathered")
+    large = gathered.filter("_parts > 1").select("root", "doc_id", "text")
+    if not large.isEmpty():
+        finer = _rarest(large, n, num, den).select(F.col("node").alias("doc_id"), "root")
+        finer = written(members.drop("root").join(finer.hint("merge"), "doc_id"), "members")
+        finer = finer.join(sized(finer).hint("merge"), "root").select("doc_id", "root", "_parts")
+        finer = large.drop("root").join(finer.hint("merge"), "doc_id").select("root", "_parts", "doc_id", "text")
+        gathered = gathered.filter("_parts = 1").unionByName(finer)
     own = F.pmod(F.xxhash64("doc_id"), F.col("_parts").cast("long")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.concat_ws(":", F.col("root"), F.least(own, j), F.greatest(own, j)))
     gathered = gathered.select(F.explode(pairs).alias("tile"), "doc_id", "text")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,38 @@ def test_groups_edge_cases(docs):
 # ---- 3: line chunks
 
 
+def test_a_chain_of_shared_passages_is_taken_apart_before_it_is_gathered(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = [words(rng, 40, 10**6) for _ in range(121)]
+    chain = [f"{parts[i]} {words(rng, 20, 10**6)} {parts[i + 1]}" for i in range(120)]  # each shares a passage with the next, none is near another
+    near = words(rng, 300, 10**6).split()
+    texts = chain + [" ".join([*near[:k], "other", *near[k:]]) + " " + parts[0] for k in (10, 100, 200)] + ["one two three", "one two four"]
+    seen, inner = spark.sparkContext.accumulator(0), ngram_join._tiles
+
+    def counted(*a):
+        def told(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda batches, run=inner(*a): run(told(batches))
+
+    monkeypatch.setattr(ngram_join, "_tiles", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(table(spark, texts), 5, 80, 100, tile_words=1000).collect()}
+    assert got == {i: 120 if 120 <= i < 123 else i for i in range(len(texts))}
+    assert seen.value <= len(texts)  # before: each of the chain's texts in every pair of parts
+
+
+def test_ngrams_of_several_rows_are_counted_over_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_MANY", 3)
+    grams = [1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5, 5]
+    rows = [[7, i, 0, 9, g] for i, g in enumerate(grams)]
+    for size in (1, 2, 5, 12):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], ["root", "doc_id", "tie", "n", "gram"]) for i in range(0, len(rows), size)]
+        got = sorted((r["doc_id"], r["count"]) for b in ngram_join._shared(batches) for r in b.to_pylist())
+        assert got == [(i, min(3, grams.count(g))) for i, g in enumerate(grams) if grams.count(g) > 1]
+
+
 def test_chunks(spark):
     rng = random.Random(4)
     lines = [words(rng, 8) for _ in range(30)]
