@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars
-from brindle.operators import briefing, evaluation, indicators, kernels, levels, zones
+from brindle.operators import briefing, evaluation, indicators, kernels, levels, risk, zones
 from brindle.sources import readers, sinks
 
 T0 = dt.datetime(2024, 1, 1)
@@ -106,6 +106,15 @@ def test_garch_recovers_its_parameters():
     assert kernels.garch_next_variance(np.zeros(5)) == 0.0
 
 
+def test_history_over_a_low_of_zero(spark):
+    """As doubles divide in SQL: infinite over zero, NaN for zero over zero, null only without values."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", at, 4.0, 0.0, 1.0), ("a", at + dt.timedelta(hours=1), 5.0, 2.0, 3.0), ("b", at, 0.0, 0.0, 0.0), ("c", at, 4.0, 1.0, 2.0), ("d", at, None, None, None)]
+    got = {r["symbol"]: (r["from_high_pct"], r["from_low_pct"]) for r in risk.history_position(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, high double, low double, close double")).collect()}
+    assert got["a"] == (-40.0, math.inf) and got["c"] == (-50.0, 100.0) and got["d"] == (None, None)
+    assert all(map(math.isnan, got["b"]))
+
+
 def test_bias_and_guidance(spark):
     rows = [("a", "bull", 3.0, 2e9, "normal", 0.8, 90.0, 100.0), ("b", "bear", -2.0, -1.0, "extreme", 0.6, None, 100.0), ("c", "odd", None, None, None, 0.1, 1.0, 2.0)]
     df = spark.createDataFrame(rows, "symbol string, regime string, return_7d double, net_flow_7d double, volatility_class string, risk_score double, support double, close double")
