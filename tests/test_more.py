@@ -115,6 +115,15 @@ def test_history_over_a_low_of_zero(spark):
     assert all(map(math.isnan, got["b"]))
 
 
+def test_zone_at_a_price_of_zero(spark):
+    """As the SQL of zone_scores_on_grid has it: 0 / 0 is NaN, above all numbers, so the score is 1; without strength there is no zone, and the score is 0."""
+    rows = [("a", 0, 0.0, 0.6, "support", "swing_point", 50.0)] * 2 + [("a", 1, 2.0, 0.6, "support", "swing_point", 50.0)] * 2 + [("a", 2, 4.0, 0.0, "support", "swing_point", 50.0)] * 2
+    df = spark.createDataFrame(rows, "symbol string, cluster long, price double, strength double, direction string, factor_type string, cur double")
+    got = {r["cluster"]: (r["zone_price"], r["score"], r["strength"]) for r in zones.scored(df).collect()}
+    assert got[0] == (0.0, 1.0, "critical") and got[2] == (None, 0.0, "weak")
+    assert got[1][0] == 2.0 and math.isclose(got[1][1], 0.6 + 0.015 + 0.06 - 0.15)
+
+
 def test_bias_and_guidance(spark):
     rows = [("a", "bull", 3.0, 2e9, "normal", 0.8, 90.0, 100.0), ("b", "bear", -2.0, -1.0, "extreme", 0.6, None, 100.0), ("c", "odd", None, None, None, 0.1, 1.0, 2.0)]
     df = spark.createDataFrame(rows, "symbol string, regime string, return_7d double, net_flow_7d double, volatility_class string, risk_score double, support double, close double")
