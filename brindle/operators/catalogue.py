@@ -61,25 +61,26 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """id, ancestor, depth (of the shortest way) for edges (id, parent): everything upstream of every data set.
 
-    Each round takes the pairs that the last one found a parent further and keeps those not known yet; a diamond is
-    followed once, not once for each way through it. A data set that is its own ancestor is refused.
+    Each round doubles the depth: beyond the depth that is known, every shortest way leads through a data set at just
+    that depth, so the pairs of that depth meet all known pairs, and those not known yet are kept. A diamond is followed
+    once, not once for each way through it. A data set that is its own ancestor is refused.
     """
     spark = edges.sparkSession
-    edges, edge_path = written(edges.select("id", "parent").filter("id is not null and parent is not null").distinct(), "edges")
-    found, path = written(edges.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    edges = edges.select("id", F.col("parent").alias("ancestor")).filter("id is not null and ancestor is not null").distinct()
+    found, path = written(edges.withColumn("depth", F.lit(1)), "ancestors")
     depth, paths = 1, [path]
     while True:
-        loop = found.filter(F.col("id") == F.col("ancestor")).first()
+        loop = found.filter(F.col("id") == F.col("ancestor")).orderBy("depth").first()
         if loop is not None:
-            discard(spark, edge_path, *paths)
+            discard(spark, *paths)
             raise ValueError(f"a cycle of depth {loop['depth']} leads back to {loop['id']}")
         last = found.filter(F.col("depth") == depth)
-        further = last.join(edges.toDF("ancestor", "_up"), "ancestor").select("id", F.col("_up").alias("ancestor")).distinct()
-        further = further.join(found, ["id", "ancestor"], "left_anti")
-        depth += 1
-        new, path = written(further.withColumn("depth", F.lit(depth)), "ancestors")
-        if new.isEmpty():
-            discard(spark, edge_path, path)
+        if last.isEmpty():
             return found
+        up = found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("depth").alias("_more"))
+        further = last.join(up, "ancestor").groupBy("id", F.col("_up").alias("ancestor")).agg(F.min(F.lit(depth) + F.col("_more")).alias("depth"))
+        further = further.join(found, ["id", "ancestor"], "left_anti")
+        depth *= 2
+        _, path = written(further, "ancestors")
         paths.append(path)
         found = spark.read.schema(found.schema).parquet(*paths)

@@ -45,6 +45,15 @@ def test_ancestors_of_diamonds_and_cycles(spark):
     assert catalogue.ancestors(df.limit(0)).count() == 0
 
 
+def test_rounds_of_ancestors_double(spark, monkeypatch):
+    edges = [(i, i - k) for i in range(24) for k in (1, 2) if i >= k]
+    tables, inner = [], catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: tables.append(name) or inner(df, name))
+    got = {(r["id"], r["ancestor"]): r["depth"] for r in catalogue.ancestors(spark.createDataFrame(edges, "id long, parent long")).collect()}
+    assert got == {(i, j): (i - j + 1) // 2 for i in range(24) for j in range(i)}
+    assert len(tables) <= 5  # a table for each depth before: 14
+
+
 @pytest.mark.parametrize("whole", [0, 10_000])
 def test_percentiles_are_exact(spark, whole):
     """Also where every series goes through the bracket of its sketch."""
