@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,10 +58,12 @@ class Breaker(StatefulProcessor):
         self.state = handle.getValueState("state", "failures int, last long")  # last in microseconds
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures, last = self.state.get() if self.state.exists() else (0, 0)
+        was = failures, last = self.state.get() or (0, 0)
         out, pause = [], self.pause * 1000
-        events = pd.concat(list(rows)).sort_values(["at", "seq"])
-        for at, failed in zip(events["at"].to_numpy("datetime64[us]").astype("int64").tolist(), events["failed"].tolist()):
+        parts = [(pdf["at"].to_numpy("datetime64[us]").astype("int64"), pdf["seq"].to_numpy(), pdf["failed"].to_numpy()) for pdf in rows]
+        ats, seqs, fails = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts))
+        order = np.lexsort((seqs, ats))
+        for at, failed in zip(ats[order].tolist(), fails[order].tolist()):
             if failures >= self.failures:
                 if at - last <= pause:
                     continue
@@ -69,16 +72,19 @@ class Breaker(StatefulProcessor):
             failures, last = (failures + 1, at) if failed else (0, last)
             if failures >= self.failures:
                 out.append((at, "open"))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if failures >= self.failures:
-            self.handle.registerTimer((last + pause) // 1000 + 1)
-        self.state.update((failures, last))
+        # each call to the store takes longer than the events of a key, so only what has changed goes there
+        if (failures, last) != was:
+            if was[0] >= self.failures:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+            if failures >= self.failures:
+                self.handle.registerTimer((last + pause) // 1000 + 1)
+            self.state.update((failures, last))
         if out:
             yield self._moves(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        failures, last = self.state.get() if self.state.exists() else (0, 0)
+        failures, last = self.state.get() or (0, 0)
         self.state.clear()
         if failures >= self.failures:
             yield self._moves(key, [(last + self.pause * 1000, "closed")])

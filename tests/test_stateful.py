@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,36 @@ def test_breaker_opens_and_closes_once(spark, tmp_path, seed):
     assert sorted((r["key"], r["at"], r["state"]) for r in out.collect()) == want and len(want) > 10
 
 
+def test_breaker_calls_the_store_for_changes_only():
+    calls = []
+
+    class Store:
+        value = None
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or []
+
+        def getValueState(self, *a):
+            return self
+
+        def get(self):
+            return calls.append("get") or self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    breaker = keyed.Breaker(3, 300.0)
+    breaker.init(Store())
+    run = lambda *rows: list(breaker.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["at", "seq", "failed"])]), None))
+    assert run((at(1), 1, False), (at(0), 0, True)) == [] and calls == ["get", "update"]
+    calls.clear()
+    assert run((at(2), 2, False)) == [] and calls == ["get"]
+    calls.clear()
+    opened = run((at(5), 5, True), (at(4), 4, True), (at(3), 3, True))[0]
+    assert opened["state"].tolist() == ["open"] and calls == ["get", "registerTimer", "update"]
+
+
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
     rows = [[(1, at(0)), (1, at(30)), (2, at(10))], [(1, at(200)), (2, at(100))], [(3, at(900))]]
     tables = [spark.createDataFrame(r, "user_id long, ts timestamp") for r in rows]
