@@ -113,6 +113,31 @@ def test_split_anchors_gather_no_words(spark, monkeypatch):
     assert got == brute_substrings(rows_of(df), 20)
 
 
+def test_frequent_grams_gather_no_words(spark, monkeypatch):
+    def search(k, shard_words):
+        def refuse(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    raise AssertionError("words were fetched of segments that have only a 4-gram in common")
+            yield from ()
+
+        return refuse
+
+    rng = random.Random(13)
+    frequent = [words(rng, 4, 50) for _ in range(20)]
+    df = table(spark, [" ".join(f"{rng.choice(frequent)} {words(rng, 6, 100_000)}" for _ in range(30)) for _ in range(60)])
+    monkeypatch.setattr(substring_dedup, "_search", search)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(df, 20).collect()}
+    assert got == brute_substrings(rows_of(df), 20)
+
+
+@pytest.mark.parametrize("prune_at", [1, 3])
+def test_unpruned_anchors_give_the_same(spark, prune_at):
+    df = table(spark, sample(4))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(df, 20, split_at=2, prune_at=prune_at).collect()}
+    assert got == brute_substrings(rows_of(df), 20)
+
+
 @pytest.mark.parametrize("split_at", [1, 4_000])
 def test_rows_of_one_id_are_told_apart(spark, split_at):
     rng = random.Random(12)
