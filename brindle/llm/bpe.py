@@ -1,10 +1,11 @@
 """Byte-level BPE, encoding and decoding, with a contiguous rank array for each short word.
 
-A word is cut at every byte. One array holds the boundaries of its parts, a second the merge ranks of neighbouring
-parts; the smallest rank is found by a scan, its boundary is deleted and the two ranks beside it are refreshed. Words
-above long_word bytes, where scans would cost the square of the length, use a heap of the same ranks. What lies
-between single spaces is encoded once for each task and remembered, up to a number of pieces of at most 64 characters;
-a full memory loses its older half, and all of it goes when the partition ends.
+A word is cut at every byte. One array holds the ids of its parts, a second the merge ranks of neighbouring parts; the
+smallest rank is found by a scan, the boundary between its parts is deleted and the two ranks beside it are refreshed.
+The new words of a group of texts are taken together: their arrays are the columns of a matrix, and a step merges once
+in every word. Words above long_word bytes, where scans would cost the square of the length, use a heap of the same
+ranks. What lies between single spaces is encoded once and remembered: after each group, a memory with more than a number
+of pieces loses its older half and the pieces above 64 characters, and all of it goes when the partition ends.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; special tokens that stand in a text
 become their own id; null ids stay null; repeated rows give repeated results, each its own; an empty table gives an
@@ -17,7 +18,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ _PRETOKEN = regex.compile(PRETOKENS)
 _BESIDE = re.compile(f"^ | $| [{SPACES}]|[{SPACES}] ")
 _CUT = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 _NEVER = 1 << 60
+_PLACE = 10
+_MARKS = frozenset(".,;:!?")
+#: One run of Latin letters, then one of other ASCII characters, without digits and apostrophes.
+_RUN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:
@@ -63,31 +68,82 @@ class RankBPE:
         for token, at in self.special.items():
             self.piece[at] = token.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.remember, self.long_word = remember, long_word
+        pairs = np.array(list(self.rank), np.int64).reshape(-1, 2)
+        keys, found = pairs @ np.array([size + 1, 1]), np.array(list(self.rank.values()), np.int64).reshape(-1, 2)
+        order = np.argsort(keys)
+        self.size, self.keys, self.key_rank = size, np.append(keys[order], np.iinfo(np.int64).max), np.append(found[order, 0], 0)
+        self.merged = np.zeros(len(keys) + 1, np.int64)
+        self.merged[found[:, 0]] = found[:, 1]
+        self.of_byte = np.array([*self.byte_id, size], np.int64)
+        self.remember, self.long_word = remember, min(long_word, (1 << _PLACE) - 1)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.long_words: list[str] = []
 
     def word(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
-        if len(raw) > self.long_word:
-            return self._long(raw)
-        ids = [self.byte_id[b] for b in raw]
-        bounds = list(range(len(raw) + 1))  # part i is raw[bounds[i]:bounds[i + 1]]
-        rank, none = self.rank, (_NEVER, 0)
-        ranks = [rank.get(pair, none) for pair in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best[0] == _NEVER:
-                break
-            i = ranks.index(best)
-            ids[i] = best[1]
-            del ids[i + 1], bounds[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank.get((ids[i], ids[i + 1]), none)
-        return ids
+        return np.frombuffer(self.encode_words([raw])[0], "<u4").tolist()
+
+    def encode_words(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, each as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(raws)
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        for i in np.flatnonzero(lengths > self.long_word).tolist():
+            out[i] = np.array(self._long(raws[i]), "<u4").tobytes()
+        order = np.argsort(lengths, kind="stable")
+        order = order[: int((lengths <= self.long_word).sum())]
+        start = 0
+        while start < len(order):  # words of about one length, up to 65,536 places of a matrix
+            stop = min(len(order), start + 4096)
+            stop = start + max(1, min(stop - start, (1 << 16) // int(lengths[order[stop - 1]] + 1)))
+            some = order[start:stop].tolist()
+            for i, ids in self._together(some, [raws[i] for i in some]):
+                out[i] = ids
+            start = stop
+        return out
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs, moved up by the bits of a place."""
+        key = a * (self.size + 1) + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.key_rank[at] << _PLACE, _NEVER)
+
+    def _together(self, names: list[int], raws: list[bytes]):
+        """(name, ids) of words: one column for each. Ranks have their place in the low bits, so the least is the leftmost one of the smallest rank."""
+        n, lengths = np.array(names), np.fromiter(map(len, raws), np.int64, len(raws))
+        width = int(lengths.max(initial=0)) + 1  # the last part is none
+        flat = np.frombuffer(b"".join(raws) + b"\0", np.uint8)
+        at = np.arange(width)[:, None]
+        place = (np.cumsum(lengths) - lengths) + np.minimum(at, lengths)
+        ids = self.of_byte[np.where(at < lengths, flat[place], 256)]
+        ranks = self._ranked(ids[:-1], ids[1:]) + at[:-1]
+        while len(n):
+            best = ranks.min(0) if len(ranks) else np.full(len(n), _NEVER)
+            more = best < _NEVER >> 1
+            if not more.all():
+                last, size = ids[:, ~more], lengths[~more]
+                got = last.T[np.arange(len(last)) < size[:, None]].astype("<u4").tobytes()
+                ends = (np.cumsum(size) * 4).tolist()
+                yield from zip(n[~more].tolist(), (got[a:b] for a, b in zip([0, *ends], ends)))
+                n, lengths, ids, ranks, best = n[more], lengths[more], ids[:, more], ranks[:, more], best[more]
+                if not len(n):
+                    return
+            i, columns = best & ((1 << _PLACE) - 1), np.arange(len(n))
+            new = self.merged[best >> _PLACE]
+            at = np.arange(len(ids) - 1)[:, None]
+            ids = np.where(at <= i, ids[:-1], ids[1:])
+            ids[i, columns] = new
+            ranks = np.where(at[:-1] < i, ranks[:-1], ranks[1:] - 1)
+            lengths = lengths - 1
+            left, right = np.flatnonzero(i > 0), np.flatnonzero(i < lengths - 1)
+            j = i[left]
+            ranks[j - 1, left] = self._ranked(ids[j - 1, left], new[left]) + j - 1
+            j = i[right]
+            ranks[j, right] = self._ranked(new[right], ids[j + 1, right]) + j
+            # the last part has nothing behind it
+            end = np.flatnonzero((i == lengths - 1) & (i < len(ranks)))
+            ranks[i[end], end] = _NEVER
 
     def _long(self, raw: bytes) -> list[int]:
         n = len(raw)
@@ -107,53 +163,68 @@ class RankBPE:
                     heapq.heappush(heap, (*self.rank[pair], x, *pair))
         return [x for x, dead in zip(ids, gone) if not dead]
 
-    def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for word in _PRETOKEN.findall(chunk):
-            got = self.words.get(word)
-            if got is None:
-                got = np.array(self.word(word.encode()), "<u4").tobytes()
-                if len(word) <= 64:
-                    self._remember(self.words, word, got)
-            out.append(got)
-        return b"".join(out)
-
-    def _missing(self, known: dict[str, bytes], space: str, part: str) -> bytes:
-        out = self._chunk(space + part)
-        if len(part) <= 64:
-            self._remember(known, part, out)
-        return out
-
-    def _remember(self, known: dict[str, bytes], part: str, ids: bytes) -> None:
-        if len(known) >= self.remember:
-            for old in list(islice(known, self.remember // 2)):
+    def _learn(self, known: dict[str, bytes], space: str, new: list[str]) -> None:
+        """Remembers pieces that stand behind space. Most are one run of letters, perhaps with marks behind it."""
+        cut, run = [], _RUN.fullmatch
+        for p in new:
+            letters = p[:-1] if p[-1] in _MARKS else p
+            if letters.isascii() and letters.isalpha():
+                cut.append((space + letters,) if letters is p else (space + letters, p[-1]))
+            elif m := run(p):
+                letters, marks = m.groups()
+                cut.append((space + letters, marks) if marks else (space + letters,))
+            else:
+                cut.append(_PRETOKEN.findall(space + p))
+        words = self.words
+        if missing := list(set(chain.from_iterable(cut)).difference(words)):
+            words.update(zip(missing, self.encode_words([w.encode() for w in missing])))
+            self.long_words += [w for w in missing if len(w) > 64]
+        known.update(zip(new, [words[c[0]] if len(c) == 1 else b"".join(map(words.__getitem__, c)) for c in cut]))
+
+    def _bound(self, known: dict[str, bytes], new: list[str]) -> None:
+        for p in new:
+            if len(p) > 64:
+                known.pop(p, None)
+        if len(known) > self.remember:
+            for old in list(islice(known, len(known) - self.remember // 2)):
                 del known[old]
-        known[part] = ids
 
     def forget(self) -> None:
         """Empties what was remembered of texts."""
         self.first, self.later, self.words = {}, {}, {}
         give_back()
 
-    def _later(self, part: str) -> bytes:
-        got = self.later.get(part)
-        return self._missing(self.later, " ", part) if got is None else got
-
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. No token spans a single space between two other characters, so the text is cut there."""
-        out: list[bytes] = []
-        for at, piece in enumerate(self.split_special.split(text) if self.split_special else [text]):
-            if at % 2:
-                out.append(np.array([self.special[piece]], "<u4").tobytes())
-            elif piece:
-                parts = _CUT.split(piece) if _BESIDE.search(piece) else piece.split(" ")
-                out.append(self.first.get(parts[0]) or self._missing(self.first, "", parts[0]))
-                rest = parts[1:]
-                got = list(map(self.later.get, rest))
-                if None in got:
-                    got = [self._later(p) if g is None else g for g, p in zip(got, rest)]
-                out += got
-        return b"".join(out)
+        """encode_all() of one text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. No token spans a single space between two other characters, so texts are cut there."""
+        cut: list[list[str | list[str]]] = []  # of each text: special tokens, and lists of pieces
+        for text in texts:
+            pieces = self.split_special.split(text or "") if self.split_special else [text or ""]
+            cut.append([p if at % 2 else _CUT.split(p) if _BESIDE.search(p) else p.split(" ") for at, p in enumerate(pieces) if p])
+        lists = [x for c in cut for x in c if isinstance(x, list)]
+        first, later = {x[0] for x in lists}, set(chain.from_iterable(x[1:] for x in lists))
+        first, later = list(first.difference(self.first)), list(later.difference(self.later))
+        self._learn(self.first, "", first)
+        self._learn(self.later, " ", later)
+        starts, get = self.first, self.later.__getitem__
+        out = []
+        for c in cut:
+            got = []
+            for x in c:
+                if isinstance(x, str):
+                    got.append(self.special[x].to_bytes(4, "little"))
+                else:
+                    got.append(starts[x[0]])
+                    got += map(get, x[1:])
+            out.append(b"".join(got))
+        self._bound(self.first, first)
+        self._bound(self.later, later)
+        self._bound(self.words, self.long_words)
+        self.long_words = []
+        return out
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -173,7 +244,7 @@ def encode_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     def run(batches):
         bpe = coder(path)
         for batch, texts in text_groups(batches):
-            ids = [bpe.encode(t) if t else b"" for t in texts]
+            ids = bpe.encode_all(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
         bpe.forget()
 
@@ -200,7 +271,7 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     def run(batches):
         bpe = coder(path)
         for batch, texts in text_groups(batches):
-            ids = [bpe.encode(t) if t else b"" for t in texts]
+            ids = bpe.encode_all(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "text"])
         bpe.forget()
 

@@ -343,6 +343,24 @@ def test_bpe_edge_cases(docs):
     assert sorted(r["text"] for r in got.collect()) == want
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, b, calls = Tokenizer.from_file(path), bpe.RankBPE(path, remember=100), []
+    ranked = b._ranked
+    monkeypatch.setattr(b, "_ranked", lambda x, y: calls.append(len(x)) or ranked(x, y))
+    rng = random.Random(5)
+    letters = "etaoinshrdlucmfwygpbvkxqzjETAé"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ",", ".", "$$", "'s", "9"]) for _ in range(400)) for _ in range(10)]
+    texts += [None, "", "y" * 70 + " " + "z" * 1100, *fuzz(7, 50)]
+    for _ in range(2):  # the memory is too small for them, so they are encoded again
+        got = b.encode_all(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert max(map(len, (b.first, b.later, b.words))) <= 100 and not [w for w in b.words if len(w) > 64]
+    assert len(calls) < 1000  # of about 4,000 different words, each with several merges
+
+
 def test_long_words_use_the_heap_alike():
     b = bpe.RankBPE(public_tokenizers.path("byte_bpe_50k.json"))
     for w in ("the" * 120, "abcdefgh" * 40, "é" * 150):
