@@ -105,6 +105,9 @@ class CachedEncoder:
     #: Letters that normalisation leaves single letters, then punctuation but the apostrophe.
     RUN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
+    #: The marks that stand behind most of them.
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str, remember: int = 650_000, remember_runs: int = 1_100_000):
         self.tokenizer, self.remember, self.remember_runs, self.known, self.runs = _tokenizer(path), remember, remember_runs, {}, {}
         vocabulary = self.tokenizer.get_vocab()
@@ -115,11 +118,15 @@ class CachedEncoder:
             self.size[i] = len(t.removesuffix("</w>"))
         self.marks = {"": b""}
 
+    def _encoded(self, text: str) -> np.ndarray:
+        """Ids of a text, by the library's way that keeps no offsets."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._encoded(text).tobytes()
 
     def _learn_runs(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = self._encoded(" ".join(new))
         stops = np.flatnonzero(self.ends[ids]) + 1
         size = np.concatenate([[0], np.cumsum(self.size[ids])])[stops]
         # every run must end where its bytes end
@@ -130,34 +137,50 @@ class CachedEncoder:
             self.runs.update((x, self._ids(x)) for x in new)
 
     def _learn(self, new: list[str]) -> None:
-        simple, other, match = [], [], self.RUN.fullmatch
+        plain, behind, other, marks, match = [], [], [], self.MARKS, self.RUN.fullmatch  # plain: pieces of ASCII letters, by the mark behind them
+        by_mark: dict[str, list[str]] = {"": plain}
         for p in new:
-            if m := match(p):
-                s, mark = m.groups()
-                simple.append((p, s.lower(), mark))
+            s = p[:-1] if p[-1:] in marks else p
+            if s.isascii() and s.isalpha():
+                plain.append(p) if s is p else by_mark.setdefault(p[-1], []).append(s)
+            elif m := match(p):
+                behind.append((p, m[1].lower(), m[2]))
             else:
                 other.append(p)
         if len(self.runs) > self.remember_runs:
             self.runs.clear()
         if len(self.marks) > 10_000:
             self.marks = {"": b""}
-        if missing := list({s for _, s, _ in simple}.difference(self.runs)):
+        lower = {mark: "\n".join(some).lower().split("\n") if some else [] for mark, some in by_mark.items()}
+        if missing := list(set(chain(*lower.values(), (s for _, s, _ in behind))).difference(self.runs)):
             self._learn_runs(missing)
-        runs, marks, known = self.runs, self.marks, self.known
-        marks.update((m, self._ids(m)) for m in {m for _, _, m in simple}.difference(marks))
-        for p, s, m in simple:
-            known[p] = runs[s] + marks[m] if m else runs[s]
+        runs, known = self.runs, self.known
+        self.marks.update((m, self._ids(m)) for m in {*by_mark, *(m for _, _, m in behind)}.difference(self.marks))
+        for mark, some in by_mark.items():
+            ids = map(runs.__getitem__, lower[mark])
+            if mark:
+                end = self.marks[mark]
+                known.update(zip([s + mark for s in some], [i + end for i in ids]))
+            else:
+                known.update(zip(some, ids))
+        for p, s, m in behind:
+            known[p] = runs[s] + self.marks[m]
         known.update((p, self._ids(p)) for p in other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        distinct = set(chain.from_iterable(parts))
         if len(self.known) > self.remember:  # what is in use now stays
-            self.known = {p: self.known[p] for p in distinct.intersection(self.known)}
-        if new := list(distinct.difference(self.known)):
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, text)) for text in parts]
+            self.known = {p: self.known[p] for p in set(chain.from_iterable(parts)).intersection(self.known)}
+        known = self.known
+        got = [list(map(known.get, text)) for text in parts]
+        missing = [[i for i, x in enumerate(ids) if x is None] for ids in got]
+        if new := {text[i] for text, at in zip(parts, missing) for i in at}:
+            self._learn(list(new))
+        for text, ids, at in zip(parts, got, missing):
+            for i in at:
+                ids[i] = known[text[i]]
+        return [b"".join(ids) for ids in got]
 
 
 @lru_cache(maxsize=2)

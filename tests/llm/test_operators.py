@@ -380,6 +380,32 @@ def test_token_files(spark, tmp_path):
         start += len(want)
 
 
+def test_pieces_are_encoded_without_offsets():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, encoder = Tokenizer.from_file(path), tokenfile.CachedEncoder(path, remember=50)
+
+    class Fast:
+        calls = 0
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            Fast.calls += 1
+            return lib.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Fast()
+    rng = random.Random(6)
+    run = lambda: "".join(rng.choice("etaoinshrdluETAOéÉß") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(run() + rng.choice(["", "", "", ",", ".", "!!", ".,", "'s", "\nof", "7", "\u0301"]) for _ in range(300)) for _ in range(8)]
+    texts += [None, "", "  two  spaces ", "the, The. THE! the", "<|endoftext|> <|ENDOFTEXT|>", *fuzz(8, 60)]
+    for some in (texts, texts[:3], texts):  # more pieces than it remembers
+        got = encoder.encode(some)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t or "", add_special_tokens=False).ids for t in some]
+    before = Fast.calls
+    encoder.encode([" ".join("q" + run() + rng.choice(["", ",", "."]) for _ in range(500))])
+    assert Fast.calls == before + 1  # new letter runs share a call
+
+
 def test_token_files_edge_cases(spark, tmp_path, docs):
     tokenfile.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"))
     assert tokenfile.read_tokens(spark, str(tmp_path / "t")).count() == docs.count()
