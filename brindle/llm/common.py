@@ -118,6 +118,13 @@ _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE)] = True
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between starts and ends; equal bytes have equal hashes wherever they stand."""
+    n = len(data)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power("up", n), dtype=np.uint64)])
+    return mixed((sums[ends] - sums[starts]) * power("down", n)[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without white space) of the texts in one array, and where each text's words begin (one entry more than texts)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -129,9 +136,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     if len(starts) > len(ends):
         starts = starts[:-1]
-    n = len(data)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power("up", n), dtype=np.uint64)])
-    hashes = mixed((sums[ends] - sums[starts]) * power("down", n)[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     return hashes, np.searchsorted(starts, begins)
 

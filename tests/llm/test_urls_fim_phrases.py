@@ -220,6 +220,23 @@ def test_phrases_with_a_full_filter_stay_exact(spark):
     assert got == brute_phrases(rows, 10, 50)
 
 
+def shuffled_records(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    store, quantiles = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._gateway.jvm.double, 0)
+    stages = store.stageList(None, False, False, quantiles, sc._gateway.jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_phrases_travel_packed(spark):
+    """40,000 different words once each: they don't become a shuffled row each."""
+    rows = [("en", " ".join(f"w{i}x{k}" for k in range(100))) for i in range(400)]
+    docs = spark.createDataFrame(rows + [("en", "two words. " * 12)], "lang string, text string").coalesce(1)
+    before = shuffled_records(spark)
+    assert [tuple(r) for r in phrases.collocations(docs, 10, 50).collect()] == brute_phrases(rows + [("en", "two words. " * 12)], 10, 50)
+    assert sum(n for stage, n in shuffled_records(spark).items() if stage not in before) < 10_000
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert phrases.collocations(spark.createDataFrame([("en", None), ("en", ".")], "lang string, text string")).count() == 0
