@@ -10,9 +10,9 @@ shard is spread over all tasks, so shards are few and their support stays above
 What a level hands to the next scan is a Bloom filter of fixed size (filter_bits): wrong hits only add candidates, and
 a filter that is too full only prunes less. Counts are summed within a group of texts before any shuffle, so a phrase
 that all documents hold is one entry a group. Most pairs of a group occur once in it, so entries don't travel as rows:
-those of a group with the same first bits of the hash (a bucket) are packed into one row, and Spark brings the rows of a
-bucket together to be summed. At 30 GB a bucket of pairs has about 4 million entries of 12 bytes. Shards are mined on
-64-bit hashes of words, which only propose candidates; in the final count words are told apart by their bytes and phrases
+those with the same first bits of the hash (a bucket) are packed into one row, and Spark brings the rows of a bucket
+together to be summed. At 30 GB a bucket of pairs has about a million entries of 10 bytes. Shards are mined on 60-bit
+hashes of words, which only propose candidates; in the final count words are told apart by their bytes and phrases
 by word numbers within a group, and by their bytes across groups.
 
 The support of a phrase is also reached by its parts, so the counts that a score needs are among those of the candidates.
@@ -45,7 +45,10 @@ _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(BLANKS)], _CUT[list(CUTS)] = True, True
 _PROBES = 3
 _GROUP = 2_000_000  # bytes of text that are counted at a time
-_BUCKET_BITS = 10  # keys of a group travel as one row a bucket; a bucket is summed in one go
+_KEYS = 2_000_000  # hashes that a task gathers before it packs them
+_BUCKET_BITS = 12  # hashes that are packed together become one row a bucket; a bucket is summed in one go
+_PHRASE_BITS = 10  # the same for the phrases of a language and length, which a group of texts packs
+_BITS = np.uint64(2**64 - 16)  # hashes have 60 bits: 12 are the bucket, 6 bytes travel
 
 
 def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +64,11 @@ def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a * np.uint64(3) + mixed(b + np.uint64(1)))
+    return mixed(a * np.uint64(3) + mixed(b + np.uint64(1))) & _BITS
 
 
 def _triple_hash(pair: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mixed(pair * np.uint64(5) + mixed(last + np.uint64(2)))
+    return mixed(pair * np.uint64(5) + mixed(last + np.uint64(2))) & _BITS
 
 
 class Phrases:
@@ -104,7 +107,7 @@ class Phrases:
             return np.empty(0, np.uint64)
         _, offsets, data = self.dictionary.buffers()
         offsets = np.frombuffer(offsets, np.int32)[: len(self.dictionary) + 1].astype(np.int64)
-        return mixed(span_hashes(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets[:-1], offsets[1:]) ^ np.uint64(salt))
+        return mixed(span_hashes(np.frombuffer(data, np.uint8)[: offsets[-1]], offsets[:-1], offsets[1:]) ^ np.uint64(salt)) & _BITS
 
     def lines(self, words: np.ndarray) -> pa.Array:
         """Phrases, each joined by spaces and ended by a line feed, from rows of word numbers."""
@@ -153,9 +156,9 @@ def _filter_of(keys: DataFrame, filter_bits: int):
     return keys.sparkSession.sparkContext.broadcast(bloom)
 
 
-def _in_buckets(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _in_buckets(sorted_keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets (first bits) of sorted keys that hold any, and where each begins, with the end of the last."""
-    bucket = (sorted_keys >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+    bucket = (sorted_keys >> np.uint64(64 - bits)).astype(np.int32)
     begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     return bucket[begins], np.append(begins, len(bucket))
 
@@ -196,7 +199,7 @@ def _mined(rows: DataFrame, level: int, before, filter_bits: int, support: int,
         raw, _, starts, ends, follows = _words_of(texts)
         own = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])))
         salts = np.array([_salt(lang) for lang in langs.to_pylist()], np.uint64)
-        words = mixed(span_hashes(raw, starts, ends) ^ np.repeat(salts, own))
+        words = mixed(span_hashes(raw, starts, ends) ^ np.repeat(salts, own)) & _BITS
         of = np.repeat(np.asarray(shard).astype(np.int64), own)
         if level == 1:
             return words, of
@@ -210,23 +213,40 @@ def _mined(rows: DataFrame, level: int, before, filter_bits: int, support: int,
         j = np.flatnonzero(at[1:] == at[:-1] + 1)
         return _triple_hash(pair[j], words[at[j] + 2]), of[at[j]]
 
+    def pack(shard, keys):
+        own, counts = np.unique(np.concatenate(keys), return_counts=True)
+        bucket, begins = _in_buckets(own, _BUCKET_BITS)
+        short = (own << np.uint64(_BUCKET_BITS)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), shard, np.int32)), _slices(np.ascontiguousarray(short).ravel(), begins * 6), _slices(counts.astype(np.uint32), begins)], ["bucket", "shard", "keys", "counts"])
+
     def packed(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
         for batch, texts in text_groups(batches, limit=_GROUP):
             keys, of = keys_of(batch, texts)
             for shard in np.unique(of):
-                own, counts = np.unique(keys[of == shard], return_counts=True)
-                bucket, begins = _in_buckets(own)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), shard, np.int32)), _slices(own, begins), _slices(counts.astype(np.uint32), begins)], ["bucket", "shard", "keys", "counts"])
+                held.setdefault(int(shard), []).append(keys[of == shard])
+            size += len(keys)
+            if size >= _KEYS:
+                yield from (pack(*item) for item in held.items())
+                held, size = {}, 0
+        yield from (pack(*item) for item in held.items())
         give_back()
 
+    def unpacked(bucket, keys):
+        keys = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+        long = np.zeros((len(keys), 8), np.uint8)
+        long[:, :6] = keys
+        return (long.view(">u8").ravel().astype(np.uint64) >> np.uint64(_BUCKET_BITS)) | np.uint64(bucket << (64 - _BUCKET_BITS))
+
     def counted(batches):
-        for _, own in groupby(_rows(batches), itemgetter(0)):
+        for bucket, own in groupby(_rows(batches), itemgetter(0)):
             parts: dict[int, tuple[list[bytes], list[bytes]]] = {}
             for _, shard, keys, counts in own:
                 kept = parts.setdefault(shard, ([], []))
                 kept[0].append(keys)
                 kept[1].append(counts)
-            sums = {s: _summed(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32)) for s, (keys, counts) in parts.items()}
+            sums = {s: _summed(unpacked(bucket, keys), np.frombuffer(b"".join(counts), np.uint32)) for s, (keys, counts) in parts.items()}
             del parts
             if level == 1:
                 every, total = _summed(np.concatenate([k for k, _ in sums.values()]), np.concatenate([n for _, n in sums.values()]))
@@ -266,7 +286,7 @@ def _counted(rows: DataFrame, candidates, filter_bits: int, support: int) -> Dat
             parts = [(0, np.zeros(1, np.int32), np.array([0, 1]), pa.array([b"\n"]), np.array([found.n]))]
             for k, (words, hashes, counts) in found.found.items():
                 order = np.argsort(hashes)
-                parts.append((k, *_in_buckets(hashes[order]), found.lines(words[order]), counts[order]))
+                parts.append((k, *_in_buckets(hashes[order], _PHRASE_BITS), found.lines(words[order]), counts[order]))
             for k, bucket, begins, lines, counts in parts:
                 if len(bucket):
                     _, offsets, data = lines.buffers()
